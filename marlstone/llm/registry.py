@@ -15,8 +15,15 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.secrets import find_secrets
+
+    return find_secrets(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op2_secret_scan": op2_secret_scan,
         "op10_hash_tree_sharding": op10_hash_tree_sharding,
     }
 
