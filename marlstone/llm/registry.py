@@ -21,8 +21,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.quality import quality_report
+
+    return quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
+        "op4_quality_rules": op4_quality_rules,
         "op2_secret_scan": op2_secret_scan,
         "op10_hash_tree_sharding": op10_hash_tree_sharding,
     }
