@@ -15,6 +15,12 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=8)
 
 
+def op1_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.toxicity import toxicity_report
+
+    return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.secrets import find_secrets
 
@@ -29,6 +35,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_conv_toxicity": op1_conv_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op2_secret_scan": op2_secret_scan,
         "op10_hash_tree_sharding": op10_hash_tree_sharding,
