@@ -9,6 +9,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from marlstone.llm.bpe import encode_documents
+
+    return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.sharding import shard_documents
 
@@ -38,6 +46,7 @@ def queries() -> dict:
         "op1_conv_toxicity": op1_conv_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op2_secret_scan": op2_secret_scan,
+        "op8_bpe_transducer": op8_bpe_transducer,
         "op10_hash_tree_sharding": op10_hash_tree_sharding,
     }
 
