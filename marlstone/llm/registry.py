@@ -17,6 +17,12 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.ngramjoin import link_documents
+
+    return link_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.sharding import shard_documents
 
@@ -47,6 +53,7 @@ def queries() -> dict:
         "op4_quality_rules": op4_quality_rules,
         "op2_secret_scan": op2_secret_scan,
         "op8_bpe_transducer": op8_bpe_transducer,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_hash_tree_sharding": op10_hash_tree_sharding,
     }
 
