@@ -9,6 +9,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.linededup import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +58,7 @@ def queries() -> dict:
         "op1_conv_toxicity": op1_conv_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op2_secret_scan": op2_secret_scan,
+        "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
         "op8_bpe_transducer": op8_bpe_transducer,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_hash_tree_sharding": op10_hash_tree_sharding,
