@@ -47,6 +47,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op3_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.decontaminate import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.quality import quality_report
 
@@ -56,6 +62,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_conv_toxicity": op1_conv_toxicity,
+        "op3_seeded_alignment": op3_seeded_alignment,
         "op4_quality_rules": op4_quality_rules,
         "op2_secret_scan": op2_secret_scan,
         "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
