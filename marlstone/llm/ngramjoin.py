@@ -7,10 +7,12 @@ Two documents link when 100 * |A & B| >= 85 * |A | B| for their sets of distinct
    slots that hashes share cost time, never a link.
 2. Documents with equal sets are one class. A class enters with the prefix of its sorted set: two sets that reach the
    threshold share a shingle of both prefixes.
-3. Within each prefix shingle every class is first paired with the smallest class only. What verifies becomes components.
+3. Within each prefix shingle every class is first paired with one centre only. What verifies becomes components.
    Then just pairs of classes whose components still differ are formed. So a large group of near copies costs its size, not
    its square, and every pair either is verified once or lies in one component already.
-4. Pairs pass filters on length, position and suffix before the sets themselves are fetched and intersected.
+4. Pairs pass filters on length, position and suffix before the sets themselves are fetched and intersected. A pair's first
+   common shingle has none before it in common, so it passes the position filter that counts none; and of the smaller set
+   only a shorter prefix, the indexed part, can hold it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from marlstone.llm.textbytes import combine, lower, mix64, slices, span_hash, wo
 
 SLOT_BITS = 20  # the table of document counts has 2 ** 20 entries of 4 bytes, whatever the corpus
 PARTS = 64  # rows in which a task hands on its table
-RANGES = 16  # parts of the hash space whose counts bound an overlap
+BROADCAST_IDS = 1 << 20  # up to so many document ids (8 MiB) are broadcast; more are joined by a shuffle
+RANGES = 32  # parts of the hash space whose counts bound an overlap
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -106,8 +109,13 @@ def _length(n: Column, m: Column, percent: int) -> Column:
 
 
 def _position(i: Column, n: Column, j: Column, m: Column, percent: int) -> Column:
-    """Places before a shared shingle hold at most min(i, j) more of them, places behind at most the shorter rest."""
-    return _enough(F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1), n, m, percent)
+    """For the first shingle that a pair has in common: it and the shorter rest bound the overlap."""
+    return _enough(F.least(n - i, m - j), n, m, percent)
+
+
+def _indexed(pos: Column, n: Column, percent: int) -> Column:
+    """Whether a place can hold the first common shingle with a set that is as large or larger."""
+    return _enough(n - pos, n, n, percent)
 
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +138,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold. Sets are made anew for documents that are in a pair, and for no others."""
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets(docs.select("doc_id", "text").join(need, "doc_id", "left_semi"), n)
+    need = spool(need, "need")
+    few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    sets = _sets(docs.select("doc_id", "text").join(F.broadcast(need) if few else need, "doc_id", "left_semi"), n)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,25 +156,27 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest class that shares a prefix shingle, by shingle; pairs are distinct."""
-    centre = postings.groupBy("gram").agg(F.min(F.struct("cid", "n", "pos")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", "c")
+    """Each class with one centre by prefix shingle: the class that holds the shingle in the earliest place, which of near copies is the least edited one."""
+    centre = postings.where(_indexed(F.col("pos"), F.col("n"), percent)).groupBy("gram").agg(F.min(F.struct("pos", "cid", "n")).alias("c"))
     met = postings.join(centre, "gram").where((F.col("cid") != F.col("c.cid")) & _length(F.col("n"), F.col("c.n"), percent) & _position(F.col("pos"), F.col("n"), F.col("c.pos"), F.col("c.n"), percent))
-    return met.select(F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    return met.select(F.least("c.cid", "cid").alias("a"), F.greatest("c.cid", "cid").alias("b")).distinct()
 
 
 def cross_pairs(postings: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a prefix shingle but no component. Lengths are cut into bands, so that just sets of like size meet.
+    """Pairs of classes that share a prefix shingle but no component: each against indexed places of sets that are as large or smaller.
 
-    Members of a component meet members of another one only through the pair of components: a group inside one component makes no pair at all.
+    Lengths are cut into bands, so that just sets of like size meet. Members of a component meet members of another one only
+    through the pair of components: a group inside one component makes no pair at all.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    held = postings.join(label, "cid", "left").select("gram", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"), band.alias("band"))
-    held = spool(held.join(held.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("gram"), "gram", "left_semi"), "postings")
-    groups = held.select("gram", "root", "band").distinct()
-    near = groups.select("gram", F.col("root").alias("other"), F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), F.col("band").alias("other_band"))
-    met = groups.join(near, ["gram", "band"]).where((F.col("root") < F.col("other")))
-    left = held.join(met, ["gram", "root", "band"]).select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("other").alias("root"), F.col("other_band").alias("band"))
-    both = left.join(held, ["gram", "root", "band"]).where(_length(F.col("na"), F.col("n"), percent) & _position(F.col("pa"), F.col("na"), F.col("pos"), F.col("n"), percent))
+    held = postings.join(label, "cid", "left").select("gram", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"), band.alias("band"), _indexed(F.col("pos"), F.col("n"), percent).alias("indexed"))
+    mixed = held.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("indexed").alias("any")).where("r0 != r1 and any").select("gram")
+    held = spool(held.join(mixed, "gram", "left_semi"), "postings")
+    probe = held.select("gram", "root", F.col("band").alias("own_band"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band")).distinct()
+    target = held.where("indexed").select("gram", F.col("root").alias("other"), "band").distinct()
+    met = probe.join(target, ["gram", "band"]).where("root != other").select("gram", "root", F.col("own_band"), "other", "band")
+    left = held.select("gram", "root", F.col("band").alias("own_band"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(met, ["gram", "root", "own_band"]).select("gram", "a", "na", "pa", F.col("other").alias("root"), "band")
+    both = left.join(held.where("indexed").drop("indexed"), ["gram", "root", "band"]).where((F.col("n") <= F.col("na")) & _length(F.col("na"), F.col("n"), percent) & _position(F.col("pa"), F.col("na"), F.col("pos"), F.col("n"), percent))
     return both.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
 
 
@@ -180,7 +192,8 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     member = some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("cid"))
     classes = some.join(member, (some["lo"] == member["lo"]) & (some["hi"] == member["hi"]) & (some["n"] == member["n"]) & (some["doc_id"] == member["cid"]), "left_semi").select(F.col("doc_id").alias("cid"), "n", "ranges", "prefix")
     classes = classes.dropDuplicates(["cid"])
-    postings = spool(classes.select("cid", "n", F.posexplode("prefix").alias("pos", "gram")), "postings")
+    classes = spool(classes, "classes")
+    postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "gram"))
     postings = postings.join(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "gram", "left_semi")
     postings = spool(postings, "postings")
     stars = spool(suffix_filter(star_pairs(postings, percent), classes, percent), "pairs")

@@ -9,6 +9,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.neighbours import nearest_of_hundredths
+
+    return nearest_of_hundredths(read(spark, sf_dir, "embeddings"))
+
+
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.linededup import dedup_lines
 
@@ -65,6 +71,7 @@ def queries() -> dict:
         "op3_seeded_alignment": op3_seeded_alignment,
         "op4_quality_rules": op4_quality_rules,
         "op2_secret_scan": op2_secret_scan,
+        "op5_collision_counting": op5_collision_counting,
         "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
         "op8_bpe_transducer": op8_bpe_transducer,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
