@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.spool import spool
 
-LINES, NEED, WIDEN = 64, 0.55, 1.3
-SHARE, AT_LEAST = 0.02, 150  # candidates of a block at which widening stops: this share of its entries, but so many at least
+LINES, NEED, WIDEN = 128, 0.7, 1.3
+SHARE, AT_LEAST = 0.04, 200  # candidates of a block at which widening stops: this share of its entries, but so many at least
 BLOCK, QUERIES = 16384, 256  # entries of an index block and queries of a chunk
 
 
