@@ -21,6 +21,12 @@ def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.mixing import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +79,7 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op5_collision_counting": op5_collision_counting,
         "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
+        "op7_context_mixing": op7_context_mixing,
         "op8_bpe_transducer": op8_bpe_transducer,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_hash_tree_sharding": op10_hash_tree_sharding,
