@@ -1,11 +1,114 @@
-"""Every registered query, with SQL for those that SQL can express."""
+"""Every registered query of the market operators, with SQL for those that SQL can express.
+
+A query reads logical tables (``sources.adapters``) and rounds its doubles to six places at the very end.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.operators import align, backtest, factors, indicators, labels, studies, upsert, xsection
+from marlstone.plans import oracle
+from marlstone.sources.adapters import table
+
+C = F.col
+
+
+# Columns handed through from the inputs: exact, so there is nothing to round.
+EXACT = {"close", "open", "high", "low", "vix", "entry", "delivery_pct", "m"}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(C(c), 6).alias(c) if t == "double" and c not in EXACT else C(c) for c, t in df.dtypes))
+
+
+def _month_first(bars: DataFrame) -> DataFrame:
+    """Signal dates that often have no bar: the 10th and 25th of every month in which a symbol trades."""
+    d = bars.select("symbol", F.trunc("date", "month").alias("m")).distinct()
+    return d.select("symbol", F.explode(F.array(F.date_add("m", 9), F.date_add("m", 24))).alias("date"))
+
+
+def _halves(regime: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An old table up to mid-1998, and new rows from 1998 on that name the volatility only."""
+    old = regime.where("date < date '1998-07-01'")
+    new = regime.where("date >= date '1998-01-01'").select("date", (C("vix") + 1).alias("vix"))
+    return old, new
+
+
+def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    ind, fac, xs = indicators, factors, xsection
+    ret = lambda t: ind.returns(t("bars"))
+    panel = lambda t: fac.factor_scores(t("bars")).join(ret(t).select("symbol", "date", "fwd20"), ["symbol", "date"])
+    curve = lambda t: backtest.equity(ind.hysteresis(t("bars")).join(t("bars").select("symbol", "date", "close"), ["symbol", "date"]).select("symbol", "date", "close", C("state").alias("signal")))
+    short = ["rev1", "rev3", "rev5", "rev3_vol", "mom21_skip5", "lowvol"]
+    legs = lambda t: (xs.quantile_legs(p := xs.short_horizon_signals(t("bars")), "rev3", "fwd1"), xs.turnover(p.where("rev3 is not null and fwd1 is not null"), "rev3"))
+    merged = lambda t, f: f(*_halves(t("market_regime")), ["date"])
+    drift = lambda t: studies.event_drift(studies.dominance_events(t("deals")), t("bars"), t("bench"))
+    bench = lambda t: t("bench").withColumn("symbol", F.lit("bench"))
+    return {
+        "factor_rank_latest": lambda t: fac.rank_latest(t("bars")),
+        "factor_scores": lambda t: fac.composite(fac.factor_scores(t("bars"))),
+        "returns_forward": ret,
+        "sma_bollinger": lambda t: ind.sma_bollinger(t("bars")),
+        "drawdown_equity": lambda t: ind.drawdown_equity(t("bars")),
+        "rsi_ewm": lambda t: ind.rsi_ewm(t("bars")),
+        "macd_ewm": lambda t: ind.macd(t("bars")),
+        "atr_wilder": lambda t: ind.atr_wilder(t("bars")),
+        "hysteresis_state": lambda t: ind.hysteresis(t("bars")),
+        "streaks": lambda t: ind.streaks(t("bars")),
+        "candles_15m": lambda t: align.candles(t("ticks")),
+        "weekly_bars": lambda t: align.resample_week(t("bars")),
+        "month_ends": lambda t: align.month_ends(t("bars")),
+        "asof_align": lambda t: align.asof(t("bars").select("symbol", "date", "close"), t("market_regime").where("fo_net_long > 0"), "vix", []).withColumn("vix", F.coalesce("vix", F.lit(0.0))),
+        "nth_bar_returns": lambda t: align.nth_bar_returns(_month_first(t("bars")), t("bars")),
+        "relative_strength": lambda t: align.asof(t("bars").select("symbol", "date", "close"), t("bench").withColumnRenamed("close", "m"), "m", []).withColumn("rs", indicators.change(C("close"), 63) - indicators.change(C("m"), 63)),
+        "pit_filter": lambda t: align.pit_filter(t("bars"), t("membership"), "1-URGENT").select("symbol", "date", "close"),
+        "members_on": lambda t: align.members_on(t("membership"), "1998-03-31"),
+        "interval_errors": lambda t: align.interval_errors(t("membership")),
+        "upsert_replace": lambda t: merged(t, upsert.replace_rows),
+        "upsert_ignore": lambda t: merged(t, upsert.ignore_rows),
+        "upsert_columns": lambda t: merged(t, upsert.update_columns),
+        "upsert_missing": lambda t: merged(t, upsert.missing_rows),
+        "freshness": lambda t: upsert.freshness({"bars": (t("bars"), "date"), "orders": (t("orders"), "o_orderdate"), "ticks": (t("ticks"), "ts")}, "2001-11-09"),
+        "ic_by_date": lambda t: xs.ic_by_date(panel(t), "momentum", "fwd20"),
+        "ic_summary": lambda t: xs.ic_summary(xs.ic_by_date(panel(t), "volatility", "fwd20").withColumn("factor", F.lit("volatility")), ["factor"]),
+        "cs_rank_label": lambda t: xs.rank_label(ret(t).select("date", "symbol", "fwd20"), "fwd20"),
+        "short_horizon_signals": lambda t: xs.short_horizon_signals(t("bars")),
+        "short_horizon_counts": lambda t: xs.to_long(xs.short_horizon_signals(t("bars")), short, "fwd1").where("score is not null and fwd1 is not null").groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.avg((F.signum("score") == F.signum("fwd1")).cast("double")).alias("hit")),
+        "ls_quintile": lambda t: legs(t)[0],
+        "turnover": lambda t: legs(t)[1],
+        "cost_sweep": lambda t: xs.cost_sweep(*legs(t)),
+        "triple_barrier": lambda t: labels.triple_barrier(t("bars")),
+        "uniqueness_weights": lambda t: labels.uniqueness(t("bars").where("day(date) <= 3").select("symbol", C("date").alias("t0"), F.date_add("date", 28).alias("t1"))),
+        "purged_folds": lambda t: labels.purged_folds(t("bench")),
+        "backtest_equity": curve,
+        "trade_log": lambda t: backtest.trades(curve(t)),
+        "perf_stats": lambda t: backtest.statistics(curve(t)),
+        "trade_stats": lambda t: backtest.trade_statistics(backtest.trades(curve(t))),
+        "psr": lambda t: backtest.probabilistic_sharpe(ret(t), "symbol", "r1"),
+        "markov_roll": lambda t: fac.markov_score(bench(t)),
+        "markov_matrix": lambda t: fac.markov_matrix(bench(t)),
+        "regime_scores": lambda t: fac.regime_scores(t("market_regime")),
+        "valuation_scores": lambda t: fac.valuation(t("fundamentals")),
+        "dominance_events": lambda t: studies.dominance_events(t("deals")),
+        "deal_drift": drift,
+        "deal_drift_summary": lambda t: studies.drift_summary(drift(t), "car5"),
+        "delivery_score": lambda t: studies.delivery_score(t("delivery")),
+        "corr_matrix": lambda t: studies.correlations(t("bars")),
+        "position_sizes": lambda t: studies.position_sizes(t("bars")),
+        "ledger_positions": lambda t: studies.ledger_positions(t("ledger")),
+        "ledger_cash": lambda t: studies.ledger_cash(t("ledger")),
+        "iv_skew": lambda t: studies.iv_skew(t("option_chain")),
+        "news_sentiment": lambda t: studies.news_sentiment(t("news")),
+    }
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in _queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
