@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("symbol").orderBy("date")
-DATE = Window.partitionBy("date")
+
+def by_symbol() -> WindowSpec:
+    """A symbol's rows in order of date. Made when it is used, as a window needs a session."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -14,23 +20,23 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-def over_rows(n: int, window=ROW):
+def over_rows(n: int, window: WindowSpec | None = None):
     """The last n rows, this one included."""
-    return window.rowsBetween(-(n - 1), 0)
+    return (window or by_symbol()).rowsBetween(-(n - 1), 0)
 
 
-def rolling(fn, x: Column, n: int, least: int | None = None, window=ROW) -> Column:
+def rolling(fn, x: Column, n: int, least: int | None = None, window: WindowSpec | None = None) -> Column:
     """fn over the last n rows; null until ``least`` values (n, if not given) are there."""
     frame = over_rows(n, window)
     return F.when(F.count(x).over(frame) >= (n if least is None else least), fn(x).over(frame))
 
 
-def change(x: Column, k: int, window=ROW) -> Column:
-    return x / F.lag(x, k).over(window) - 1
+def change(x: Column, k: int, window: WindowSpec | None = None) -> Column:
+    return x / F.lag(x, k).over(window or by_symbol()) - 1
 
 
-def forward(x: Column, k: int, window=ROW) -> Column:
-    return F.lead(x, k).over(window) / x - 1
+def forward(x: Column, k: int, window: WindowSpec | None = None) -> Column:
+    return F.lead(x, k).over(window or by_symbol()) / x - 1
 
 
 def average_rank(x: Column, by) -> Column:

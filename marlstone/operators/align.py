@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import ROW
+from marlstone.functions.expr import by_symbol
 
 C = F.col
 
@@ -21,7 +21,7 @@ def asof(left: DataFrame, right: DataFrame, value: str, by: list[str], on: str =
 
 def nth_bar_returns(signals: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
     """Entry at the last bar at or before a signal's date; exits at the h-th bar strictly after it."""
-    numbered = bars.select("symbol", "date", "close", *(F.lead("close", h).over(ROW).alias(f"x{h}") for h in horizons))
+    numbered = bars.select("symbol", "date", "close", *(F.lead("close", h).over(by_symbol()).alias(f"x{h}") for h in horizons))
     packed = numbered.withColumn("bar", F.struct("date", "close", *(f"x{h}" for h in horizons)))
     d = asof(signals, packed, "bar", ["symbol"])
     return d.select("symbol", "date", C("bar.date").alias("entry_date"), C("bar.close").alias("entry"), *((C(f"bar.x{h}") / C("bar.close") - 1).alias(f"ret{h}") for h in horizons))

@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import ROW, change, norm_cdf
+from marlstone.functions.expr import by_symbol, change, norm_cdf
 
 C = F.col
 
 
 def equity(signals: DataFrame, cost: float = 0.0015) -> DataFrame:
     """Long-only: yesterday's signal is today's position, a change of it costs. (symbol, date, close, signal) for all symbols in one plan."""
-    pos = F.coalesce(F.greatest(F.lag("signal").over(ROW), F.lit(0)), F.lit(0))
+    pos = F.coalesce(F.greatest(F.lag("signal").over(by_symbol()), F.lit(0)), F.lit(0))
     d = signals.select("symbol", "date", "close", pos.alias("position"), F.coalesce(change(C("close"), 1), F.lit(0.0)).alias("ret"))
-    d = d.withColumn("traded", F.abs(C("position") - F.coalesce(F.lag("position").over(ROW), F.lit(0)))).withColumn("net", C("position") * C("ret") - cost * C("traded"))
-    run = ROW.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("traded", F.abs(C("position") - F.coalesce(F.lag("position").over(by_symbol()), F.lit(0)))).withColumn("net", C("position") * C("ret") - cost * C("traded"))
+    run = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("equity", F.exp(F.sum(F.log1p("net")).over(run))).withColumn("hold", F.exp(F.sum(F.log1p("ret")).over(run)))
     return d.withColumn("drawdown", C("equity") / F.max("equity").over(run) - 1).select("symbol", "date", "position", "net", "equity", "hold", "drawdown")
 
 
 def trades(curve: DataFrame) -> DataFrame:
     """Round trips: runs of held bars; a run that reaches the last bar is closed there."""
-    start = F.when((C("position") == 1) & (F.coalesce(F.lag("position").over(ROW), F.lit(0)) == 0), 1).otherwise(0)
-    d = curve.withColumn("_s", start).withColumn("trade", F.sum("_s").over(ROW.rowsBetween(Window.unboundedPreceding, 0))).where("position = 1")
+    start = F.when((C("position") == 1) & (F.coalesce(F.lag("position").over(by_symbol()), F.lit(0)) == 0), 1).otherwise(0)
+    d = curve.withColumn("_s", start).withColumn("trade", F.sum("_s").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))).where("position = 1")
     return d.groupBy("symbol", "trade").agg(F.min("date").alias("entry_date"), F.max("date").alias("exit_date"), F.count(F.lit(1)).alias("bars"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("ret"))
 
 

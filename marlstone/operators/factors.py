@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import ROW, change, clip, rolling
+from marlstone.functions.expr import by_symbol, change, clip, rolling
 from marlstone.operators.indicators import percentile_of_last
 
 C = F.col
@@ -53,16 +53,16 @@ def rank_latest(bars: DataFrame) -> DataFrame:
 def markov_score(closes: DataFrame, window: int = 60, band: float = 0.005) -> DataFrame:
     """P(rise) - P(fall) after the last state of the ``window`` bars that end the bar before; 0 while warming up. One series (date, close) per symbol."""
     r = change(C("close"), 1)
-    d = closes.withColumn("_r", r).withColumn("s", F.when(C("_r") > band, 1).when(C("_r") < -band, -1).when(C("_r").isNotNull(), 0)).withColumn("p", F.lag("s").over(ROW))
-    frame = ROW.rowsBetween(-(window - 1), -1)
-    d = d.withColumn("last", F.lag("s").over(ROW))
+    d = closes.withColumn("_r", r).withColumn("s", F.when(C("_r") > band, 1).when(C("_r") < -band, -1).when(C("_r").isNotNull(), 0)).withColumn("p", F.lag("s").over(by_symbol()))
+    frame = by_symbol().rowsBetween(-(window - 1), -1)
+    d = d.withColumn("last", F.lag("s").over(by_symbol()))
     for a in (-1, 0, 1):
         hit = (C("p") == a).cast("long")
         d = d.withColumn(f"n{a}", F.sum(hit).over(frame)).withColumn(f"u{a}", F.sum(hit * C("s")).over(frame))
     score = F.lit(None).cast("double")
     for a in (-1, 0, 1):
         score = F.when((C("last") == a) & (C(f"n{a}") > 0), C(f"u{a}") / C(f"n{a}")).otherwise(score)
-    warm = F.count("s").over(ROW.rowsBetween(-window, -1)) >= window
+    warm = F.count("s").over(by_symbol().rowsBetween(-window, -1)) >= window
     return d.select("symbol", "date", F.when(warm, F.coalesce(score, F.lit(0.0))).otherwise(0.0).alias("markov"))
 
 
@@ -70,7 +70,7 @@ def markov_matrix(closes: DataFrame, band: float = 0.005) -> DataFrame:
     """Transition counts and probabilities over the whole history of each symbol."""
     r = change(C("close"), 1)
     d = closes.withColumn("_r", r).withColumn("state", F.when(C("_r") > band, "BULL").when(C("_r") < -band, "BEAR").when(C("_r").isNotNull(), "SIDE"))
-    d = d.withColumn("prev", F.lag("state").over(ROW)).where("prev is not null")
+    d = d.withColumn("prev", F.lag("state").over(by_symbol())).where("prev is not null")
     n = d.groupBy("symbol", "prev", "state").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("p", C("n") / F.sum("n").over(Window.partitionBy("symbol", "prev")))
 

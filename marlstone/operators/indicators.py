@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.ewm import ewm_mean
-from marlstone.functions.expr import ROW, change, forward, over_rows, rolling
+from marlstone.functions.expr import by_symbol, change, forward, over_rows, rolling
 
 C = F.col
 
@@ -14,7 +14,7 @@ C = F.col
 def returns(bars: DataFrame, back: tuple[int, ...] = (1, 5, 21), ahead: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
     """Simple, log and forward returns."""
     cols = [change(C("close"), k).alias(f"r{k}") for k in back] + [forward(C("close"), k).alias(f"fwd{k}") for k in ahead]
-    before = F.lag("close").over(ROW)
+    before = F.lag("close").over(by_symbol())
     log = F.when((C("close") > 0) & (before > 0), F.ln(C("close") / before)).alias("log_r1")
     return bars.select("symbol", "date", "close", *cols, log)
 
@@ -34,15 +34,15 @@ def sma_bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame
 
 def drawdown_equity(bars: DataFrame) -> DataFrame:
     """Growth of 1 since the first bar, running peak and drawdown."""
-    first = F.first("close").over(ROW.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     d = bars.select("symbol", "date", (C("close") / first).alias("equity"))
-    peak = F.max("equity").over(ROW.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("equity").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("peak", peak).withColumn("drawdown", C("equity") / C("peak") - 1)
 
 
 def rsi_ewm(bars: DataFrame, n: int = 14) -> DataFrame:
     """RSI from exponentially weighted mean gains and losses (com n - 1, adjusted)."""
-    d = bars.withColumn("_d", C("close") - F.lag("close").over(ROW))
+    d = bars.withColumn("_d", C("close") - F.lag("close").over(by_symbol()))
     d = d.withColumn("gain", F.when(C("_d").isNotNull(), F.greatest(C("_d"), F.lit(0.0)))).withColumn("loss", F.when(C("_d").isNotNull(), F.greatest(-C("_d"), F.lit(0.0))))
     d = ewm_mean(ewm_mean(d, "gain", "avg_gain", 1 / n, True, n), "loss", "avg_loss", 1 / n, True, n)
     return d.select("symbol", "date", "close", F.when(C("avg_loss") == 0, 100.0).otherwise(100 - 100 / (1 + C("avg_gain") / C("avg_loss"))).alias("rsi"))
@@ -53,14 +53,14 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
     d = ewm_mean(ewm_mean(bars, "close", "fast", 2 / (fast + 1), False), "close", "slow", 2 / (slow + 1), False)
     d = ewm_mean(d.withColumn("macd", C("fast") - C("slow")), "macd", "signal", 2 / (signal + 1), False)
     d = d.withColumn("hist", C("macd") - C("signal"))
-    before = F.lag("hist").over(ROW)
+    before = F.lag("hist").over(by_symbol())
     cross = F.when((before <= 0) & (C("hist") > 0), "bullish").when((before >= 0) & (C("hist") < 0), "bearish").otherwise("none")
     return d.select("symbol", "date", "close", "macd", "signal", "hist", cross.alias("crossing"))
 
 
 def atr_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     """Average true range as an exponentially weighted mean of weight 1/n; the first true range has no close before it."""
-    before = F.lag("close").over(ROW)
+    before = F.lag("close").over(by_symbol())
     tr = F.greatest(C("high") - C("low"), F.abs(C("high") - before), F.abs(C("low") - before))
     return ewm_mean(bars.withColumn("tr", tr), "tr", "atr", 1 / n, False, n).select("symbol", "date", "tr", "atr")
 
@@ -69,16 +69,16 @@ def hysteresis(bars: DataFrame, n: int = 20, enter: float = -1.5, leave: float =
     """1 from a z-score below ``enter`` until one of ``leave`` or more: the last decision that isn't null."""
     z = (C("close") - rolling(F.avg, C("close"), n)) / rolling(F.stddev_samp, C("close"), n)
     d = bars.select("symbol", "date", z.alias("z"))
-    state = F.last(F.when(C("z") < enter, 1).when(C("z") >= leave, 0), ignorenulls=True).over(ROW.rowsBetween(Window.unboundedPreceding, 0))
+    state = F.last(F.when(C("z") < enter, 1).when(C("z") >= leave, 0), ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("state", F.coalesce(state, F.lit(0)))
 
 
 def streaks(bars: DataFrame) -> DataFrame:
     """Length of the run of rises or falls that each bar stands in."""
-    move = F.signum(C("close") - F.lag("close").over(ROW)).cast("int")
+    move = F.signum(C("close") - F.lag("close").over(by_symbol())).cast("int")
     d = bars.select("symbol", "date", F.coalesce(move, F.lit(0)).alias("move"))
-    new = F.when(C("move") == F.lag("move").over(ROW), 0).otherwise(1)
-    d = d.withColumn("_new", new).withColumn("run", F.sum("_new").over(ROW.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.when(C("move") == F.lag("move").over(by_symbol()), 0).otherwise(1)
+    d = d.withColumn("_new", new).withColumn("run", F.sum("_new").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn("streak", F.row_number().over(Window.partitionBy("symbol", "run").orderBy("date")).cast("long")).select("symbol", "date", "move", "streak")
 
 

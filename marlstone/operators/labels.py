@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import ROW, change, rolling
+from marlstone.functions.expr import by_symbol, change, rolling
 
 C = F.col
 
@@ -13,7 +13,7 @@ C = F.col
 def triple_barrier(bars: DataFrame, days: int = 20, width: float = 2.5, cost: float = 0.0015) -> DataFrame:
     """1, -1 or 0 by the barrier that the path of ``days`` closes meets first, and after how many bars. Null without a deviation or a whole path."""
     d = bars.select("symbol", "date", "close", change(C("close"), 1).alias("_r"))
-    d = d.withColumn("_v", rolling(F.stddev_samp, C("_r"), 20)).withColumn("path", F.collect_list("close").over(ROW.rowsBetween(1, days)))
+    d = d.withColumn("_v", rolling(F.stddev_samp, C("_r"), 20)).withColumn("path", F.collect_list("close").over(by_symbol().rowsBetween(1, days)))
     d = d.withColumn("w", F.greatest(width * C("_v"), F.lit(cost))).where((F.size("path") == days) & C("_v").isNotNull())
     side = F.transform("path", lambda p: F.when(p / C("close") - 1 - cost >= C("w"), 1).when(p / C("close") - 1 + cost <= -C("w"), -1).otherwise(0))
     d = d.withColumn("_h", F.transform(side, lambda s: s != 0)).withColumn("_s", side)

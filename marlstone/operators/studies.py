@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import ROW, change, rolling
+from marlstone.functions.expr import by_symbol, change, rolling
 
 C = F.col
 
@@ -20,7 +20,7 @@ def dominance_events(deals: DataFrame, least: float = 0.5) -> DataFrame:
 
 def event_drift(events: DataFrame, bars: DataFrame, bench: DataFrame, horizons: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
     """Return from the bar after the event over h bars, less the benchmark's over the same dates. A bar on the event's day is needed."""
-    b = bars.select("symbol", "date", F.lead("date").over(ROW).alias("entry_date"), F.lead("close").over(ROW).alias("entry"), *(x for h in horizons for x in (F.lead("close", 1 + h).over(ROW).alias(f"x{h}"), F.lead("date", 1 + h).over(ROW).alias(f"d{h}"))))
+    b = bars.select("symbol", "date", F.lead("date").over(by_symbol()).alias("entry_date"), F.lead("close").over(by_symbol()).alias("entry"), *(x for h in horizons for x in (F.lead("close", 1 + h).over(by_symbol()).alias(f"x{h}"), F.lead("date", 1 + h).over(by_symbol()).alias(f"d{h}"))))
     d = events.join(b, ["symbol", "date"])
     m = bench.select(C("date").alias("_d"), C("close").alias("_c"))
     d = d.join(m.select(C("_d").alias("entry_date"), C("_c").alias("m0")), "entry_date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import DATE, ROW, average_rank, change, rolling
+from marlstone.functions.expr import by_date, by_symbol, average_rank, change, rolling
 
 C = F.col
 
@@ -27,13 +27,13 @@ def ic_summary(ic: DataFrame, by: list[str]) -> DataFrame:
 def rank_label(panel: DataFrame, target: str, least: int = 5) -> DataFrame:
     """Rank among the date's names on [-1, 1]; null for dates with too few."""
     d = panel.where(C(target).isNotNull())
-    n = F.count(F.lit(1)).over(DATE)
+    n = F.count(F.lit(1)).over(by_date())
     return d.select("date", "symbol", target, F.when(n >= least, average_rank(C(target), ["date"]) / n * 2 - 1).alias("rank_label"))
 
 
 def short_horizon_signals(bars: DataFrame) -> DataFrame:
     r = {k: change(C("close"), k) for k in (1, 3, 5, 21)}
-    d = bars.select("symbol", "date", "close", (-r[1]).alias("rev1"), (-r[3]).alias("rev3"), (-r[5]).alias("rev5"), r[1].alias("_r"), (F.lag("close", 5).over(ROW) / F.lag("close", 26).over(ROW) - 1).alias("mom21_skip5"), (F.lead("close", 1).over(ROW) / C("close") - 1).alias("fwd1"))
+    d = bars.select("symbol", "date", "close", (-r[1]).alias("rev1"), (-r[3]).alias("rev3"), (-r[5]).alias("rev5"), r[1].alias("_r"), (F.lag("close", 5).over(by_symbol()) / F.lag("close", 26).over(by_symbol()) - 1).alias("mom21_skip5"), (F.lead("close", 1).over(by_symbol()) / C("close") - 1).alias("fwd1"))
     vol = rolling(F.stddev_samp, C("_r"), 20)
     return d.withColumn("_v", vol).select("symbol", "date", "rev1", "rev3", "rev5", F.when(C("_v") > 0, C("rev3") / C("_v")).alias("rev3_vol"), "mom21_skip5", (-C("_v")).alias("lowvol"), "fwd1")
 
@@ -44,7 +44,7 @@ def to_long(panel: DataFrame, signals: list[str], target: str) -> DataFrame:
 
 def quantile_legs(panel: DataFrame, score: str, target: str, share: float = 0.2, least: int = 5) -> DataFrame:
     """Mean target of the top and bottom floor(n * share) names (one at least) and their difference, by date; ties by symbol."""
-    d = panel.where(C(score).isNotNull() & C(target).isNotNull()).withColumn("n", F.count(F.lit(1)).over(DATE)).where(C("n") >= least)
+    d = panel.where(C(score).isNotNull() & C(target).isNotNull()).withColumn("n", F.count(F.lit(1)).over(by_date())).where(C("n") >= least)
     k = F.greatest(F.floor(C("n") * share), F.lit(1))
     up = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(score), "symbol"))
     down = F.row_number().over(Window.partitionBy("date").orderBy(score, F.desc("symbol")))
@@ -54,7 +54,7 @@ def quantile_legs(panel: DataFrame, score: str, target: str, share: float = 0.2,
 
 def turnover(panel: DataFrame, score: str, share: float = 0.2, least: int = 5) -> DataFrame:
     """Share of the top leg's names that weren't in it on the rebalance before; 1 on the first."""
-    d = panel.where(C(score).isNotNull()).withColumn("n", F.count(F.lit(1)).over(DATE)).where(C("n") >= least)
+    d = panel.where(C(score).isNotNull()).withColumn("n", F.count(F.lit(1)).over(by_date())).where(C("n") >= least)
     up = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(score), "symbol"))
     top = d.withColumn("_u", up).where(C("_u") <= F.greatest(F.floor(C("n") * share), F.lit(1))).select("date", "symbol")
     dates = top.select("date").distinct().withColumn("o", F.row_number().over(Window.orderBy("date")))
