@@ -18,7 +18,7 @@ C = F.col
 
 
 # Columns handed through from the inputs: exact, so there is nothing to round.
-EXACT = {"close", "open", "high", "low", "vix", "entry", "delivery_pct", "m"}
+EXACT = {"close", "open", "high", "low", "vix", "entry", "delivery_pct", "m", "tr"}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def _month_first(bars: DataFrame) -> DataFrame:
 
 def _halves(regime: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An old table up to mid-1998, and new rows from 1998 on that name the volatility only."""
+    regime = regime.withColumn("fo_net_long", C("fo_net_long").cast("double"))
     old = regime.where("date < date '1998-07-01'")
     new = regime.where("date >= date '1998-01-01'").select("date", (C("vix") + 1).alias("vix"))
     return old, new

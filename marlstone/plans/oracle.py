@@ -96,7 +96,7 @@ SQL = {
     "drawdown_equity": _sql("bars", f"select symbol, date, round(e,6) as equity, round(max(e) {_RUN},6) as peak, round(e/max(e) {_RUN}-1,6) as drawdown from d", f"d as (select symbol, date, close/first_value(close) over w e from bars {_W})"),
     "rsi_ewm": _sql("bars", "select symbol, date, close, round(case when al=0 then 100.0 else 100-100/(1+ag/al) end,6) as rsi from y", f"d as (select symbol, date, close, close-lag(close) over w x from bars {_W}), g as (select *, greatest(x,0.0) gain, greatest(-x,0.0) loss from d), x as (select symbol, date, close, loss, ag from {_ewm('(select symbol,date,close,case when x is not null then gain end gain, case when x is not null then loss end loss from g)', 'gain', 'ag', '(1/14.0::double)', True, 14)}), y as (select * from {_ewm('x', 'loss', 'al', '(1/14.0::double)', True, 14)})"),
     "macd_ewm": _sql("bars", f"select symbol, date, close, round(m,6) as macd, round(sg,6) as signal, round(m-sg,6) as hist, case when lag(m-sg) over w<=0 and m-sg>0 then 'bullish' when lag(m-sg) over w>=0 and m-sg<0 then 'bearish' else 'none' end as crossing from s {_W}", f"f as (select symbol, date, close, ef from {_ewm('bars', 'close', 'ef', '(2/13.0::double)', False)}), l as (select symbol, date, close, ef-es m from {_ewm('f', 'close', 'es', '(2/27.0::double)', False)}), s as (select symbol, date, close, m, sg from {_ewm('l', 'm', 'sg', '(2/10.0::double)', False)})"),
-    "atr_wilder": _sql("bars", "select symbol, date, round(tr,6) as tr, round(a,6) as atr from x", f"t as (select symbol, date, greatest(high-low, abs(high-lag(close) over w), abs(low-lag(close) over w)) tr from bars {_W}), x as (select * from {_ewm('t', 'tr', 'a', '(1/14.0::double)', False, 14)})"),
+    "atr_wilder": _sql("bars", "select symbol, date, tr, round(a,6) as atr from x", f"t as (select symbol, date, greatest(high-low, abs(high-lag(close) over w), abs(low-lag(close) over w)) tr from bars {_W}), x as (select * from {_ewm('t', 'tr', 'a', '(1/14.0::double)', False, 14)})"),
     "hysteresis_state": _sql("bars", "select symbol, date, round(z,6) as z, state from h", _HYST),
     "streaks": _sql("bars", "select symbol, date, move, row_number() over (partition by symbol, run order by date) as streak from c", f"a as (select symbol, date, coalesce(cast(sign(close-lag(close) over w) as int),0) move from bars {_W}), b as (select *, case when move=lag(move) over w then 0 else 1 end nw from a {_W}), c as (select *, sum(nw) {_RUN} run from b)"),
     "candles_15m": _sql("ticks", "select symbol, time_bucket(interval '15 minutes', ts) as start, arg_min(price, (ts, event_id)) as open, max(price) as high, min(price) as low, arg_max(price, (ts, event_id)) as close, count(*) as n from ticks group by 1, 2"),
@@ -108,9 +108,9 @@ SQL = {
     "pit_filter": _sql("bars membership", "select symbol, date, close from bars b where exists (select 1 from membership m where m.index_name='1-URGENT' and m.symbol=b.symbol and b.date between m.effective_from and coalesce(m.effective_to, date '9999-12-31'))"),
     "members_on": _sql("membership", "select distinct index_name, symbol from membership where effective_from<=date '1998-03-31' and (effective_to is null or effective_to>=date '1998-03-31')"),
     "interval_errors": _sql("membership", "select symbol, index_name, effective_from, 'inverted' as error from a where effective_to<effective_from union all select symbol, index_name, effective_from, 'overlap' from a where b>=effective_from", "a as (select *, lag(coalesce(effective_to, date '9999-12-31')) over (partition by symbol order by effective_from, index_name) b from membership)"),
-    "upsert_replace": _sql("market_regime", "select date, vix, round(flow,6) as flow, fo_net_long from market_regime where date<date '1998-01-01' union all select date, vix+1, null, null from market_regime where date>=date '1998-01-01'"),
-    "upsert_ignore": _sql("market_regime", "select date, vix, round(flow,6) as flow, fo_net_long from market_regime where date<date '1998-07-01' union all select date, vix+1, null, null from market_regime where date>=date '1998-07-01'"),
-    "upsert_columns": _sql("market_regime", "select date, case when date>=date '1998-01-01' then vix+1 else vix end as vix, round(case when date<date '1998-07-01' then flow end,6) as flow, case when date<date '1998-07-01' then fo_net_long end as fo_net_long from market_regime"),
+    "upsert_replace": _sql("market_regime", "select date, vix, round(flow,6) as flow, cast(fo_net_long as double) as fo_net_long from market_regime where date<date '1998-01-01' union all select date, vix+1, null, null from market_regime where date>=date '1998-01-01'"),
+    "upsert_ignore": _sql("market_regime", "select date, vix, round(flow,6) as flow, cast(fo_net_long as double) as fo_net_long from market_regime where date<date '1998-07-01' union all select date, vix+1, null, null from market_regime where date>=date '1998-07-01'"),
+    "upsert_columns": _sql("market_regime", "select date, case when date>=date '1998-01-01' then vix+1 else vix end as vix, round(case when date<date '1998-07-01' then flow end,6) as flow, case when date<date '1998-07-01' then cast(fo_net_long as double) end as fo_net_long from market_regime"),
     "upsert_missing": _sql("market_regime", "select date, vix+1 as vix from market_regime where date>=date '1998-07-01'"),
     "freshness": _sql("bars ticks", "select table_name, max_date, case when max_date<date '2001-11-09' then (select count(*) from range(cast(max_date as timestamp)+interval 1 day, timestamp '2001-11-10', interval 1 day) t(d) where isodow(d)<6) else 0 end as lag_days, coalesce(case when max_date<date '2001-11-09' then (select count(*) from range(cast(max_date as timestamp)+interval 1 day, timestamp '2001-11-10', interval 1 day) t(d) where isodow(d)<6) else 0 end>2, true) as stale from f", "f as (select 'bars' table_name, max(date) max_date from bars union all select 'orders', cast(max(o_orderdate) as date) from orders union all select 'ticks', cast(max(ts) as date) from ticks)"),
     "ic_by_date": _sql("bars", "select date, n, round(ic,6) as ic from ic", _ic("momentum")),
