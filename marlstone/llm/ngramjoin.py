@@ -156,8 +156,10 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each class with one centre by prefix shingle: the class that holds the shingle in the earliest place, which of near copies is the least edited one."""
-    centre = postings.where(_indexed(F.col("pos"), F.col("n"), percent)).groupBy("gram").agg(F.min(F.struct("pos", "cid", "n")).alias("c"))
+    """Each class with one centre by prefix shingle: the class that holds the shingle in the earliest place, which of near copies
+    is the least edited one. A column ``prefer``, if there, comes before the place; smaller is better."""
+    by = ["prefer"] if "prefer" in postings.columns else []
+    centre = postings.where(_indexed(F.col("pos"), F.col("n"), percent)).groupBy("gram").agg(F.min(F.struct(*by, "pos", "cid", "n")).alias("c"))
     met = postings.join(centre, "gram").where((F.col("cid") != F.col("c.cid")) & _length(F.col("n"), F.col("c.n"), percent) & _position(F.col("pos"), F.col("n"), F.col("c.pos"), F.col("c.n"), percent))
     return met.select(F.least("c.cid", "cid").alias("a"), F.greatest("c.cid", "cid").alias("b")).distinct()
 
