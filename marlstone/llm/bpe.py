@@ -25,6 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.spool import spool
 from marlstone.llm.textbytes import slices
 
 # The pattern and the special token of the vocabulary.
@@ -247,9 +248,21 @@ def count_words(docs: DataFrame, special: list[str], text: str = "text") -> Data
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS) -> Transducer:
-    """The ``size`` most frequent words of all documents (ties by word) as a transducer; at most ``size`` rows come to the driver."""
-    top = count_words(docs, list(vocabulary.special)).where(~F.col("word").isin(list(vocabulary.special) or [""])).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    words = sorted(w.encode() for w in top.column(0).to_pylist())
+    """The most frequent words of all documents, ``size`` at most, as a transducer.
+
+    A histogram of counts by eighths of a power of two gives the count from which on words fit in; no task sorts them all.
+    Words that stand in the corpus once are never among them.
+    """
+    special = list(vocabulary.special)
+    counts = spool(count_words(docs, special).where(F.col("n") >= 2), "words").where(~F.col("word").isin(special or [""]))
+    level = F.floor(F.log2("n") * 8).cast("int")
+    total, cut = 0, None
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += row["count"]
+        if total > size:
+            break
+        cut = row["level"]
+    words = sorted(w.encode() for w in counts.where(level >= cut).select("word").toArrow().column(0).to_pylist()) if cut is not None else []
     single = vocabulary.single()
     return Transducer.build(words, [merge_word([single[b] for b in w], vocabulary.pairs) for w in words])
 

@@ -120,7 +120,7 @@ def test_transducer_is_minimal_and_exact():
     words = sorted(w.encode() for w in ["tap", "taps", "top", "tops", "stop", "stops", "a", ""])
     t = bpe.Transducer.build(words, [[k] for k in range(len(words))])
     assert t.places(words).tolist() == list(range(len(words))) and (t.places([b"ta", b"tapss", b"x"]) == -1).all()
-    assert len(t.final) == 6  # start, s-, t(sto/t), and the shared ends
+    assert len(t.final) == 7  # start, s, st, t, the shared "p" and its end, and the shared last sign
 
 
 def test_neighbours_recall_and_odd_vectors(spark):
