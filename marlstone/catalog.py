@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, backtest, factors, indicators, labels, studies, upsert, xsection
+from marlstone.operators import align, backtest, factors, indicators, labels, models, studies, upsert, xsection
 from marlstone.plans import oracle
 from marlstone.sources.adapters import table
 
@@ -39,6 +39,14 @@ def _halves(regime: DataFrame) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
+def _strategies(bars: DataFrame) -> DataFrame:
+    """Symbols as strategies: their daily returns by the ordinal of the date."""
+    from pyspark.sql import Window
+
+    days = bars.select("date").distinct().withColumn("period", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
+    return bars.select("symbol", "date", indicators.change(C("close"), 1).alias("ret")).where("ret is not null").join(days, "date").select("period", C("symbol").alias("strategy"), "ret")
+
+
 def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     ind, fac, xs = indicators, factors, xsection
     ret = lambda t: ind.returns(t("bars"))
@@ -103,6 +111,19 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "ledger_positions": lambda t: studies.ledger_positions(t("ledger")),
         "ledger_cash": lambda t: studies.ledger_cash(t("ledger")),
         "iv_skew": lambda t: studies.iv_skew(t("option_chain")),
+        "ema_seeded": lambda t: ind.ema_seeded(t("bars")),
+        "rsi_textbook": lambda t: ind.rsi_wilder(t("bars")),
+        "index_trend": lambda t: fac.index_trend(bench(t)),
+        "sector_rotation": lambda t: fac.sector_rotation(t("sector_index"), t("bench")),
+        "cpcv_splits": lambda t: labels.combinatorial_splits(t("bench")),
+        "pbo": lambda t: backtest.overfitting_probability(_strategies(t("bars"))),
+        "exposure_dial": lambda t: backtest.dial(fac.index_trend(bench(t)).withColumnRenamed("trend", "score")),
+        "counterparties": lambda t: studies.counterparties(t("deals")),
+        "variance_premium": lambda t: studies.variance_premium(t("market_regime"), t("bench")),
+        "risk_report": lambda t: studies.risk_report(t("bars"), t("bench")),
+        "sector_concentration": lambda t: studies.concentration(t("ledger")),
+        "condor_legs": lambda t: studies.condor_legs(t("option_chain")),
+        "rf_scores": lambda t: models.forest_scores(fac.factor_scores(t("bars")).join(labels.triple_barrier(t("bars")), ["symbol", "date"], "left")),
         "news_sentiment": lambda t: studies.news_sentiment(t("news")),
     }
 

@@ -44,3 +44,36 @@ def probabilistic_sharpe(returns: DataFrame, by: str, value: str, benchmark: flo
     """Probability that the true Sharpe ratio (per period) exceeds ``benchmark``, by skewness and kurtosis of the returns."""
     g = returns.where(C(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.avg(value) / F.stddev_samp(value)).alias("sr"), F.skewness(value).alias("g3"), (F.kurtosis(value) + 3).alias("g4"))
     return g.select(by, "n", "sr", norm_cdf((C("sr") - benchmark) * F.sqrt(C("n") - 1) / F.sqrt(1 - C("g3") * C("sr") + (C("g4") - 1) / 4 * C("sr") * C("sr"))).alias("psr"))
+
+
+def overfitting_probability(returns: DataFrame, slices: int = 8) -> DataFrame:
+    """Probability of backtest overfitting over all choices of half the slices.
+
+    ``returns``: (period long from 0 without gaps, strategy, ret). A slice is kept as count, sum and sum of squares, so a choice
+    costs one row by strategy and slice. Per choice the best strategy inside is ranked outside; the result is the share of
+    choices where it lands in the lower half.
+    """
+    from itertools import combinations
+
+    last = returns.groupBy().agg((F.max("period") + 1).alias("n"))
+    d = returns.crossJoin(F.broadcast(last)).withColumn("slice", F.floor(C("period") * slices / C("n")).cast("int"))
+    m = d.groupBy("strategy", "slice").agg(F.count("ret").alias("k"), F.sum("ret").alias("s"), F.sum(C("ret") * C("ret")).alias("q"))
+    picks = returns.sparkSession.createDataFrame([(i, s, s in c) for i, c in enumerate(combinations(range(slices), slices // 2)) for s in range(slices)], "choice int, slice int, inside boolean")
+    g = m.join(F.broadcast(picks), "slice").groupBy("choice", "inside", "strategy").agg(F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = C("s") / C("k")
+    g = g.withColumn("sharpe", F.try_divide(mean, F.sqrt(F.greatest(C("q") / C("k") - mean * mean, F.lit(0.0)))))
+    best = g.where("inside").groupBy("choice").agg(F.max_by("strategy", F.struct("sharpe", "strategy")).alias("strategy"))
+    out = g.where("not inside").withColumn("rank", F.rank().over(Window.partitionBy("choice").orderBy("sharpe"))).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("choice")))
+    r = out.join(best, ["choice", "strategy"]).withColumn("w", C("rank") / (C("of") + 1))
+    return r.agg(F.avg((C("w") <= 0.5).cast("double")).alias("pbo"), F.avg(F.ln(C("w") / (1 - C("w")))).alias("mean_logit"), F.count(F.lit(1)).alias("choices"))
+
+
+def dial(scores: DataFrame, lags: tuple[int, ...] = (1, 2), cash: tuple[float, ...] = (0.0, 0.06), cost: float = 0.0005) -> DataFrame:
+    """Exposure 0.5 + score, clipped to [0, 1] and lagged; the rest earns cash; changes cost. All settings in one pass. (symbol, date, close, score)."""
+    w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + C("score")))
+    d = scores.select("symbol", "date", F.coalesce(change(C("close"), 1), F.lit(0.0)).alias("r"), *(F.coalesce(F.lag(w, k).over(by_symbol()), F.lit(0.0)).alias(f"w{k}") for k in lags))
+    long = d.select("symbol", "date", "r", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), C(f"w{k}").alias("w")) for k in lags))).alias("x")).select("symbol", "date", "r", "x.*")
+    turn = F.abs(C("w") - F.coalesce(F.lag("w").over(Window.partitionBy("symbol", "lag").orderBy("date")), F.lit(0.0)))
+    d = long.withColumn("turn", turn).withColumn("cash", F.explode(F.array(*map(F.lit, cash)))).withColumn("net", C("w") * C("r") + (1 - C("w")) * C("cash") / 252 - C("turn") * cost)
+    g = d.groupBy("symbol", "lag", "cash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("net")).alias("_l"), (F.avg("net") * 252).alias("mean"), (F.stddev_samp("net") * F.sqrt(F.lit(252.0))).alias("vol"))
+    return g.select("symbol", "lag", "cash", "n", (F.exp(C("_l") * 252 / C("n")) - 1).alias("cagr"), "mean", "vol")

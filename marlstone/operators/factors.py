@@ -88,3 +88,17 @@ def valuation(fundamentals: DataFrame) -> DataFrame:
     health = F.array_compact(F.array(clip((1 - C("debt_to_equity")) / 1, -1, 1), clip(C("current_ratio") - 1, -1, 1)))
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
     return fundamentals.select("symbol", "industry", mean(value).alias("valuation"), mean(health).alias("health"))
+
+
+def index_trend(closes: DataFrame) -> DataFrame:
+    """Half by the distance to the 50-bar mean (30 bars at least), half by that to the 200-bar mean (100 at least), each times 10 and clipped."""
+    a, b = rolling(F.avg, C("close"), 50, 30), rolling(F.avg, C("close"), 200, 100)
+    part = lambda m: F.coalesce(clip((C("close") - m) / m * 10, -1, 1), F.lit(0.0)) * 0.5
+    return closes.select("symbol", "date", "close", (part(a) + part(b)).alias("trend"))
+
+
+def sector_rotation(sectors: DataFrame, bench: DataFrame, n: int = 20) -> DataFrame:
+    """A sector's n-bar return less the benchmark's on the same dates, over 0.2 and clipped."""
+    s = sectors.withColumn("symbol", C("index_name")).select("symbol", "date", change(C("close"), n).alias("rs"))
+    m = bench.withColumn("symbol", F.lit(0)).select("date", change(C("close"), n).alias("rb"))
+    return s.join(m, "date").select("symbol", "date", F.coalesce(clip((C("rs") - C("rb")) / 0.2, -1, 1), F.lit(0.0)).alias("rotation"))

@@ -86,3 +86,23 @@ def percentile_of_last(x: str, n: int, least: int, window) -> Column:
     """Share of the last n values that the current one reaches, ties at their mean rank."""
     a = F.collect_list(x).over(over_rows(n, window))
     return F.when((F.size(a) >= least) & C(x).isNotNull(), (F.size(F.filter(a, lambda v: v < C(x))) + (F.size(F.filter(a, lambda v: v == C(x))) + 1) / F.lit(2.0)) / F.size(a))
+
+
+def seeded(df: DataFrame, value: str, out: str, n: int, alpha: float) -> DataFrame:
+    """The recurrence y = y + alpha (x - y), started with the plain mean of the first n values that aren't null."""
+    k = F.count(value).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    mean = F.avg(value).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    d = df.withColumn("_x", F.when(k == n, mean).when(k > n, C(value)))
+    return ewm_mean(d, "_x", out, alpha, False).drop("_x")
+
+
+def ema_seeded(bars: DataFrame, n: int = 20) -> DataFrame:
+    return seeded(bars, "close", "ema", n, 2 / (n + 1)).select("symbol", "date", "close", "ema")
+
+
+def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
+    """RSI in the textbook form: mean gains and losses of n bars start Wilder's smoothing; without losses it is 100."""
+    d = bars.withColumn("_d", C("close") - F.lag("close").over(by_symbol()))
+    d = d.withColumn("gain", F.when(C("_d").isNotNull(), F.greatest(C("_d"), F.lit(0.0)))).withColumn("loss", F.when(C("_d").isNotNull(), F.greatest(-C("_d"), F.lit(0.0))))
+    d = seeded(seeded(d, "gain", "g", n, 1 / n), "loss", "l", n, 1 / n)
+    return d.select("symbol", "date", "close", F.when(C("l") == 0, 100.0).otherwise(100 - 100 / (1 + C("g") / C("l"))).alias("rsi"))

@@ -103,3 +103,51 @@ def news_sentiment(news: DataFrame) -> DataFrame:
     hits = F.array_compact(F.transform(F.split(F.lower("headline"), " "), lambda t: F.try_element_at(polarity, t)))
     d = d.withColumn("_h", hits).withColumn("score", F.when(F.size("_h") > 0, F.aggregate("_h", F.lit(0).cast("double"), lambda s, x: s + x) / F.size("_h")))
     return d.groupBy("symbol", "date").agg(F.avg("score").alias("sent_score"), F.count("score").alias("n_articles"), F.array_join(F.array_sort(F.collect_set(F.when(C("score").isNotNull(), C("source")))), ",").alias("sources"))
+
+
+# Kinds of counterparties by words of their names, first match wins.
+KINDS = (("FUND", "fund"), ("BANK", "bank"), ("#00000000", "house"), ("SUPPLIER", "trader"))
+
+
+def counterparties(deals: DataFrame) -> DataFrame:
+    """Deals and value by kind of counterparty and side."""
+    name = F.upper(F.concat(F.lit(" "), "client_name", F.lit(" ")))
+    kind = F.lit("other")
+    for word, label in reversed(KINDS):
+        kind = F.when(F.contains(name, F.lit(word)), label).otherwise(kind)
+    return deals.where(C("trade_type").isin("BUY", "SELL")).groupBy(kind.alias("kind"), "trade_type").agg(F.count(F.lit(1)).alias("deals"), F.sum((C("quantity") * C("price")).cast("decimal(18,2)")).cast("double").alias("value"))
+
+
+def variance_premium(regime: DataFrame, bench: DataFrame, n: int = 21) -> DataFrame:
+    """Volatility index less the volatility realised over the next n bars, by date."""
+    b = bench.withColumn("symbol", F.lit(0)).withColumn("_l", F.ln(C("close") / F.lag("close").over(by_symbol())))
+    frame = by_symbol().rowsBetween(1, n)
+    rv = F.when(F.count("_l").over(frame) == n, F.stddev_samp("_l").over(frame) * F.sqrt(F.lit(252.0)) * 100)
+    return b.select("date", rv.alias("realised")).where("realised is not null").join(regime.select("date", "vix"), "date").select("date", "vix", "realised", (C("vix") - C("realised")).alias("premium"))
+
+
+def risk_report(bars: DataFrame, bench: DataFrame, share: float = 0.05) -> DataFrame:
+    """By symbol: yearly volatility (population), beta on matching dates (30 at least), value at risk by the floor index of the sorted returns."""
+    d = bars.select("symbol", "date", change(C("close"), 1).alias("r")).where("r is not null")
+    m = bench.withColumn("symbol", F.lit(0)).select("date", change(C("close"), 1).alias("m")).where("m is not null")
+    beta = d.join(m, "date").groupBy("symbol").agg(F.when(F.count(F.lit(1)) >= 30, F.covar_pop("r", "m") / F.var_pop("m")).alias("beta"))
+    ranked = d.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("r")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    v = ranked.groupBy("symbol").agg((F.stddev_pop("r") * F.sqrt(F.lit(252.0))).alias("volatility"), F.max(F.when(C("k") == F.floor(C("n") * share), -C("r"))).alias("var"), F.count(F.lit(1)).alias("n"))
+    return v.join(beta, "symbol", "left").select("symbol", "n", "volatility", "beta", "var")
+
+
+def concentration(ledger: DataFrame, most: float = 0.25) -> DataFrame:
+    """Share of each sleeve in the value bought, and whether it is above ``most``."""
+    v = ledger.where("side = 'BUY'").groupBy("sleeve").agg(F.sum((C("qty") * C("price")).cast("decimal(18,2)")).alias("v"))
+    s = C("v").cast("double") / F.sum("v").over(Window.partitionBy()).cast("double")
+    return v.select("sleeve", C("v").cast("double").alias("value"), s.alias("share"), (s > most).alias("over"))
+
+
+def condor_legs(chain: DataFrame) -> DataFrame:
+    """By name and expiry the options nearest to deltas of 0.25, 0.1, -0.25 and -0.1, where all four are there and in order."""
+
+    def near(t: float, kind: str):
+        return F.min_by("strike", F.when(C("option_type") == kind, F.struct(F.abs(C("delta") - t), "option_id")))
+
+    d = chain.groupBy("name", "expiry_id").agg(near(0.25, "CE").alias("sell_call"), near(0.1, "CE").alias("buy_call"), near(-0.25, "PE").alias("sell_put"), near(-0.1, "PE").alias("buy_put"))
+    return d.where("buy_call > sell_call and sell_put > buy_put").withColumn("width", F.greatest(C("buy_call") - C("sell_call"), C("sell_put") - C("buy_put")))

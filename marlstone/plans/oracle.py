@@ -141,4 +141,15 @@ SQL = {
     "position_sizes": _sql("bars", "select symbol, close, round(w,6) as weight, cast(floor(w*1000000.0/close) as bigint) as shares from (select symbol, close, least((1/sd)/sum(1/sd) over (),0.05) w from (select * from e qualify row_number() over (partition by symbol order by date desc)=1) where sd>0)", f"d as (select symbol, date, close, close/lag(close) over w-1 r from bars {_W}), e as (select symbol, date, close, {_roll('stddev_samp', 'r', 20)} sd from d)"),
     "ledger_cash": _sql("ledger", 'select sleeve, round(cast(sum(cast(case when side=\'SELL\' then qty*price else -qty*price end as decimal(18,2))-cast(fees as decimal(18,2))) as double),6) as cash, count(*) as "rows" from ledger group by sleeve'),
     "iv_skew": _sql("option_chain", "select name, expiry_id, strikes, round((c50+p50)/2,6) as atm_iv, round(p25-c25,6) as rr25_skew from (select name, expiry_id, count(*) strikes, " + ", ".join(f"arg_min(iv, (abs(delta-({t})), option_id)) filter (abs(delta-({t}))<=0.15) {n}" for t, n in ((0.5, "c50"), (-0.5, "p50"), (0.25, "c25"), (-0.25, "p25"))) + " from option_chain group by 1,2)"),
+    "ema_seeded": _sql("bars", "select symbol, date, close, round(e,6) as ema from x", f"a as (select symbol, date, close, row_number() over w k, avg(close) {_RUN} m from bars {_W}), b as (select symbol, date, close, case when k=20 then m when k>20 then close end v from a), x as (select * from {_ewm('b', 'v', 'e', '(2/21.0::double)', False)})"),
+    "rsi_textbook": _sql("bars", "select symbol, date, close, round(case when l=0 then 100.0 else 100-100/(1+g/l) end,6) as rsi from y", f"d as (select symbol, date, close, close-lag(close) over w x from bars {_W}), a as (select symbol, date, close, count(x) {_RUN} k, case when x is not null then greatest(x,0.0) end g0, case when x is not null then greatest(-x,0.0) end l0 from d), b as (select symbol, date, close, case when k=14 then avg(g0) {_RUN} when k>14 then g0 end gv, case when k=14 then avg(l0) {_RUN} when k>14 then l0 end lv from a), x as (select symbol, date, close, lv, g from {_ewm('b', 'gv', 'g', '(1/14.0::double)', False)}), y as (select * from {_ewm('x', 'lv', 'l', '(1/14.0::double)', False)})"),
+    "index_trend": _sql("bench", f"select symbol, date, close, round(coalesce({_clip('(close-a)/a*10', -1.0, 1.0)},0.0)*0.5+coalesce({_clip('(close-b)/b*10', -1.0, 1.0)},0.0)*0.5,6) as trend from t", f"m0 as (select 'bench' symbol, date, close from bench), t as (select *, {_roll('avg', 'close', 50, 30)} a, {_roll('avg', 'close', 200, 100)} b from m0)"),
+    "sector_rotation": _sql("sector_index bench", f"select s.symbol, s.date, round(coalesce({_clip('(s.r-b.r)/0.2', -1.0, 1.0)},0.0),6) as rotation from s join b on s.date=b.date", f"s as (select index_name symbol, date, close/lag(close,20) over (partition by index_name order by date)-1 r from sector_index), b as (select date, close/lag(close,20) over (order by date)-1 r from bench)"),
+    "cpcv_splits": _sql("bench", "select combo, date, case when bool_or(o>=floor(g*n/6.0) and o<floor((g+1)*n/6.0)) then 'test' when bool_or(o>=floor(g*n/6.0)-20 and o<floor((g+1)*n/6.0)+25) then 'purged' else 'train' end as role from d, p group by combo, date", "d as (select date, row_number() over (order by date)-1 o, count(*) over () n from (select distinct date from bench)), c as (select a.g a, b.g b, cast(row_number() over (order by a.g, b.g)-1 as int) combo from range(6) a(g) join range(6) b(g) on a.g<b.g), p as (select combo, a g from c union all select combo, b from c)"),
+    "exposure_dial": _sql("bench", "select symbol, lag, cash, count(*) as n, round(exp(sum(ln(1+net))*252/count(*))-1,6) as cagr, round(avg(net)*252,6) as mean, round(stddev_samp(net)*sqrt(252.0::double),6) as vol from (select symbol, lag, c as cash, w*r+(1-w)*c/252-abs(w-coalesce(lag(w) over (partition by symbol, lag, c order by date),0.0))*0.0005 net from z, (values (0.0::double),(0.06::double)) v(c)) group by symbol, lag, cash", f"m0 as (select 'bench' symbol, date, close from bench), t as (select *, {_roll('avg', 'close', 50, 30)} a, {_roll('avg', 'close', 200, 100)} b from m0), u as (select symbol, date, close/lag(close) over w-1 r, greatest(0.0,least(1.0,0.5+coalesce({_clip('(close-a)/a*10', -1.0, 1.0)},0.0)*0.5+coalesce({_clip('(close-b)/b*10', -1.0, 1.0)},0.0)*0.5)) e from t {_W}), z as (select symbol, date, coalesce(r,0.0) r, cast(1 as int) lag, coalesce(lag(e,1) over w,0.0) w from u {_W} union all select symbol, date, coalesce(r,0.0), 2, coalesce(lag(e,2) over w,0.0) from u {_W})"),
+    "counterparties": _sql("deals", "select case when contains(u,'FUND') then 'fund' when contains(u,'BANK') then 'bank' when contains(u,'#00000000') then 'house' when contains(u,'SUPPLIER') then 'trader' else 'other' end as kind, trade_type, count(*) as deals, round(cast(sum(cast(quantity*price as decimal(18,2))) as double),6) as value from (select *, upper(client_name) u from deals) where trade_type in ('BUY','SELL') group by 1, 2"),
+    "variance_premium": _sql("market_regime bench", "select date, vix, round(rv,6) as realised, round(vix-rv,6) as premium from b join market_regime using (date) where rv is not null", "l as (select date, ln(close/lag(close) over (order by date)) x from bench), b as (select date, case when count(x) over f=21 then stddev_samp(x) over f*sqrt(252.0::double)*100 end rv from l window f as (order by date rows between 1 following and 21 following))"),
+    "risk_report": _sql("bars bench", "select symbol, n, round(v,6) as volatility, round(beta,6) as beta, round(vr,6) as var from (select symbol, count(*) n, stddev_pop(r)*sqrt(252.0::double) v, -max(case when k=floor(c*0.05) then r end) vr from q group by symbol) left join (select symbol, case when count(*)>=30 then covar_pop(r,m)/var_pop(m) end beta from d join mm using (date) group by symbol) using (symbol)", f"d as (select symbol, date, r from (select symbol, date, close/lag(close) over w-1 r from bars {_W}) where r is not null), mm as (select date, m from (select date, close/lag(close) over (order by date)-1 m from bench) where m is not null), q as (select symbol, r, row_number() over (partition by symbol order by r)-1 k, count(*) over (partition by symbol) c from d)"),
+    "sector_concentration": _sql("ledger", "select sleeve, round(cast(v as double),6) as value, round(cast(v as double)/cast(sum(v) over () as double),6) as share, cast(v as double)/cast(sum(v) over () as double)>0.25 as over from (select sleeve, sum(cast(qty*price as decimal(18,2))) v from ledger where side='BUY' group by sleeve)"),
+    "condor_legs": _sql("option_chain", "select name, expiry_id, round(sc,6) as sell_call, round(bc,6) as buy_call, round(sp,6) as sell_put, round(bp,6) as buy_put, round(greatest(bc-sc,sp-bp),6) as width from (select name, expiry_id, " + ", ".join(f"arg_min(strike, (abs(delta-({t})), option_id)) filter (option_type='{k}') {n}" for t, k, n in ((0.25, "CE", "sc"), (0.1, "CE", "bc"), (-0.25, "PE", "sp"), (-0.1, "PE", "bp"))) + " from option_chain group by 1, 2) where bc>sc and sp>bp"),
 }
