@@ -91,7 +91,7 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "turnover": lambda t: legs(t)[1],
         "cost_sweep": lambda t: xs.cost_sweep(*legs(t)),
         "triple_barrier": lambda t: labels.triple_barrier(t("bars")),
-        "uniqueness_weights": lambda t: labels.uniqueness(t("bars").where("day(date) <= 3").select("symbol", C("date").alias("t0"), F.date_add("date", 28).alias("t1"))),
+        "uniqueness_weights": lambda t: labels.uniqueness(labels.label_spans(t("bars"), labels.triple_barrier(t("bars")))),
         "purged_folds": lambda t: labels.purged_folds(t("bench")),
         "backtest_equity": curve,
         "trade_log": lambda t: backtest.trades(curve(t)),

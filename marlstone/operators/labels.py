@@ -21,6 +21,13 @@ def triple_barrier(bars: DataFrame, days: int = 20, width: float = 2.5, cost: fl
     return d.select("symbol", "date", F.when(at > 0, F.element_at("_s", F.greatest(at, F.lit(1)).cast("int"))).otherwise(0).alias("label"), F.when(at > 0, at).otherwise(days).cast("long").alias("bars_held"))
 
 
+def label_spans(bars: DataFrame, events: DataFrame, days: int = 20) -> DataFrame:
+    """(symbol, t0, t1) of every labelled bar: from its date to the date of the bar ``bars_held`` later."""
+    ahead = bars.select("symbol", "date", F.collect_list("date").over(by_symbol().rowsBetween(1, days)).alias("_ahead"))
+    held = events.where(C("label").isNotNull()).select("symbol", "date", C("bars_held").cast("int").alias("_held"))
+    return ahead.join(held, ["symbol", "date"]).select("symbol", C("date").alias("t0"), F.element_at("_ahead", C("_held")).alias("t1"))
+
+
 def uniqueness(spans: DataFrame) -> DataFrame:
     """Mean of 1 / (labels alive) over each label's span of dates [t0, t1]; the calendar is the distinct t0.
 
