@@ -75,8 +75,9 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "nth_bar_returns": lambda t: align.nth_bar_returns(_month_first(t("bars")), t("bars")),
         "relative_strength": lambda t: align.asof(t("bars").select("symbol", "date", "close"), t("bench").withColumnRenamed("close", "m"), "m", []).withColumn("rs", indicators.change(C("close"), 63) - indicators.change(C("m"), 63)),
         "pit_filter": lambda t: align.pit_filter(t("bars"), t("membership"), "1-URGENT").select("symbol", "date", "close"),
-        "members_on": lambda t: align.members_on(t("membership"), "1998-03-31"),
-        "interval_errors": lambda t: align.interval_errors(t("membership")),
+        "pit_filter_spells": lambda t: align.pit_filter(t("bars"), t("spells"), "1-URGENT").select("symbol", "date", "close"),
+        "members_on": lambda t: align.members_on(t("spells"), "1998-03-31"),
+        "interval_errors": lambda t: align.interval_errors(t("spells")),
         "upsert_replace": lambda t: merged(t, upsert.replace_rows),
         "upsert_ignore": lambda t: merged(t, upsert.ignore_rows),
         "upsert_columns": lambda t: merged(t, upsert.update_columns),
@@ -124,7 +125,7 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "sector_concentration": lambda t: studies.concentration(t("ledger")),
         "condor_legs": lambda t: studies.condor_legs(t("option_chain")),
         "rf_scores": lambda t: models.forest_scores(fac.factor_scores(t("bars")).join(labels.triple_barrier(t("bars")), ["symbol", "date"], "left")),
-        "news_sentiment": lambda t: studies.news_sentiment(t("news")),
+        "news_sentiment": lambda t: studies.news_sentiment(t("articles")),
     }
 
 

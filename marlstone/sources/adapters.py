@@ -50,6 +50,14 @@ select p_brand as name, p_partkey%40 as expiry_id, p_partkey as option_id, p_ret
 select p_partkey as symbol, p_type as industry, p_retailprice/p_size as pe_ratio, cast(p_size as double)/10 as pb_ratio, cast(p_partkey%300 as double)/100 as debt_to_equity, cast(p_partkey%400 as double)/100 as current_ratio from {part}""",
     "news": """
 select doc_id%25 as symbol, cast(date '2024-01-01' + cast(doc_id%30 as int) as date) as date, source, substr(text,1,80) as headline, doc_id from {documents}""",
+    # whole inputs: membership and news, which some SQL texts still read, leave out orders and all of a text but 80 characters
+    "spells": """
+with m as (select distinct o_orderpriority as index_name, c_nationkey as symbol, year(o_orderdate)*12+month(o_orderdate) as k, cast(date_trunc('month',o_orderdate) as date) as first
+ from {orders} join {customer} on o_custkey=c_custkey),
+g as (select *, k-row_number() over (partition by index_name, symbol order by k) as island from m)
+select index_name, symbol, min(first) as effective_from, case when max(k)=(select max(k) from m) then null else last_day(max(first)) end as effective_to from g group by index_name, symbol, island""",
+    "articles": """
+select doc_id%25 as symbol, cast(date '2024-01-01' + cast(doc_id%30 as int) as date) as date, source, text as headline, doc_id from {documents}""",
 }
 
 

@@ -1,7 +1,10 @@
 """Queries that once did less than the whole job, against plain Python."""
 
+import calendar
+import datetime as dt
+
 from marlstone import catalog
-from marlstone.operators import labels
+from marlstone.operators import labels, studies
 from marlstone.sources.adapters import table
 
 SF = "/root/testdata/sf0.001"
@@ -16,12 +19,66 @@ def test_uniqueness_weighs_the_label_of_every_bar(spark):
     for r in labels.triple_barrier(bars).where("label is not null").collect():
         own = dates[r["symbol"]]
         spans[r["symbol"], r["date"]] = own[own.index(r["date"]) + r["bars_held"]]
-    calendar = sorted({t0 for _, t0 in spans})
-    alive = {d: sum(t0 <= d <= t1 for (_, t0), t1 in spans.items()) for d in calendar}
+    days = sorted({t0 for _, t0 in spans})
+    alive = {d: sum(t0 <= d <= t1 for (_, t0), t1 in spans.items()) for d in days}
     want = {}
     for (symbol, t0), t1 in spans.items():
-        share = [1 / alive[d] for d in calendar if t0 <= d <= t1]
+        share = [1 / alive[d] for d in days if t0 <= d <= t1]
         want[symbol, t0] = (t1, sum(share) / len(share))
     got = {(r["symbol"], r["t0"]): (r["t1"], r["weight"]) for r in catalog.queries()["uniqueness_weights"](spark, SF).collect()}
     assert got.keys() == want.keys() and len(got) > 1000
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def months_traded(spark):
+    """(index_name, symbol) to its months as year * 12 + month - 1, over all orders."""
+    nation = {r["c_custkey"]: r["c_nationkey"] for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    out = {}
+    for r in spark.read.parquet(f"{SF}/orders.parquet").collect():
+        if r["o_custkey"] in nation:
+            out.setdefault((r["o_orderpriority"], nation[r["o_custkey"]]), set()).add(r["o_orderdate"].year * 12 + r["o_orderdate"].month - 1)
+    return out
+
+
+def test_spells_are_the_runs_of_months_of_all_orders(spark):
+    months = months_traded(spark)
+    last = max(max(m) for m in months.values())
+    want = set()
+    for (index_name, symbol), held in months.items():
+        for k in held:
+            if k - 1 not in held:
+                end = next(e for e in range(k, last + 1) if e + 1 not in held)
+                to = None if end == last else dt.date(end // 12, end % 12 + 1, calendar.monthrange(end // 12, end % 12 + 1)[1])
+                want.add((index_name, symbol, dt.date(k // 12, k % 12 + 1, 1), to))
+    got = [tuple(r) for r in table(spark, SF, "spells").select("index_name", "symbol", "effective_from", "effective_to").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_membership_queries_read_all_orders(spark):
+    months = months_traded(spark)
+    month = 1998 * 12 + 2
+    on = {(r["index_name"], r["symbol"]) for r in catalog.queries()["members_on"](spark, SF).collect()}
+    assert on == {k for k, m in months.items() if month in m}
+    kept = {(r["symbol"], r["date"]) for r in catalog.queries()["pit_filter_spells"](spark, SF).collect()}
+    urgent = {s: m for (i, s), m in months.items() if i == "1-URGENT"}
+    last = max(max(m) for m in months.values())
+    member = lambda s, k: k in urgent.get(s, ()) or k > last and last in urgent.get(s, ())
+    assert kept == {(r["symbol"], r["date"]) for r in table(spark, SF, "bars").collect() if member(r["symbol"], r["date"].year * 12 + r["date"].month - 1)}
+
+
+def test_news_reads_texts_to_their_ends(spark):
+    long = "x" * 90
+    rows = [(1, f"{long} the", "a"), (2, f"{long} of\nthe the", "b"), (3, f"{long} the", "c"), (4, long, "d")]
+    news = spark.createDataFrame([(0, dt.date(2024, 1, 1), s, t, i) for i, t, s in rows], "symbol long, date date, source string, headline string, doc_id long")
+    r = studies.news_sentiment(news).first()
+    assert r["n_articles"] == 2 and abs(r["sent_score"] - (1 + 1 / 3) / 2) < 1e-12 and r["sources"] == "a,b"
+    whole = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        whole.setdefault((r["doc_id"] % 25, r["text"]), r["doc_id"] % 30)
+    scored = {}
+    for (symbol, text), day in whole.items():
+        hits = [studies.LEXICON[w] for w in (text or "").lower().split() if w in studies.LEXICON]
+        scored.setdefault((symbol, dt.date(2024, 1, 1) + dt.timedelta(day)), []).extend([sum(hits) / len(hits)] if hits else [])
+    got = {(r["symbol"], r["date"]): (r["n_articles"], r["sent_score"]) for r in catalog.queries()["news_sentiment"](spark, SF).collect()}
+    assert got.keys() == scored.keys()
+    assert all(got[k][0] == len(v) and (not v or abs(got[k][1] - sum(v) / len(v)) < 2e-6) for k, v in scored.items())
