@@ -92,7 +92,8 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "turnover": lambda t: legs(t)[1],
         "cost_sweep": lambda t: xs.cost_sweep(*legs(t)),
         "triple_barrier": lambda t: labels.triple_barrier(t("bars")),
-        "uniqueness_weights": lambda t: labels.uniqueness(labels.label_spans(t("bars"), labels.triple_barrier(t("bars")))),
+        "barrier_labels": lambda t: labels.barrier_labels(t("bars")),
+        "uniqueness_weights": lambda t: labels.uniqueness(labels.label_spans(t("bars"), labels.barrier_labels(t("bars")))),
         "purged_folds": lambda t: labels.purged_folds(t("bench")),
         "backtest_equity": curve,
         "trade_log": lambda t: backtest.trades(curve(t)),
@@ -124,7 +125,7 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "risk_report": lambda t: studies.risk_report(t("bars"), t("bench")),
         "sector_concentration": lambda t: studies.concentration(t("ledger")),
         "condor_legs": lambda t: studies.condor_legs(t("option_chain")),
-        "rf_scores": lambda t: models.forest_scores(fac.factor_scores(t("bars")).join(labels.triple_barrier(t("bars")), ["symbol", "date"], "left")),
+        "rf_scores": lambda t: models.forest_scores(fac.factor_scores(t("bars")).join(labels.barrier_labels(t("bars")), ["symbol", "date"], "left")),
         "news_sentiment": lambda t: studies.news_sentiment(t("articles")),
     }
 

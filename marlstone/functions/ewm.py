@@ -31,3 +31,21 @@ def ewm_mean(df: DataFrame, value: str, out: str, alpha: float, adjust: bool, le
     first = F.first(F.col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     mean = alpha * total / (1 - F.pow(F.lit(q), F.col("_n"))) if adjust else alpha * total + F.pow(F.lit(q), F.col("_n")) * first
     return d.withColumn(out, F.when(F.col("_n") >= least, mean)).drop("_n", "_b", "_s", "_carry")
+
+
+def ewm_std(df: DataFrame, value: str, out: str, span: int, least: int, key: str = "symbol", order: str = "date") -> DataFrame:
+    """Adds the exponentially weighted standard deviation, adjusted and without bias as in pandas; nulls as in ``ewm_mean``.
+
+    With weights of q^age the variance is (E[x^2] - E[x]^2) / (1 - sum w^2 / (sum w)^2). Values are shifted by the key's first one
+    so that little is lost in the difference.
+    """
+    alpha = 2.0 / (span + 1)
+    q = 1.0 - alpha
+    shift = F.first(F.col(value), ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    d = df.withColumn("_x", F.col(value) - shift).withColumn("_xx", F.col("_x") * F.col("_x"))
+    d = d.withColumn("_k", F.count("_x").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    d = ewm_mean(ewm_mean(d, "_x", "_m1", alpha, True, least, key, order), "_xx", "_m2", alpha, True, least, key, order)
+    qk = F.pow(F.lit(q), F.col("_k"))
+    squares = ((1 - q) / (1 + q)) * (1 + qk) / (1 - qk)
+    var = F.greatest(F.col("_m2") - F.col("_m1") * F.col("_m1"), F.lit(0.0)) / (1 - squares)
+    return d.withColumn(out, F.when((F.col("_k") >= F.greatest(F.lit(least), F.lit(2))) & F.col("_m2").isNotNull(), F.sqrt(var))).drop("_x", "_xx", "_k", "_m1", "_m2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,15 @@ def pit_filter(panel: DataFrame, membership: DataFrame, index_name: str) -> Data
 
 
 def interval_errors(membership: DataFrame) -> DataFrame:
-    """Inverted spells, and spells that start at or before the end of the one before."""
+    """Inverted spells, further rows of one (index, symbol, start), and spells that start at or before the end of the one before in their index.
+
+    Inverted spells take no part in the other two checks, repeated keys none in the last; of these the open or longest row counts.
+    """
+    key = ["index_name", "symbol", "effective_from"]
+    upside_down = F.coalesce(C("effective_to") < C("effective_from"), F.lit(False))
     to = F.coalesce("effective_to", F.lit("9999-12-31").cast("date"))
-    w = Window.partitionBy("symbol").orderBy("effective_from", "index_name")
-    d = membership.withColumn("_before", F.lag(to).over(w))
-    kinds = F.array_compact(F.array(F.when(C("effective_to") < C("effective_from"), "inverted"), F.when(C("_before") >= C("effective_from"), "overlap")))
-    return d.select("symbol", "index_name", "effective_from", F.explode(kinds).alias("error"))
+    good = membership.where(~upside_down).withColumn("_to", to)
+    good = good.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_to"))))
+    first = good.where("_n = 1").withColumn("_before", F.lag("_to").over(Window.partitionBy("index_name", "symbol").orderBy("effective_from")))
+    found = [membership.where(upside_down).withColumn("error", F.lit("inverted")), good.where("_n > 1").withColumn("error", F.lit("duplicate")), first.where(C("_before") >= C("effective_from")).withColumn("error", F.lit("overlap"))]
+    return reduce(DataFrame.unionByName, (d.select("symbol", "index_name", "effective_from", "error") for d in found))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.ewm import ewm_std
 from marlstone.functions.expr import by_symbol, change, rolling
 
 C = F.col
@@ -21,6 +22,21 @@ def triple_barrier(bars: DataFrame, days: int = 20, width: float = 2.5, cost: fl
     return d.select("symbol", "date", F.when(at > 0, F.element_at("_s", F.greatest(at, F.lit(1)).cast("int"))).otherwise(0).alias("label"), F.when(at > 0, at).otherwise(days).cast("long").alias("bars_held"))
 
 
+def barrier_labels(bars: DataFrame, days: int = 20, width: float = 2.5, cost: float = 0.0015, span: int = 20, least: int = 10) -> DataFrame:
+    """As ``triple_barrier``, with the exponentially weighted deviation of daily returns and one return net of costs for both barriers.
+
+    Every bar has its row: label and bars_held are null before ``least`` returns and where the path is not whole.
+    """
+    d = bars.select("symbol", "date", "close", change(C("close"), 1).alias("_r")).withColumn("path", F.collect_list("close").over(by_symbol().rowsBetween(1, days)))
+    d = ewm_std(d, "_r", "_v", span, least).withColumn("w", F.greatest(width * C("_v"), F.lit(cost)))
+    net = F.transform("path", lambda p: p / C("close") - 1 - cost)
+    side = F.transform(net, lambda x: F.when(x >= C("w"), 1).when(x <= -C("w"), -1).otherwise(0))
+    d = d.withColumn("_s", side).withColumn("_at", F.array_position(F.transform("_s", lambda s: s != 0), True))
+    known = (F.size("path") == days) & C("_v").isNotNull() & (C("w") > 0)
+    label = F.when(C("_at") > 0, F.element_at("_s", F.greatest(C("_at"), F.lit(1)).cast("int"))).otherwise(0)
+    return d.select("symbol", "date", F.when(known, label).alias("label"), F.when(known, F.when(C("_at") > 0, C("_at")).otherwise(days)).cast("long").alias("bars_held"))
+
+
 def label_spans(bars: DataFrame, events: DataFrame, days: int = 20) -> DataFrame:
     """(symbol, t0, t1) of every labelled bar: from its date to the date of the bar ``bars_held`` later."""
     ahead = bars.select("symbol", "date", F.collect_list("date").over(by_symbol().rowsBetween(1, days)).alias("_ahead"))

@@ -2,9 +2,12 @@
 
 import calendar
 import datetime as dt
+import math
+
+import pandas as pd
 
 from marlstone import catalog
-from marlstone.operators import labels, studies
+from marlstone.operators import align, labels, studies
 from marlstone.sources.adapters import table
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +19,7 @@ def test_uniqueness_weighs_the_label_of_every_bar(spark):
     for r in bars.select("symbol", "date").orderBy("symbol", "date").collect():
         dates.setdefault(r["symbol"], []).append(r["date"])
     spans = {}
-    for r in labels.triple_barrier(bars).where("label is not null").collect():
+    for r in labels.barrier_labels(bars).where("label is not null").collect():
         own = dates[r["symbol"]]
         spans[r["symbol"], r["date"]] = own[own.index(r["date"]) + r["bars_held"]]
     days = sorted({t0 for _, t0 in spans})
@@ -82,3 +85,40 @@ def test_news_reads_texts_to_their_ends(spark):
     got = {(r["symbol"], r["date"]): (r["n_articles"], r["sent_score"]) for r in catalog.queries()["news_sentiment"](spark, SF).collect()}
     assert got.keys() == scored.keys()
     assert all(got[k][0] == len(v) and (not v or abs(got[k][1] - sum(v) / len(v)) < 2e-6) for k, v in scored.items())
+
+
+def reference_labels(close, days=20, width=2.5, cost=0.0015):
+    """Labels of a list of closes by loops: one net return for both barriers, null without a deviation or a whole path."""
+    sigma = pd.Series(close).pct_change().ewm(span=20, min_periods=10).std()
+    out = []
+    for i, p in enumerate(close):
+        w = max(width * sigma[i], cost) if sigma[i] == sigma[i] else math.nan
+        if w != w or w <= 0 or i + days >= len(close):
+            out.append((None, None))
+            continue
+        hit = next(((k, 1 if x >= w else -1) for k in range(1, days + 1) if (x := close[i + k] / p - 1 - cost) >= w or x <= -w), (days, 0))
+        out.append((hit[1], hit[0]))
+    return out
+
+
+def test_barrier_labels_follow_net_returns_and_weighted_deviations(spark):
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(k), 100 + 9 * math.sin(k * f) + (k * 7 % 5) / 3) for s, f in (("a", 0.2), ("b", 0.05)) for k in range(150)]
+    d = spark.createDataFrame(rows, "symbol string, date date, close double")
+    for s in ("a", "b"):
+        want = reference_labels([r[2] for r in rows if r[0] == s])
+        got = [(r["label"], r["bars_held"]) for r in labels.barrier_labels(d).where(f"symbol = '{s}'").orderBy("date").collect()]
+        assert got == want and {-1, 1, None} <= {x for x, _ in got}
+    flat = [(s, day, 50.0) for s, day, _ in rows if s == "a"]
+    assert {r["label"] for r in labels.barrier_labels(spark.createDataFrame(flat, "symbol string, date date, close double")).collect()} <= {0, -1, None}
+
+
+def test_interval_errors_go_by_index_and_symbol(spark):
+    d = lambda k: dt.date(2020, 1, k)
+    rows = [
+        ("i", "a", d(1), d(5)), ("j", "a", d(2), d(9)),  # two indices: no error
+        ("i", "b", d(9), d(3)), ("i", "b", d(10), None),  # inverted, and not the one before the next
+        ("i", "c", d(1), d(4)), ("i", "c", d(1), None), ("i", "c", d(6), d(7)),  # a repeated key whose open row overlaps
+    ]
+    m = spark.createDataFrame(rows, "index_name string, symbol string, effective_from date, effective_to date")
+    got = sorted((r["symbol"], r["effective_from"].day, r["error"]) for r in align.interval_errors(m).collect())
+    assert got == [("b", 9, "inverted"), ("c", 1, "duplicate"), ("c", 6, "overlap")]
