@@ -13,11 +13,18 @@ C = F.col
 
 
 def asof(left: DataFrame, right: DataFrame, value: str, by: list[str], on: str = "date", out: str | None = None) -> DataFrame:
-    """The right side's last ``value`` at or before each left row, by union and a running last. Several left rows may share a time."""
+    """The right side's last ``value`` at or before each left row, by union and a running last. Several left rows may share a time; without keys their times are told once."""
     out = out or value
+    if not by:
+        # without a key only a calendar of distinct times is sorted as a whole; the rows look their value up by time
+        times = left.select(C(on).alias("_t")).distinct()
+        marks = times.withColumn("_v", F.lit(None)).withColumn("_side", F.lit(1)).unionByName(right.select(C(on).alias("_t"), C(value).alias("_v"), F.lit(0).alias("_side")))
+        w = Window.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        known = marks.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("_t", out)
+        return left.withColumn("_on", C(on)).join(known, F.expr("_on <=> _t"), "left").select(*left.columns, out)
     side = right.select(*by, C(on).alias("_t"), C(value).alias("_v"), F.lit(0).alias("_side"))
     rows = left.withColumn("_t", C(on)).withColumn("_side", F.lit(1)).unionByName(side, allowMissingColumns=True)
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, out)
 
 

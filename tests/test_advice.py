@@ -122,3 +122,15 @@ def test_interval_errors_go_by_index_and_symbol(spark):
     m = spark.createDataFrame(rows, "index_name string, symbol string, effective_from date, effective_to date")
     got = sorted((r["symbol"], r["effective_from"].day, r["error"]) for r in align.interval_errors(m).collect())
     assert got == [("b", 9, "inverted"), ("c", 1, "duplicate"), ("c", 6, "overlap")]
+
+
+def test_asof_without_a_key_sorts_times_and_not_rows(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(4)]
+    left = spark.createDataFrame([(s, d) for s in range(500) for d in days], "symbol int, date date").unionByName(spark.createDataFrame([(7, None)], "symbol int, date date"))
+    right = spark.createDataFrame([(days[1], 10.0), (days[3], None)], "date date, v double")
+    out = align.asof(left, right, "v", [])
+    got = out.groupBy("date", "v").count().collect()
+    assert {(r["date"], r["v"], r["count"]) for r in got} == {(days[0], None, 500), (days[1], 10.0, 500), (days[2], 10.0, 500), (days[3], 10.0, 500), (None, None, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, line in enumerate(plan) if "Window" in line)
+    assert any("Aggregate" in line for line in plan[at:])  # the times are made distinct below the window
