@@ -17,7 +17,7 @@ Two documents link when 100 * |A & B| >= 85 * |A | B| for their sets of distinct
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.graph import components
 from marlstone.llm.spool import spool
+from marlstone.llm.tables import fresh, join_split
 from marlstone.llm.textbytes import combine, lower, mix64, slices, span_hash, words
 
 SLOT_BITS = 20  # the table of document counts has 2 ** 20 entries of 4 bytes, whatever the corpus
@@ -50,54 +51,81 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def slot_counts(docs: DataFrame, n: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """Documents by shingle slot over all documents: each task sums its own table, slices of the tables are summed by Spark."""
+def text_sets(n: int) -> Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]]:
+    """Shingle sets of a batch with a column ``text``, slice by slice."""
+
+    def sets(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for _, data, off in slices(batch):
+            yield shingle_sets(data, off, n)
+
+    return sets
+
+
+def slot_counts(rows: DataFrame, sets: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], bits: int = SLOT_BITS) -> np.ndarray:
+    """Sets by slot of their members, over all rows: each task sums its own table, slices of the tables are summed by Spark."""
 
     def tables(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in it:
-            for _, data, off in slices(batch):
-                sets = shingle_sets(data, off, n)
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        parts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(PARTS, -1)
+            for some in sets(batch):
+                if some:
+                    slot, times = np.unique((np.concatenate(some) >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+                    total[slot] = np.minimum(total[slot].astype(np.int64) + times, 2**31 - 1)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in total.reshape(PARTS, -1)], pa.binary())], names=["part", "counts"])
 
-    def add(rows: pa.Table) -> pa.Table:
+    def add(table: pa.Table) -> pa.Table:
         total = np.zeros((1 << bits) // PARTS, np.int64)
-        for c in rows.column("counts"):
+        for c in table.column("counts"):
             total += np.frombuffer(c.as_py(), np.int32)
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    summed = docs.select("text").mapInArrow(tables, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").toArrow()
+    summed = rows.mapInArrow(tables, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").toArrow()
     out = np.zeros((PARTS, (1 << bits) // PARTS), np.int32)
     for part, counts in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True):
         out[part] = np.frombuffer(counts, np.int32)
     return out.ravel()
 
 
-def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size of the set, a 128-bit digest of the set, counts by hash range, and the rare-first prefix."""
-    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, n))  # 4 MiB
-    shift = np.uint64(64 - SLOT_BITS)
+def rare_first(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set, its rarest members first: two sets that reach the threshold share a member of both prefixes."""
+    bits = len(counts).bit_length() - 1
+    keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+    return s[np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))[:keep]]
+
+
+def shared_grams(postings: DataFrame) -> DataFrame:
+    """The postings whose gram occurs more than once."""
+    return postings.join(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "gram", "left_semi")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, tk, text): a row is known by its id and a hash of its text, so rows that repeat an id with another text stay apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    if not len(s):
+        return 0, 0
+    return int(np.add.reduce(mix64(s ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x1234567))).astype(np.int64))
+
+
+def profiles(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, tk, size of the set, a 128-bit digest of the set, counts by hash range, and the rare-first prefix."""
+    counts = rows.sparkSession.sparkContext.broadcast(slot_counts(rows.select("text"), text_sets(n)))  # 4 MiB
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part, data, off in slices(batch):
-                size, lo, hi, ranges, prefix = [], [], [], [], []
-                for s in shingle_sets(data, off, n):
-                    m = len(s)
-                    size.append(m)
-                    lo.append(int(np.add.reduce(mix64(s ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64).astype(np.int64)))
-                    hi.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x1234567))).astype(np.int64)) if m else 0)
-                    ranges.append(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES))
-                    p = m - -(-percent * m // 100) + 1 if m else 0
-                    prefix.append(s[np.lexsort((s, counts.value[(s >> shift).astype(np.int64)]))[:p]].astype(np.int64))
-                ids = part.column(0)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "lo", "hi", "ranges", "prefix"])
+                sets = shingle_sets(data, off, n)
+                digests = [_digest(s) for s in sets]
+                ranges = [np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) for s in sets]
+                prefix = [rare_first(s, counts.value, percent).view(np.int64) for s in sets]
+                size = pa.array([len(s) for s in sets], pa.int64())
+                lo, hi = (pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), size, lo, hi, pa.array(ranges, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "tk", "n", "lo", "hi", "ranges", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n long, lo long, hi long, ranges array<int>, prefix array<long>")
+    return rows.mapInArrow(batches, "doc_id long, tk long, n long, lo long, hi long, ranges array<int>, prefix array<long>")
 
 
 def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -126,21 +154,27 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return both.where(_enough((F.col("na") + F.col("nb") - apart) / 2, F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+def class_sets(need: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(cid, grams) of the classes in ``need`` (cid, first, lo, hi), each from its first row's text. Up to ``BROADCAST_IDS`` are broadcast."""
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part, data, off in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(data, off, n)], pa.binary())], names=["cid", "grams"])
+                sets = shingle_sets(data, off, n)
+                want = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
+                ok = pa.array([_digest(s) == w for s, w in zip(sets, want, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "grams"]).filter(ok)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "cid long, grams binary")
+    few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = need.select("cid", F.col("first.doc_id").alias("doc_id"), F.col("first.tk").alias("tk"), "lo", "hi")
+    text = rows.join(F.broadcast(wanted) if few else wanted, ["doc_id", "tk"]).select("cid", "lo", "hi", "text")
+    return text.mapInArrow(batches, "cid long, grams binary").dropDuplicates(["cid"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold. Sets are made anew for documents that are in a pair, and for no others."""
-    need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    need = spool(need, "need")
-    few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sets = _sets(docs.select("doc_id", "text").join(F.broadcast(need) if few else need, "doc_id", "left_semi"), n)
+def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold. Sets are made anew for classes that are in a pair, and for no others."""
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = class_sets(spool(classes.select("cid", "first", "lo", "hi").join(ends, "cid", "left_semi"), "need"), rows, n)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("gb")), "b")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,27 +216,52 @@ def cross_pairs(postings: DataFrame, label: DataFrame, percent: int) -> DataFram
     return both.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
 
 
+def link_rows(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, tk, n_shingles and first (doc_id, tk of the least row reachable by links) for every row.
+
+    ``tk`` is Spark's xxhash64 of the text. ``first`` is null for rows without a shingle, which link with nothing.
+    """
+    rows = keyed(docs)
+    known = spool(profiles(rows, n, percent), "profiles")
+    some = known.where("n > 0")
+    classes = some.groupBy("lo", "hi", "n").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tk")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = spool(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    own = some.withColumn("first", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tk")).select("lo", "hi", "n", "first", "ranges", "prefix")
+    profiled = spool(classes.select("cid", "lo", "hi", "n", "first").join(own, ["lo", "hi", "n", "first"]).select("cid", "n", "ranges", "prefix").dropDuplicates(["cid"]), "classes")
+    postings = spool(shared_grams(profiled.select("cid", "n", F.posexplode("prefix").alias("pos", "gram"))), "postings")
+    stars = spool(suffix_filter(star_pairs(postings, percent), profiled, percent), "pairs")
+    links = spool(verify(stars, classes, rows, n, percent), "links")
+    rest = spool(suffix_filter(cross_pairs(postings, components(links).select(F.col("node").alias("cid"), "root"), percent), profiled, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    linked = components(links.unionByName(spool(verify(rest, classes, rows, n, percent), "links"))).select(F.col("node").alias("cid"), "root")
+    linked = spool(linked, "linked")
+    least = linked.join(classes.select("cid", "first"), "cid").groupBy("root").agg(F.min("first").alias("least"))
+    fate = classes.join(linked.join(least, "root").select("cid", "least"), "cid", "left").select("lo", "hi", "n", "copies", F.coalesce("least", "first").alias("first"))
+    grouped = join_split(some.select("doc_id", "tk", "lo", "hi", "n"), fate, ["lo", "hi", "n"], "copies").select("doc_id", "tk", F.col("n").alias("n_shingles"), "first")
+    bare = known.where("n = 0").select("doc_id", "tk", F.col("n").alias("n_shingles"), F.lit(None).cast("struct<none:boolean,doc_id:bigint,tk:bigint>").alias("first"))
+    return grouped.unionByName(bare)
+
+
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
-    Null and empty texts have no shingles and stay alone, also among themselves. Rows with a null id get their set's size and
-    no component; rows that repeat an id belong to one component. Other columns are left out.
+    Null and empty texts have no shingles and stay alone, also among themselves. A null id comes after all
+    others, so it names a component only where no other id is in it. Rows that repeat an id with another text are documents of their own. An empty
+    table gives an empty one; other columns are left out.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = spool(profiles(rows, n, percent), "profiles")
-    some = known.where("n > 0 and doc_id is not null")
-    member = some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("cid"))
-    classes = some.join(member, (some["lo"] == member["lo"]) & (some["hi"] == member["hi"]) & (some["n"] == member["n"]) & (some["doc_id"] == member["cid"]), "left_semi").select(F.col("doc_id").alias("cid"), "n", "ranges", "prefix")
-    classes = classes.dropDuplicates(["cid"])
-    classes = spool(classes, "classes")
-    postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "gram"))
-    postings = postings.join(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "gram", "left_semi")
-    postings = spool(postings, "postings")
-    stars = spool(suffix_filter(star_pairs(postings, percent), classes, percent), "pairs")
-    links = spool(verify(stars, rows, n, percent), "links")
-    rest = spool(suffix_filter(cross_pairs(postings, components(links).select(F.col("node").alias("cid"), "root"), percent), classes, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = spool(verify(rest, rows, n, percent), "links")
-    # a document that repeats an id with another text ties its classes together
-    twice = some.join(member, ["lo", "hi", "n"]).select("doc_id", "cid").where("doc_id != cid")
-    final = components(links.unionByName(more).unionByName(twice.select(F.col("cid").alias("a"), F.col("doc_id").alias("b"))))
-    return known.join(final, known["doc_id"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return link_rows(docs, n, percent).select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The documents without those that link to one before them, by (doc_id, hash of the text); of rows that repeat an id and its text one stays."""
+    key, tk = (fresh(docs.columns, c) for c in ("id", "tk"))
+    told = spool(link_rows(docs, n, percent), "told")
+    later = told.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.tk") == F.col("tk")))).select(F.col("doc_id").alias(key), F.col("tk").alias(tk)).distinct()
+    named = docs.withColumn(tk, F.xxhash64("text"))
+    same = lambda t: named["doc_id"].cast("long").eqNullSafe(t[key]) & (named[tk] == t[tk])
+    kept = named.join(later, same(later), "left_anti")
+    twice = told.groupBy(F.col("doc_id").alias(key), F.col("tk").alias(tk)).count().where("count > 1").select(key, tk)
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    single = kept.join(twice, same(twice), "left_anti")
+    once = kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", tk])
+    return single.unionByName(once).select(*(f"`{c}`" for c in docs.columns))

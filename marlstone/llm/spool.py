@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Only where the session names none (tests) is one made below the system's temp folder."""
+    """The shared folder. Where the session names none, a local session (as in tests) gets one of its own; a cluster's raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)

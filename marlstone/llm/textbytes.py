@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # texts are worked on in slices of about this size; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size; a longer text is a slice of its own
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -85,10 +85,8 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans are disjoint, not empty and in order."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def _span_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each span, and byte by byte its value times a power of its place in the span."""
     lengths = ends - starts
     pos = np.arange(starts[0], ends[-1], dtype=np.int64)
     gaps = np.empty_like(lengths)
@@ -97,8 +95,28 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     long = np.repeat(lengths, gaps)
     part = (data[starts[0] : ends[-1]].astype(np.uint64) + np.uint64(1)) * _powers(int(gaps.max()) + 1)[pos]
     part[pos >= long] = 0
-    h = np.add.reduceat(part, starts - starts[0])
-    return mix64(h ^ (lengths.astype(np.uint64) * _MULT))
+    return lengths, part
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span; spans are disjoint, not empty and in order."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths, part = _span_parts(data, starts, ends)
+    return mix64(np.add.reduceat(part, starts - starts[0]) ^ (lengths.astype(np.uint64) * _MULT))
+
+
+def span_digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span, as ``span_hash``; the second one sums mixed bytes and so doesn't follow from the first."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    lengths, part = _span_parts(data, starts, ends)
+    size = lengths.astype(np.uint64) * _MULT
+    first = np.add.reduceat(part, starts - starts[0])
+    part ^= part >> np.uint64(29)
+    part *= np.uint64(0xBF58476D1CE4E5B9)
+    part ^= part >> np.uint64(32)
+    return mix64(first ^ size), mix64(np.add.reduceat(part, starts - starts[0]) + size)
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:
