@@ -95,8 +95,9 @@ def rare_first(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def shared_grams(postings: DataFrame) -> DataFrame:
-    """The postings whose gram occurs more than once."""
-    return postings.join(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "gram", "left_semi")
+    """The postings whose gram occurs more than once. The grams are written first, so that Spark knows their size when it plans the join."""
+    often = spool(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "grams")
+    return postings.join(often, "gram", "left_semi")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -231,8 +232,10 @@ def link_rows(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     postings = spool(shared_grams(profiled.select("cid", "n", F.posexplode("prefix").alias("pos", "gram"))), "postings")
     stars = spool(suffix_filter(star_pairs(postings, percent), profiled, percent), "pairs")
     links = spool(verify(stars, classes, rows, n, percent), "links")
-    rest = spool(suffix_filter(cross_pairs(postings, components(links).select(F.col("node").alias("cid"), "root"), percent), profiled, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    linked = components(links.unionByName(spool(verify(rest, classes, rows, n, percent), "links"))).select(F.col("node").alias("cid"), "root")
+    label = spool(components(links).select(F.col("node").alias("cid"), "root"), "label")
+    rest = spool(suffix_filter(cross_pairs(postings, label, percent), profiled, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = verify(rest, classes, rows, n, percent)
+    linked = components(label.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(more)).select(F.col("node").alias("cid"), "root")
     linked = spool(linked, "linked")
     least = linked.join(classes.select("cid", "first"), "cid").groupBy("root").agg(F.min("first").alias("least"))
     fate = classes.join(linked.join(least, "root").select("cid", "least"), "cid", "left").select("lo", "hi", "n", "copies", F.coalesce("least", "first").alias("first"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000  # a key is hot from this part of all rows on, so that there are at most so many hot keys
+SALTS = 64  # tasks that share a hot key's rows
 
 
 def fresh(taken: list[str], name: str) -> str:
@@ -20,11 +21,11 @@ def fresh(taken: list[str], name: str) -> str:
 def join_split(rows: DataFrame, table: DataFrame, on: list[str], count: str) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which holds each key once and says in ``count`` how many rows have it.
 
-    Keys with more than a thousandth of all counted rows, at most a thousand keys, are broadcast, so no task gets all rows
-    of such a key; the rest is joined as usual.
+    Keys with more than a thousandth of all counted rows, a thousand keys at most, are broadcast as hot ones; their rows are
+    dealt over ``SALTS`` copies of the table's row. The name ``salt`` must be free.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    bound = F.lit(total / HOT_SHARE)
-    hot = F.broadcast(table.where(F.col(count) > bound))
-    cold = table.where(F.col(count) <= bound)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+    bound = F.lit((table.agg(F.sum(count)).first()[0] or 0) / HOT_SHARE)
+    hot = F.broadcast(table.where(F.col(count) > bound).select(*on, F.lit(True).alias("hot")))
+    dealt = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    copies = table.withColumn("salt", F.explode(F.when(F.col(count) > bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*on, "salt"]).drop("salt")
