@@ -209,16 +209,44 @@ def test_language_model_counts_and_sums_to_one(spark):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), rel=1e-9)
         assert r["score"] < 0
     out = [k for k in rows if held[k] and k > 2]
-    signs = sum(len(t.encode()) + 1 for k in out for t in tokens[k][:-1])
-    assert -sum(rows[k]["score"] for k in out) / math.log10(2) / signs < 4  # bits a byte, on texts that were not learnt from
+    assert sum(rows[k]["score"] for k in out) > sum(rows[k]["base_score"] for k in out)
+    assert all(r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / max(1, len((texts[k] or "").encode()))) for k, r in rows.items())
+
+
+def test_language_model_reads_order_and_not_partitions(spark):
+    """Known sentences score above the same words shuffled, and scores don't depend on how rows are dealt."""
+    rng = random.Random(9)
+    sentences = [" ".join(prose(rng, 12)) for _ in range(30)]
+    texts = [" ".join(rng.choice(sentences) for _ in range(6)) for _ in range(150)]
+    mixed = []
+    for t in texts[:40]:
+        w = t.split()
+        rng.shuffle(w)
+        mixed.append(" ".join(w))
+    d = docs(spark, texts + mixed)
+    few, many = ({r["doc_id"]: r["score"] for r in mixing.score_documents(d.repartition(p)).collect()} for p in (4, 13))
+    assert few == pytest.approx(many, rel=1e-9)
+    assert sum(few[k] > few[150 + k] for k in range(40)) == 40
+
+
+def test_codes_are_complete():
+    """Whatever the tables hold, the probabilities of all first tokens sum to one: the tree's leaves do, and so do the signs of a spelling."""
+    import numpy as np
 
+    hashes = np.arange(1, 40, dtype=np.uint64) * np.uint64(1 << 40)
+    codes = mixing.Codes.build(hashes, np.arange(39) % 7 + 2, 5, 3)
+    size = codes.size
+    assert sum(2.0 ** -int(s) for s in size[:41]) == 1.0 and (size[41:] == 8).all()
+    paths = {tuple(codes.bits[a : a + n]) for a, n in zip(codes.start[:41], size[:41], strict=True)}
+    assert len(paths) == 41 and not any(p[:k] in paths for p in paths for k in range(len(p)))
 
-def test_spelling_probabilities_sum_to_one():
-    import numpy as np
 
-    tables = np.zeros((mixing.ORDERS, 1 << mixing.SLOT_BITS, 2), np.float32)
-    p = 10 ** mixing.log10_probabilities([bytes([b]) for b in range(256) if b not in (mixing.CLOSE, mixing.END)] + [None], tables, mixing.first_weights(), np.zeros((256, mixing.CELLS, 2)))
-    assert p[-1] == pytest.approx(1 / 256) and p[:-1].sum() == pytest.approx(254 / 65536)
+def test_long_null_and_repeated_texts_are_scored(spark):
+    rows = [(1, "a b c " * 40000), (1, "a b c " * 40000), (2, None), (None, "a b"), (3, "x" * 300000), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as chunk", "2 as n", "3 as score", "4 as hash", "5 as tk")
+    got = mixing.score_documents(d).collect()
+    assert len(got) == 6 and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    assert {r["n_tokens"] for r in got} == {120001, 1, 3, 2}
 
 
 def test_an_empty_corpus(spark):
