@@ -167,10 +167,12 @@ def aligned(pairs: DataFrame, threshold: float) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and item that it holds, with the best alignment: score (share of the item's full score), first_word and end_word in the document.
 
-    Null and empty texts hold nothing; null ids of items or documents take no part. Items that repeat an id are read as one row each.
+    Null and empty texts hold nothing; null ids of items or documents take no part. Items that repeat an id with another text are searched one by one; the best alignment counts for their id.
     Of equal scores the earliest passage counts. No document or no item: no row.
     """
-    items = spool(item_words(benchmark.where("item_id is not null").dropDuplicates(["item_id"])).where(F.size("seeds") > 0), "items")
+    named = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("own_id"), F.xxhash64("item_id", "text").alias("item_id"), "text").dropDuplicates(["item_id"])
+    named = spool(named, "benchmark")
+    items = spool(item_words(named).where(F.size("seeds") > 0), "items")
     docs = docs.where("doc_id is not null")
     upto = Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = items.select("item_id", F.size("words").alias("w"))
@@ -189,14 +191,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         needed = {int(i): min(LEAST_SEEDS, int(n)) for i, n in distinct.items()}
         lengths = {r[0]: r[1] for r in some.select("item_id", F.size("words")).collect()}
         near = passages(docs, seeds, np.append(first, len(table)), table["item_id"].to_numpy(), table["place"].to_numpy(), lengths, needed)
-        found.append(aligned(near.join(some.select("item_id", "words"), "item_id"), threshold))
+        # pairs are few bytes and much work: they are dealt by number and not by size
+        dealt = near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "start")
+        found.append(aligned(dealt.join(F.broadcast(some.select("item_id", "words")), "item_id"), threshold))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "first_word", "end_word")
-    return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    told = reduce(DataFrame.unionByName, found).join(named.select("item_id", "own_id"), "item_id").select("doc_id", F.col("own_id").alias("item_id"), "score", "first_word", "end_word")
+    return told.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that hold a benchmark item; all columns stay. Rows with a null id stay."""
     bad = contaminated(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))

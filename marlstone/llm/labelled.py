@@ -23,7 +23,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, fol
         .agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
-        .select(F.col("doc_id").alias("_id"), "y")
+        .select("doc_id", "y")
     )
     have = [c for c in ("text", "lang") if c in docs.columns]
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("doc_id", *have, "y")
+    return docs.select("doc_id", *have).join(F.broadcast(chosen), "doc_id").select("doc_id", *have, "y")

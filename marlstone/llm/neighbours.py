@@ -70,29 +70,23 @@ def search_block(index: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tup
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id, score (Euclidean distance in double precision); ties go to the smaller vec_id.
 
-    A query doesn't find its own id. Null ids, vectors that ``usable`` turns away and vectors whose length isn't the most
-    common one take no part. Rows that repeat an id and its vector count
+    A query doesn't find its own id. Null ids and vectors that ``usable`` turns away take no part. Vectors of
+    different lengths have no distance: each length is searched by itself. Rows that repeat an id and its vector count
     once. With fewer than k candidates all are returned; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
     good = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    top = good.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if top is None:
-        return spark.createDataFrame([], out)
-    good = good.where(F.size("x") == top["d"])
     by_vector = Window.partitionBy("x").orderBy("id")
     entries = good.withColumn("_r", F.row_number().over(by_vector)).where(F.col("_r") <= k + 1).groupBy("x").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = spool(entries, "entries")
-    asked = queries.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("x")).where(F.size("x") == top["d"])
-    blocks = max(1, math.ceil(entries.count() / BLOCK))
-    chunks = max(1, math.ceil(asked.count() / QUERIES))
-    index = entries.select(F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "x", "ids")
-    wanted = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "x", "query_id")
-    dim = int(top["d"])
+    asked = queries.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("x"))
+    # vectors of each length have an index of their own
+    sizes = entries.groupBy(F.size("x").alias("d")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = spool(sizes.join(asked.groupBy(F.size("x").alias("d")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks")), "d"), "sizes")
+    index = entries.withColumn("d", F.size("x")).join(sizes, "d").select("d", F.pmod(F.xxhash64(F.element_at("ids", 1)), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "x", "ids")
+    wanted = asked.withColumn("d", F.size("x")).join(sizes, "d").select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), "chunks").alias("chunk"), "x", "query_id")
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: tuple[list, list, list] = ([], [], [])
@@ -108,7 +102,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
                             rows[2].append(s)
         return pa.table({"query_id": pa.array(rows[0], pa.int64()), "vec_id": pa.array(rows[1], pa.int64()), "score": pa.array(rows[2], pa.float64())})
 
-    answers = index.groupBy("block", "chunk").cogroup(wanted.groupBy("block", "chunk")).applyInArrow(answer, "query_id long, vec_id long, score double")
+    answers = index.groupBy("d", "block", "chunk").cogroup(wanted.groupBy("d", "block", "chunk")).applyInArrow(answer, "query_id long, vec_id long, score double")
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return answers.distinct().withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

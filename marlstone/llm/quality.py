@@ -24,6 +24,7 @@ STATS = (
     "n_words", "mean_word", "upper", "digits", "symbols", "marks", "pipes", "spaces", "controls", "high", "repeats", "distinct", "words_per_line", "short_words", "long_words",
 )
 
+PREFIX = "stat_"
 _KINDS = np.zeros(256, np.int64)  # 0: anything else
 _KINDS[ord("A") : ord("Z") + 1] = 1
 _KINDS[ord("a") : ord("z") + 1] = 2
@@ -63,16 +64,18 @@ def text_stats(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def with_stats(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and one double per name in ``STATS``."""
-    at = [rows.columns.index(c) for c in keep]
+    """The columns ``keep`` and one double per name in ``STATS``, called ``stat_`` and that name."""
+    at, names = [rows.columns.index(c) for c in keep], [PREFIX + s for s in STATS]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part, data, off in slices(batch, text):
                 s = text_stats(data, off)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(STATS)))], names=[*keep, *STATS])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(STATS)))], names=[*(f"k{i}" for i in at), *names])
 
-    return rows.mapInArrow(batches, T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(s, T.DoubleType()) for s in STATS)]))
+    kept = [T.StructField(f"k{i}", rows.schema[c].dataType) for i, c in zip(at, keep, strict=True)]
+    out = rows.mapInArrow(batches, T.StructType([*kept, *(T.StructField(s, T.DoubleType()) for s in names)]))
+    return out.select(F.struct(*(F.col(f"k{i}").alias(c) for i, c in zip(at, keep, strict=True))).alias("kept"), *names)
 
 
 @dataclass(frozen=True)
@@ -85,7 +88,8 @@ class Rule:
     def column(self) -> Column:
         out = F.lit(True)
         for k, above, cut in self.terms:
-            out = out & (F.col(STATS[k]) > F.lit(cut) if above else F.col(STATS[k]) <= F.lit(cut))
+            stat = F.col(PREFIX + STATS[k])
+            out = out & (stat > F.lit(cut) if above else stat <= F.lit(cut))
         return F.when(out, F.lit(self.weight)).otherwise(F.lit(0.0))
 
 
@@ -137,7 +141,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
     """
     n, ones = len(y), float(y.sum())
     prior = math.log((ones + 0.5) / (n - ones + 0.5))
-    if n < 40 or ones in (0.0, float(n)):
+    if ones in (0.0, float(n)):
         return RuleModel(prior, ())
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0.01, 0.99, 60))) for k in range(x.shape[1])]
@@ -151,6 +155,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
         _grow(x, g, rows, feats, depth, cuts, (), paths, pred)
         z += 0.8 * 4 * pred
     terms = sorted(paths)
+    if not terms:
+        return RuleModel(prior, ())
     r = np.column_stack([np.logical_and.reduce([x[:, k] > c if above else x[:, k] <= c for k, above, c in path]) for path in terms]).astype(np.float64)
     mean = r.mean(0)
     rate = 4.0 / max(np.linalg.norm((r - mean) / np.sqrt(n), 2) ** 2, 1e-9)
@@ -169,21 +175,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> RuleModel:
     """A model from at most ``most`` labelled rows; only their statistics come to the driver."""
-    rows = with_stats(training_rows(docs, labels, label, most).select("y", "text"), ["y"]).toPandas().sort_values(["y", *STATS])
-    return fit_rules(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
+    names = [PREFIX + s for s in STATS]
+    rows = with_stats(training_rows(docs, labels, label, most).select("y", "text"), ["y"]).select("kept.y", *names).toPandas().sort_values(["y", *names])
+    return fit_rules(rows[names].to_numpy(float), rows["y"].to_numpy(float))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
-    """``keep`` (the document's id, if not given) with ``score`` and ``predicted``.
+    """A struct ``kept`` of the columns ``keep`` (the document's id, if not given), whatever their names, with ``score`` and ``predicted``.
 
     Null and empty texts have statistics of 0 and get a score like any other. Repeated rows give repeated results, an empty
     table an empty one.
     """
     keep = keep or ["doc_id"]
-    scored = with_stats(docs.select(*dict.fromkeys([*keep, "text"])), keep)
-    return scored.select(*keep, model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = with_stats(docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, "text"]))), keep)
+    return scored.select("kept", model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document, by a model that no held-out row has shaped."""
-    return score_quality(docs, fit_quality(docs, labels)).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
+    return score_quality(docs, fit_quality(docs, labels)).select(F.col("kept.doc_id").alias("doc_id"), held_out(F.col("kept.doc_id"), 5).alias("held_out"), "score", "predicted")

@@ -127,9 +127,10 @@ def test_neighbours_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     x[100:500] = x[7]  # a vector that very many rows share
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0])]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0]), (5301, [3.0]), (5400, [2.0])]
     got = neighbours.nearest_of_hundredths(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert {r["query_id"] for r in got} == set(range(0, 1500, 100))
+    assert {r["query_id"] for r in got} == {*range(0, 1500, 100), 5300, 5400}
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 5300] == [(5400, 1.0), (5301, 2.0)]
     hit = 0
     for q in range(0, 1500, 100):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -142,3 +143,23 @@ def test_neighbours_recall_and_odd_vectors(spark):
             assert [m[1] for m in mine] == [v for v in [7, *range(100, 112)] if v != q][:10]
     assert hit / 150 >= 0.9
     assert neighbours.nearest_of_hundredths(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_columns_that_clash_and_odd_rows(spark):
+    """Operators take tables whose other columns are called like their own, with nulls, repeats and a very long text."""
+    names = ["_id", "y", "digits", "score", "predicted", "held_out", "flagged", "shard", "slot", "size", "kept", "item_id", "words", "stat_digits"]
+    rows = [(None, None), (1, ""), (2, "word " * 50000), (3, "a b c"), (3, "a b c"), (4, "some plain words here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(1).alias(n) for n in names))
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(5)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some plain words here"), (1, "other words than those"), (None, "a b c")], "item_id long, text string")
+    assert quality.quality_report(d, labels).count() == 6
+    assert toxicity.toxicity_report(d, labels).count() == 6
+    assert sharding.shard_documents(d).count() == 6
+    assert secrets.find_secrets(d).count() == 6
+    from marlstone.llm import decontaminate
+
+    found = decontaminate.contaminated(d, bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in found] == [(4, 1, 1.0)]
+    assert decontaminate.decontaminate(d, bench).columns == d.columns
+    for empty in (d.limit(0),):
+        assert quality.quality_report(empty, labels).count() == toxicity.toxicity_report(empty, labels).count() == secrets.find_secrets(empty).count() == 0
