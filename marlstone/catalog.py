@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, backtest, factors, indicators, labels, models, studies, upsert, xsection
-from marlstone.plans import oracle
+from marlstone.operators import align, backtest, factors, history, indicators, labels, models, signals, studies, upsert, xsection
+from marlstone.plans import oracle, oracle_more
 from marlstone.sources.adapters import table
 
 C = F.col
@@ -77,7 +77,7 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "pit_filter": lambda t: align.pit_filter(t("bars"), t("membership"), "1-URGENT").select("symbol", "date", "close"),
         "pit_filter_spells": lambda t: align.pit_filter(t("bars"), t("spells"), "1-URGENT").select("symbol", "date", "close"),
         "members_on": lambda t: align.members_on(t("spells"), "1998-03-31"),
-        "interval_errors": lambda t: align.interval_errors(t("spells")),
+        "interval_errors": lambda t: align.interval_errors(t("register")),
         "upsert_replace": lambda t: merged(t, upsert.replace_rows),
         "upsert_ignore": lambda t: merged(t, upsert.ignore_rows),
         "upsert_columns": lambda t: merged(t, upsert.update_columns),
@@ -130,9 +130,91 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     }
 
 
+def _number_text(o: DataFrame) -> DataFrame:
+    """Order prices as a register prints them: thousands commas, and a dash where there is none."""
+    return o.select("o_orderkey", F.when(C("o_orderkey") % 5 == 0, " - ").otherwise(F.format_number("o_totalprice", 2)).alias("text"))
+
+
+def _date_text(o: DataFrame) -> DataFrame:
+    """Order dates in four notations by turns."""
+    kind = C("o_orderkey") % 4
+    text = F.when(kind == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(kind == 1, F.date_format("o_orderdate", "dd-MMM-yyyy")).when(kind == 2, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "MMM d, yyyy"))
+    return o.select("o_orderkey", text.alias("text"))
+
+
+def _delivery_text(lines: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Line items as records of a delivery file: other record types and series stand among them."""
+    d = lines.join(supplier, C("l_suppkey") == C("s_suppkey"))
+    kind, series = F.when(C("l_linenumber") == 7, "10").otherwise("20"), F.when(C("l_returnflag") == "R", "BE").otherwise("EQ")
+    whole = lambda c: c.cast("long").cast("string")
+    done = F.when(C("l_linestatus") == "F", C("l_quantity")).otherwise(0)
+    return d.select(F.concat_ws(", ", kind, C("l_linenumber").cast("string"), "s_name", series, whole(C("l_quantity")), whole(done), F.round(100 * done / C("l_quantity"), 2).cast("string")).alias("line"))
+
+
+def _more() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    h, g = history, signals
+    span = "date between date '1995-03-01' and date '1995-06-30'"
+    asia = lambda t: t("sector_index").where("index_name = 'ASIA' and date >= date '1995-01-01'")
+    splits = lambda t: t("bars").where("year(date) > 1992").groupBy("symbol", F.year("date").alias("y")).agg(F.min("date").alias("date")).select("symbol", "date", F.lit(2.0).alias("ratio"))
+    return {
+        "latest_bars": lambda t: h.latest_bars(t("bars"), 30),
+        "bars_between": lambda t: t("bars").where("date between date '1995-01-01' and date '1996-12-31'").select("symbol", "date", "close", "volume"),
+        "universe": lambda t: h.universe(t("bars"), [0, 7]),
+        "benchmark_fallback": lambda t: h.with_fallback(asia(t), t("bench")),
+        "replace_range": lambda t: h.replace_range(t("bars"), t("bars").where("symbol < 5 and day(date) % 2 = 0").where(span).withColumn("close", C("close") + 1)),
+        "overwrite_guard": lambda t: h.overwrite_guard(t("bars")),
+        "fill_where_null": lambda t: h.fill_where_null(t("market_regime").select("date", F.when(C("fo_net_long") > 0, C("vix")).alias("vix")), t("bench").select("date", (C("close") / 100).alias("vix")), "vix"),
+        "cross_validated_fill": lambda t: h.cross_validated_fill(t("bench").where("date < date '1997-01-01'"), t("bench").withColumn("close", F.when(C("date") < "1997-01-01", C("close") * 1.001).otherwise(F.round(C("close") * 1.001, 6)))),
+        "missing_windows": lambda t: h.missing_windows(t("bars"), "1990-01-01", "2001-12-31"),
+        "gap_fill_plan": lambda t: h.gap_fill_plan(t("bars"), "2001-12-31"),
+        "cadence_mask": lambda t: h.cadence_mask(t("bars")),
+        "history_counts": lambda t: h.history_counts(t("bars")),
+        "identity_lock": lambda t: h.identity_lock(t("ledger")),
+        "adjusted_closes": lambda t: h.adjusted_closes(t("bars"), splits(t)),
+        "latest_change": lambda t: h.latest_change(t("bars")),
+        "sector_momentum": lambda t: h.sector_momentum(t("bars"), t("nation")),
+        "movers": lambda t: h.movers(t("bars")),
+        "close_on_or_after": lambda t: h.close_on_or_after(t("bench").select(F.last_day("date").alias("day")).distinct(), t("bench")),
+        "ledger_last_dates": lambda t: h.ledger_last_dates(t("ledger")),
+        "ever_members": lambda t: t("spells").select("index_name", "symbol").distinct(),
+        "registry_diff": lambda t: h.registry_diff(t("spells"), "1993-03-31", "1998-03-31"),
+        "membership_summary": lambda t: h.membership_summary(t("spells")),
+        "parsed_dates": lambda t: _date_text(t("orders")).select("o_orderkey", h.parse_dates(C("text")).alias("date")),
+        "parsed_numbers": lambda t: _number_text(t("orders")).select("o_orderkey", h.parse_number(C("text")).alias("amount")),
+        "parsed_deliveries": lambda t: h.parse_delivery_lines(_delivery_text(t("lineitem"), t("supplier"))).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("traded").alias("traded"), F.sum("delivered").alias("delivered")),
+        "rolling_median": lambda t: g.rolling_median(t("bars")),
+        "rsi_simple": lambda t: g.rsi_simple(t("bars")),
+        "bar_context": lambda t: g.bar_context(t("bars")),
+        "sma_crosses": lambda t: g.sma_crosses(t("bars")),
+        "trend_factors": lambda t: g.trend_factors(t("bars")),
+        "put_call_ratio": lambda t: g.put_call_ratio(t("option_chain")),
+        "every_kth": lambda t: g.every_kth(t("bars")),
+        "cohorts": lambda t: g.cohorts(t("bars")),
+        "day_buckets": lambda t: g.day_buckets(t("ticks")),
+        "deal_profile": lambda t: g.deal_profile(t("deals")),
+        "volume_against_prior": lambda t: g.volume_against_prior(t("bars")),
+        "ic_decay": lambda t: g.ic_decay(t("bars")),
+        "pooled_metrics": lambda t: g.pooled_metrics(t("bars")),
+        "cs_percentile": lambda t: g.cs_percentile(t("bars")),
+        "profit_labels": lambda t: g.profit_labels(t("bars")),
+        "time_groups": lambda t: g.time_groups(t("bench")),
+        "sharpe": lambda t: g.sharpe(t("bars")),
+        "market_fit": lambda t: g.market_fit(t("bars"), t("bench")),
+        "year_returns": lambda t: g.year_returns(t("bars")),
+        "corrected_psr": lambda t: g.corrected_psr(t("bars")),
+        "delivery_spikes": lambda t: g.delivery_spikes(t("settled"), t("bars")),
+        "max_orders": lambda t: g.max_orders(t("bars")),
+        "price_alerts": lambda t: g.price_alerts(t("bars")),
+        "circuit_breaker": lambda t: g.circuit_breaker(t("bars")),
+        "holdings": lambda t: g.holdings(t("ledger")),
+        "conviction": lambda t: g.conviction(t("fundamentals")),
+        "chain_status": lambda t: g.chain_status(t("option_chain")),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in _queries().items()}
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return oracle.SQL | oracle_more.SQL

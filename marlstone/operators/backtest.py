@@ -30,20 +30,20 @@ def trades(curve: DataFrame) -> DataFrame:
 def statistics(curve: DataFrame, riskfree: float = 0.06, periods: int = 252) -> DataFrame:
     """CAGR, Sharpe, Sortino, worst drawdown and Calmar by symbol."""
     ex = C("net") - riskfree / periods
-    g = curve.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("net")).alias("_l"), F.avg(ex).alias("_m"), F.stddev_samp("net").alias("_s"), F.sqrt(F.avg(F.when(ex < 0, ex * ex))).alias("_d"), F.min("drawdown").alias("max_drawdown"))
-    g = g.withColumn("cagr", F.exp(C("_l") * periods / C("n")) - 1)
+    g = curve.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("net")).alias("_l"), F.datediff(F.max("date"), F.min("date")).alias("_days"), F.avg(ex).alias("_m"), F.stddev_samp("net").alias("_s"), F.sqrt(F.avg(F.when(ex < 0, ex * ex))).alias("_d"), F.min("drawdown").alias("max_drawdown"))
+    g = g.withColumn("cagr", F.when(C("_days") > 0, F.exp(C("_l") * 365.25 / C("_days")) - 1))
     return g.select("symbol", "n", "cagr", F.when(C("_s") > 0, C("_m") / C("_s") * F.sqrt(F.lit(float(periods)))).alias("sharpe"), F.when(C("_d") > 0, C("_m") / C("_d") * F.sqrt(F.lit(float(periods)))).alias("sortino"), "max_drawdown", F.when(C("max_drawdown") < 0, C("cagr") / F.abs("max_drawdown")).alias("calmar"))
 
 
 def trade_statistics(trips: DataFrame) -> DataFrame:
     win, loss = F.when(C("ret") > 0, C("ret")), F.when(C("ret") < 0, -C("ret"))
-    return trips.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.avg((C("ret") > 0).cast("double")).alias("win_rate"), F.avg(win).alias("avg_win"), F.avg(-loss).alias("avg_loss"), F.when(F.sum(loss) > 0, F.least(F.sum(win) / F.sum(loss), F.lit(99.9))).otherwise(99.9).alias("profit_factor"))
+    return trips.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.avg((C("ret") > 0).cast("double")).alias("win_rate"), F.avg(win).alias("avg_win"), F.avg(-loss).alias("avg_loss"), F.when(F.sum(loss) > 0, F.least(F.sum(win) / F.sum(loss), F.lit(99.9))).when(F.max("ret") > 0, 99.9).otherwise(0.0).alias("profit_factor"))
 
 
 def probabilistic_sharpe(returns: DataFrame, by: str, value: str, benchmark: float = 0.0) -> DataFrame:
     """Probability that the true Sharpe ratio (per period) exceeds ``benchmark``, by skewness and kurtosis of the returns."""
     g = returns.where(C(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.avg(value) / F.stddev_samp(value)).alias("sr"), F.skewness(value).alias("g3"), (F.kurtosis(value) + 3).alias("g4"))
-    return g.select(by, "n", "sr", norm_cdf((C("sr") - benchmark) * F.sqrt(C("n") - 1) / F.sqrt(1 - C("g3") * C("sr") + (C("g4") - 1) / 4 * C("sr") * C("sr"))).alias("psr"))
+    return g.select(by, "n", "sr", norm_cdf((C("sr") - benchmark) * F.sqrt(C("n") - 1) / F.sqrt(F.greatest(1 - C("g3") * C("sr") + (C("g4") - 1) / 4 * C("sr") * C("sr"), F.lit(1e-12)))).alias("psr"))
 
 
 def overfitting_probability(returns: DataFrame, slices: int = 8) -> DataFrame:
@@ -75,5 +75,5 @@ def dial(scores: DataFrame, lags: tuple[int, ...] = (1, 2), cash: tuple[float, .
     long = d.select("symbol", "date", "r", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), C(f"w{k}").alias("w")) for k in lags))).alias("x")).select("symbol", "date", "r", "x.*")
     turn = F.abs(C("w") - F.coalesce(F.lag("w").over(Window.partitionBy("symbol", "lag").orderBy("date")), F.lit(0.0)))
     d = long.withColumn("turn", turn).withColumn("cash", F.explode(F.array(*map(F.lit, cash)))).withColumn("net", C("w") * C("r") + (1 - C("w")) * C("cash") / 252 - C("turn") * cost)
-    g = d.groupBy("symbol", "lag", "cash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("net")).alias("_l"), (F.avg("net") * 252).alias("mean"), (F.stddev_samp("net") * F.sqrt(F.lit(252.0))).alias("vol"))
+    g = d.groupBy("symbol", "lag", "cash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log1p("net")).alias("_l"), F.datediff(F.max("date"), F.min("date")).alias("_days"), (F.avg("net") * 252).alias("mean"), (F.stddev_samp("net") * F.sqrt(F.lit(252.0))).alias("vol"))
     return g.select("symbol", "lag", "cash", "n", (F.exp(C("_l") * 252 / C("n")) - 1).alias("cagr"), "mean", "vol")

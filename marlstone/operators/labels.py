@@ -63,7 +63,7 @@ def uniqueness(spans: DataFrame) -> DataFrame:
     return out.select(*[c for c in spans.columns if c != "_id"], ((C("pe") - F.coalesce("ps", F.lit(0.0))) / (C("e") - C("s") + 1)).alias("weight"))
 
 
-def purged_folds(dates: DataFrame, folds: int = 5, label_days: int = 20, embargo: int = 5) -> DataFrame:
+def purged_folds(dates: DataFrame, folds: int = 5, label_days: int = 20, embargo: int = 20) -> DataFrame:
     """(fold, date, role) for every date and fold: test, train, or purged where a label or the embargo would reach into the test dates.
 
     Folds are runs of the sorted dates, of fold k from floor(k n / folds) on.
@@ -71,11 +71,11 @@ def purged_folds(dates: DataFrame, folds: int = 5, label_days: int = 20, embargo
     w = Window.orderBy("date")
     d = dates.select("date").distinct().withColumn("o", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("a", F.floor(C("fold") * C("n") / folds)).withColumn("b", F.floor((C("fold") + 1) * C("n") / folds))
-    role = F.when((C("o") >= C("a")) & (C("o") < C("b")), "test").when((C("o") >= C("a") - label_days) & (C("o") < C("b") + label_days + embargo), "purged").otherwise("train")
+    role = F.when((C("o") >= C("a")) & (C("o") < C("b")), "test").when((C("o") >= C("a") - label_days) & (C("o") < C("b") + embargo), "purged").otherwise("train")
     return d.select("fold", "date", role.alias("role"))
 
 
-def combinatorial_splits(dates: DataFrame, groups: int = 6, tested: int = 2, label_days: int = 20, embargo: int = 5) -> DataFrame:
+def combinatorial_splits(dates: DataFrame, groups: int = 6, tested: int = 2, label_days: int = 20, embargo: int = 20) -> DataFrame:
     """(combo, date, role) for every choice of ``tested`` of the groups: purged on both sides of every tested group. Combos are numbered in lexical order."""
     w = Window.orderBy("date")
     d = dates.select("date").distinct().withColumn("o", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
@@ -87,5 +87,5 @@ def combinatorial_splits(dates: DataFrame, groups: int = 6, tested: int = 2, lab
     high = lambda g: F.floor((g + 1) * C("n") / groups)
     x = d.crossJoin(F.broadcast(combos))  # as many rows as C(groups, tested), whatever the data
     test = F.exists("picked", lambda g: (C("o") >= low(g)) & (C("o") < high(g)))
-    near = F.exists("picked", lambda g: (C("o") >= low(g) - label_days) & (C("o") < high(g) + label_days + embargo))
+    near = F.exists("picked", lambda g: (C("o") >= low(g) - label_days) & (C("o") < high(g) + embargo))
     return x.select("combo", "date", F.when(test, "test").when(near, "purged").otherwise("train").alias("role"))

@@ -75,6 +75,17 @@ dr as (select ev.symbol, ev.date, case when dominance>0 then 'BUY' else 'SELL' e
  from ev join bb on ev.symbol=bb.symbol and ev.date=bb.date join bench m0 on m0.date=d0 left join bench m1 on m1.date=d1 left join bench m5 on m5.date=d5 left join bench m20 on m20.date=d20)"""
 
 
+_Q = "(19.0::double/21)"  # span 20
+_BARRIERS = f"""
+u0 as (select symbol, date, close, close/lag(close) over w-1 r from bars {_W}),
+u1 as (select *, count(r) {_RUN} k from u0),
+u2 as (select *, sum(r*pow({_Q},-k)) {_RUN}*pow({_Q},k) s1, sum(r*r*pow({_Q},-k)) {_RUN}*pow({_Q},k) s2, (1-pow({_Q},k))/(1-{_Q}) w1, (1-pow({_Q},2*k))/(1-{_Q}*{_Q}) w2 from u1),
+u3 as (select *, case when k>=10 then sqrt(greatest(s2/w1-(s1/w1)*(s1/w1),0)*w1*w1/(w1*w1-w2)) end v,
+ list(close) over (partition by symbol order by date rows between 1 following and 20 following) path, list(date) over (partition by symbol order by date rows between 1 following and 20 following) ahead from u2),
+u4 as (select *, greatest(2.5*v,0.0015) w, coalesce(len(path)=20 and v is not null,false) known from u3),
+lb as (select *, coalesce(list_position(list_transform(path, p -> abs(p/close-1-0.0015)>=w), true),0) hit from u4)"""
+
+
 def _ewm(table: str, x: str, out: str, alpha: str, adjust: bool, least: int = 1) -> str:
     """Closed form over numbered rows: sum of x q^-k, times q^n."""
     q = f"(1-{alpha})"
@@ -106,8 +117,8 @@ SQL = {
     "nth_bar_returns": _sql("bars", "select s.symbol, s.date, n.date as entry_date, n.close as entry, round(x1/n.close-1,6) as ret1, round(x5/n.close-1,6) as ret5, round(x10/n.close-1,6) as ret10, round(x20/n.close-1,6) as ret20 from s asof left join n on s.symbol=n.symbol and s.date>=n.date", f"n as (select symbol, date, close, lead(close,1) over w x1, lead(close,5) over w x5, lead(close,10) over w x10, lead(close,20) over w x20 from bars {_W}), s as (select symbol, cast(m+k as date) date from (select distinct symbol, cast(date_trunc('month',date) as date) m from bars), (values (9),(24)) t(k))"),
     "relative_strength": _sql("bars bench", f"select symbol, date, close, m, round(close/lag(close,63) over w-m/lag(m,63) over w,6) as rs from a {_W}", "a as (select b.symbol, b.date, b.close, m.close m from bars b asof left join bench m on b.date>=m.date)"),
     "pit_filter": _sql("bars membership", "select symbol, date, close from bars b where exists (select 1 from membership m where m.index_name='1-URGENT' and m.symbol=b.symbol and b.date between m.effective_from and coalesce(m.effective_to, date '9999-12-31'))"),
-    "members_on": _sql("membership", "select distinct index_name, symbol from membership where effective_from<=date '1998-03-31' and (effective_to is null or effective_to>=date '1998-03-31')"),
-    "interval_errors": _sql("membership", "select symbol, index_name, effective_from, 'inverted' as error from a where effective_to<effective_from union all select symbol, index_name, effective_from, 'overlap' from a where b>=effective_from", "a as (select *, lag(coalesce(effective_to, date '9999-12-31')) over (partition by symbol order by effective_from, index_name) b from membership)"),
+    "members_on": _sql("spells", "select distinct index_name, symbol from spells where effective_from<=date '1998-03-31' and (effective_to is null or effective_to>=date '1998-03-31')"),
+    "interval_errors": _sql("register", "select symbol, index_name, effective_from, 'inverted' as error from register where effective_to<effective_from union all select symbol, index_name, effective_from, 'duplicate' from g where n>1 union all select symbol, index_name, effective_from, 'overlap' from f where b>=effective_from", "g as (select *, row_number() over (partition by index_name, symbol, effective_from order by coalesce(effective_to, date '9999-12-31') desc) n from register where effective_to is null or effective_to>=effective_from), f as (select *, lag(coalesce(effective_to, date '9999-12-31')) over (partition by index_name, symbol order by effective_from) b from g where n=1)"),
     "upsert_replace": _sql("market_regime", "select date, vix, round(flow,6) as flow, cast(fo_net_long as double) as fo_net_long from market_regime where date<date '1998-01-01' union all select date, vix+1, null, null from market_regime where date>=date '1998-01-01'"),
     "upsert_ignore": _sql("market_regime", "select date, vix, round(flow,6) as flow, cast(fo_net_long as double) as fo_net_long from market_regime where date<date '1998-07-01' union all select date, vix+1, null, null from market_regime where date>=date '1998-07-01'"),
     "upsert_columns": _sql("market_regime", "select date, case when date>=date '1998-01-01' then vix+1 else vix end as vix, round(case when date<date '1998-07-01' then flow end,6) as flow, case when date<date '1998-07-01' then cast(fo_net_long as double) end as fo_net_long from market_regime"),
@@ -122,12 +133,13 @@ SQL = {
     "turnover": _sql("bars", "select date, round(turnover,6) as turnover from turn", _LEGS),
     "cost_sweep": _sql("bars", "select c as cost_bp, round(avg(net)*252,6) as annual, round(avg(net)/stddev_samp(net)*sqrt(252.0::double),6) as sharpe, count(*) as days from (select c, top-bottom-2*turnover*c/10000 net from legs join turn using (date), (values (0.0::double),(10.0::double),(30.0::double)) t(c)) group by c", _LEGS),
     "triple_barrier": _sql("bars", "select symbol, date, coalesce(s[h],0) as label, coalesce(h,20) as bars_held from (select *, list_position(list_transform(s, lambda v: v<>0), true) h from d)", f"a as (select symbol, date, close, close/lag(close) over w-1 r from bars {_W}), b as (select *, {_roll('stddev_samp', 'r', 20)} v, list(close) over (partition by symbol order by date rows between 1 following and 20 following) path from a), c as (select *, greatest(2.5*v,0.0015) wd from b where len(path)=20 and v is not null), d as (select symbol, date, list_transform(path, lambda p: case when p/close-1-0.0015>=wd then 1 when p/close-1+0.0015<=-wd then -1 else 0 end) s from c)"),
-    "uniqueness_weights": _sql("bars", "select symbol, t0, t1, round((select avg(1.0::double/c) from alive where d between t0 and t1),6) as weight from sp", "sp as (select symbol, date t0, cast(date+28 as date) t1 from bars where day(date)<=3), cal as (select distinct t0 d from sp), alive as (select d, count(*) c from cal join sp on d between t0 and t1 group by d)"),
-    "purged_folds": _sql("bench", "select fold, date, case when o>=a and o<b then 'test' when o>=a-20 and o<b+25 then 'purged' else 'train' end as role from x", "d as (select date, row_number() over (order by date)-1 o, count(*) over () n from (select distinct date from bench)), x as (select date, o, cast(k as int) fold, floor(k*n/5.0) a, floor((k+1)*n/5.0) b from d, range(5) t(k))"),
+    "barrier_labels": _sql("bars", "select symbol, date, cast(case when known then case when hit=0 then 0 when path[hit]/close-1-0.0015>=w then 1 else -1 end end as int) as label, case when known then case when hit=0 then 20 else hit end end as bars_held from lb", _BARRIERS),
+    "uniqueness_weights": _sql("bars", "select symbol, t0, t1, round(avg(1.0::double/c),6) as weight from sp join alive on d between t0 and t1 group by symbol, t0, t1", _BARRIERS + ", sp as (select symbol, date t0, ahead[cast(case when hit=0 then 20 else hit end as int)] t1 from lb where known), cal as (select distinct t0 d from sp), alive as (select d, count(*) c from cal join sp on d between t0 and t1 group by d)"),
+    "purged_folds": _sql("bench", "select fold, date, case when o>=a and o<b then 'test' when o>=a-20 and o<b+20 then 'purged' else 'train' end as role from x", "d as (select date, row_number() over (order by date)-1 o, count(*) over () n from (select distinct date from bench)), x as (select date, o, cast(k as int) fold, floor(k*n/5.0) a, floor((k+1)*n/5.0) b from d, range(5) t(k))"),
     "backtest_equity": _sql("bars", 'select symbol, date, "position", round(net,6) as net, round(equity,6) as equity, round(hold,6) as hold, round(drawdown,6) as drawdown from curve', _CURVE),
     "trade_log": _sql("bars", "select symbol, trade, entry_date, exit_date, bars, round(ret,6) as ret from trips", _CURVE),
-    "perf_stats": _sql("bars", "select symbol, n, round(cagr,6) as cagr, round(case when s>0 then m/s*sqrt(252.0::double) end,6) as sharpe, round(case when d>0 then m/d*sqrt(252.0::double) end,6) as sortino, round(mdd,6) as max_drawdown, round(case when mdd<0 then cagr/abs(mdd) end,6) as calmar from (select symbol, count(*) n, exp(sum(ln(1+net))*252/count(*))-1 cagr, avg(net-0.06/252) m, stddev_samp(net) s, sqrt(avg(case when net-0.06/252<0 then (net-0.06/252)*(net-0.06/252) end)) d, min(drawdown) mdd from curve group by symbol)", _CURVE),
-    "trade_stats": _sql("bars", "select symbol, count(*) as trades, round(avg(case when ret>0 then 1.0::double else 0.0 end),6) as win_rate, round(avg(case when ret>0 then ret end),6) as avg_win, round(avg(case when ret<0 then ret end),6) as avg_loss, round(case when sum(case when ret<0 then -ret end)>0 then least(sum(case when ret>0 then ret end)/sum(case when ret<0 then -ret end),99.9) else 99.9 end,6) as profit_factor from trips group by symbol", _CURVE),
+    "perf_stats": _sql("bars", "select symbol, n, round(cagr,6) as cagr, round(case when s>0 then m/s*sqrt(252.0::double) end,6) as sharpe, round(case when d>0 then m/d*sqrt(252.0::double) end,6) as sortino, round(mdd,6) as max_drawdown, round(case when mdd<0 then cagr/abs(mdd) end,6) as calmar from (select symbol, count(*) n, case when max(date)>min(date) then exp(sum(ln(1+net))*365.25/date_diff('day',min(date),max(date)))-1 end cagr, avg(net-0.06/252) m, stddev_samp(net) s, sqrt(avg(case when net-0.06/252<0 then (net-0.06/252)*(net-0.06/252) end)) d, min(drawdown) mdd from curve group by symbol)", _CURVE),
+    "trade_stats": _sql("bars", "select symbol, count(*) as trades, round(avg(case when ret>0 then 1.0::double else 0.0 end),6) as win_rate, round(avg(case when ret>0 then ret end),6) as avg_win, round(avg(case when ret<0 then ret end),6) as avg_loss, round(case when sum(case when ret<0 then -ret end)>0 then least(sum(case when ret>0 then ret end)/sum(case when ret<0 then -ret end),99.9) when max(ret)>0 then 99.9 else 0.0 end,6) as profit_factor from trips group by symbol", _CURVE),
     "psr": _sql("bars", "select symbol, n, round(sr,6) as sr, round(case when z>=0 then 1-tail else tail end,6) as psr from (select *, exp(-z*z/2)/2.5066282746310002*(t*(0.319381530+t*(-0.356563782+t*(1.781477937+t*(-1.821255978+t*1.330274429))))) tail from (select *, 1/(1+0.2316419*abs(z)) t from (select *, sr*sqrt(n-1)/sqrt(1-g3*sr+(g4-1)/4*sr*sr) z from q)))", f"a as (select symbol, close/lag(close) over w-1 r from bars {_W}), mo as (select symbol, avg(r) m, count(r) n, avg(r)/stddev_samp(r) sr, stddev_pop(r) s from a where r is not null group by symbol), q as (select symbol, n, sr, avg(pow((r-m)/s,3)) g3, avg(pow((r-m)/s,4)) g4 from a join mo using (symbol) where r is not null group by symbol, n, sr)"),
     "markov_roll": _sql("bench", "select symbol, date, round(case when nstates>=60 then coalesce(u/n,0.0) else 0.0 end,6) as markov from (select a.symbol, a.date, count(b.s) filter (b.i>=a.i-60) nstates, sum(b.s) filter (b.i>=a.i-59 and b.p=l.s) u, nullif(count(*) filter (b.i>=a.i-59 and b.p=l.s),0)::double n from m3 a left join m3 b on b.i between a.i-60 and a.i-1 left join m3 l on l.i=a.i-1 group by a.symbol, a.date)", _MARKOV),
     "markov_matrix": _sql("bench", "select 'bench' as symbol, prev, state, count(*) as n, round(count(*)/sum(count(*)) over (partition by prev)::double,6) as p from (select case p when 1 then 'BULL' when -1 then 'BEAR' else 'SIDE' end prev, case s when 1 then 'BULL' when -1 then 'BEAR' else 'SIDE' end state from m3 where p is not null and s is not null) group by prev, state", _MARKOV),
@@ -145,7 +157,7 @@ SQL = {
     "rsi_textbook": _sql("bars", "select symbol, date, close, round(case when l=0 then 100.0 else 100-100/(1+g/l) end,6) as rsi from y", f"d as (select symbol, date, close, close-lag(close) over w x from bars {_W}), a as (select symbol, date, close, count(x) {_RUN} k, case when x is not null then greatest(x,0.0) end g0, case when x is not null then greatest(-x,0.0) end l0 from d), b as (select symbol, date, close, case when k=14 then avg(g0) {_RUN} when k>14 then g0 end gv, case when k=14 then avg(l0) {_RUN} when k>14 then l0 end lv from a), x as (select symbol, date, close, lv, g from {_ewm('b', 'gv', 'g', '(1/14.0::double)', False)}), y as (select * from {_ewm('x', 'lv', 'l', '(1/14.0::double)', False)})"),
     "index_trend": _sql("bench", f"select symbol, date, close, round(coalesce({_clip('(close-a)/a*10', -1.0, 1.0)},0.0)*0.5+coalesce({_clip('(close-b)/b*10', -1.0, 1.0)},0.0)*0.5,6) as trend from t", f"m0 as (select 'bench' symbol, date, close from bench), t as (select *, {_roll('avg', 'close', 50, 30)} a, {_roll('avg', 'close', 200, 100)} b from m0)"),
     "sector_rotation": _sql("sector_index bench", f"select s.symbol, s.date, round(coalesce({_clip('(s.r-b.r)/0.2', -1.0, 1.0)},0.0),6) as rotation from s join b on s.date=b.date", f"s as (select index_name symbol, date, close/lag(close,20) over (partition by index_name order by date)-1 r from sector_index), b as (select date, close/lag(close,20) over (order by date)-1 r from bench)"),
-    "cpcv_splits": _sql("bench", "select combo, date, case when bool_or(o>=floor(g*n/6.0) and o<floor((g+1)*n/6.0)) then 'test' when bool_or(o>=floor(g*n/6.0)-20 and o<floor((g+1)*n/6.0)+25) then 'purged' else 'train' end as role from d, p group by combo, date", "d as (select date, row_number() over (order by date)-1 o, count(*) over () n from (select distinct date from bench)), c as (select a.g a, b.g b, cast(row_number() over (order by a.g, b.g)-1 as int) combo from range(6) a(g) join range(6) b(g) on a.g<b.g), p as (select combo, a g from c union all select combo, b from c)"),
+    "cpcv_splits": _sql("bench", "select combo, date, case when bool_or(o>=floor(g*n/6.0) and o<floor((g+1)*n/6.0)) then 'test' when bool_or(o>=floor(g*n/6.0)-20 and o<floor((g+1)*n/6.0)+20) then 'purged' else 'train' end as role from d, p group by combo, date", "d as (select date, row_number() over (order by date)-1 o, count(*) over () n from (select distinct date from bench)), c as (select a.g a, b.g b, cast(row_number() over (order by a.g, b.g)-1 as int) combo from range(6) a(g) join range(6) b(g) on a.g<b.g), p as (select combo, a g from c union all select combo, b from c)"),
     "exposure_dial": _sql("bench", "select symbol, lag, cash, count(*) as n, round(exp(sum(ln(1+net))*252/count(*))-1,6) as cagr, round(avg(net)*252,6) as mean, round(stddev_samp(net)*sqrt(252.0::double),6) as vol from (select symbol, lag, c as cash, w*r+(1-w)*c/252-abs(w-coalesce(lag(w) over (partition by symbol, lag, c order by date),0.0))*0.0005 net from z, (values (0.0::double),(0.06::double)) v(c)) group by symbol, lag, cash", f"m0 as (select 'bench' symbol, date, close from bench), t as (select *, {_roll('avg', 'close', 50, 30)} a, {_roll('avg', 'close', 200, 100)} b from m0), u as (select symbol, date, close/lag(close) over w-1 r, greatest(0.0,least(1.0,0.5+coalesce({_clip('(close-a)/a*10', -1.0, 1.0)},0.0)*0.5+coalesce({_clip('(close-b)/b*10', -1.0, 1.0)},0.0)*0.5)) e from t {_W}), z as (select symbol, date, coalesce(r,0.0) r, cast(1 as int) lag, coalesce(lag(e,1) over w,0.0) w from u {_W} union all select symbol, date, coalesce(r,0.0), 2, coalesce(lag(e,2) over w,0.0) from u {_W})"),
     "counterparties": _sql("deals", "select case when contains(u,'FUND') then 'fund' when contains(u,'BANK') then 'bank' when contains(u,'#00000000') then 'house' when contains(u,'SUPPLIER') then 'trader' else 'other' end as kind, trade_type, count(*) as deals, round(cast(sum(cast(quantity*price as decimal(18,2))) as double),6) as value from (select *, upper(client_name) u from deals) where trade_type in ('BUY','SELL') group by 1, 2"),
     "variance_premium": _sql("market_regime bench", "select date, vix, round(rv,6) as realised, round(vix-rv,6) as premium from b join market_regime using (date) where rv is not null", "l as (select date, ln(close/lag(close) over (order by date)) x from bench), b as (select date, case when count(x) over f=21 then stddev_samp(x) over f*sqrt(252.0::double)*100 end rv from l window f as (order by date rows between 1 following and 21 following))"),

@@ -27,6 +27,10 @@ select cast(o_orderdate as date) as date, cast(sum(cast(o_totalprice as decimal(
 select s.s_nationkey as symbol, cast(l.l_shipdate as date) as date, cast(sum(l.l_quantity) as bigint) as traded_qty,
  cast(sum(case when l.l_linestatus='F' then l.l_quantity else 0 end) as bigint) as delivery_qty,
  100*sum(case when l.l_linestatus='F' then l.l_quantity else 0 end)/sum(l.l_quantity) as delivery_pct
+ from {lineitem} l join {supplier} s on l.l_suppkey=s.s_suppkey group by s.s_nationkey, cast(l.l_shipdate as date)""",
+    "settled": """
+select s.s_nationkey as symbol, cast(l.l_shipdate as date) as date,
+ 100*cast(sum(case when l.l_returnflag='A' then l.l_quantity else 0 end) as double)/cast(sum(l.l_quantity) as double) as delivery_pct
  from {lineitem} l join {supplier} s on l.l_suppkey=s.s_suppkey group by s.s_nationkey, cast(l.l_shipdate as date)""",
     "deals": """
 select cast(l.l_shipdate as date) as date, s.s_nationkey as symbol, s.s_name as client_name,
@@ -56,6 +60,11 @@ with m as (select distinct o_orderpriority as index_name, c_nationkey as symbol,
  from {orders} join {customer} on o_custkey=c_custkey),
 g as (select *, k-row_number() over (partition by index_name, symbol order by k) as island from m)
 select index_name, symbol, min(first) as effective_from, case when max(k)=(select max(k) from m) then null else last_day(max(first)) end as effective_to from g group by index_name, symbol, island""",
+    # spells as several registers of one kind have them: they overlap, and some repeat a start
+    "register": """
+select o_orderpriority as index_name, c_nationkey as symbol, cast(date_trunc('month',min(o_orderdate)) as date) as effective_from,
+ case when c_nationkey%5=0 then null else cast(max(o_orderdate) as date) end as effective_to
+ from {orders} join {customer} on o_custkey=c_custkey group by o_orderpriority, c_nationkey, c_mktsegment, year(o_orderdate)""",
     "articles": """
 select doc_id%25 as symbol, cast(date '2024-01-01' + cast(doc_id%30 as int) as date) as date, source, text as headline, doc_id from {documents}""",
 }

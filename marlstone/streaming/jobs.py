@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,41 +37,50 @@ def stream_alerts(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def stream_trailing_stop(ticks: DataFrame, share: float = 0.1) -> DataFrame:
-    """The stop of each symbol only ever rises: its highest price so far less ``share``. One row by symbol and batch."""
+    """The stop of each symbol only ever rises: its highest price so far less ``share``. One row by symbol and batch.
+
+    Ticks (symbol, ts, price) are walked in order of time within a batch, of equal times the lower price first; a tick hits if
+    it is at or below the stop that the ticks before it have set.
+    """
 
     def ratchet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high = state.get[0] if state.exists else float("-inf")
-        low = float("inf")
-        for b in batches:
-            high, low = max(high, float(b["price"].max())), min(low, float(b["price"].min()))
-        state.update((high,))
-        yield pd.DataFrame({"symbol": [key[0]], "high": [high], "stop": [high * (1 - share)], "hit": [low <= high * (1 - share)]})
+        price = pd.concat(list(batches)).sort_values(["ts", "price"], kind="stable")["price"].astype(float)
+        start = state.get[0] if state.exists else float("-inf")
+        highs = pd.concat([pd.Series([start]), price]).cummax().to_numpy()
+        state.update((float(highs[-1]),))
+        hit = bool((price.to_numpy() <= highs[:-1] * (1 - share)).any())
+        yield pd.DataFrame({"symbol": [key[0]], "high": [highs[-1]], "stop": [highs[-1] * (1 - share)], "hit": [hit]})
 
     return ticks.groupBy("symbol").applyInPandasWithState(ratchet, "symbol string, high double, stop double, hit boolean", "high double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, keys: list[str], whole_rows: bool = True) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a Parquet table; a batch that comes again changes nothing.
+def upsert_sink(path: str, keys: list[str], order: str, whole_rows: bool = True) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a Parquet table; of a batch's rows with equal keys the one with the largest ``order`` counts.
 
-    Every merge is written as a new version, and ``path/_current`` names the latest one.
+    Every merge is a new folder ``path/v<batch>``; a row is then appended to ``path/versions``. A crash in between leaves the
+    version before as it was, and the batch comes again; a batch that is already there changes nothing.
     """
     merge = replace_rows if whole_rows else update_columns
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.dropDuplicates(keys)
-        pointer = f"{path}/_current"
-        try:
-            version = spark.read.text(pointer).first()[0]
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            version = None
-        target = f"{path}/v{number}"
-        if version == target:
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        version = latest_version(spark, path)
+        if version is not None and version >= number:
             return
-        out = merge(spark.read.parquet(version), newest, keys) if version else newest
-        out.write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        out = merge(spark.read.parquet(f"{path}/v{version}"), newest, keys) if version is not None else newest
+        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark.range(number, number + 1).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
     return write
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the table's latest whole version; None before the first one."""
+    try:
+        versions = spark.read.parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return versions.agg(F.max("id")).first()[0]
