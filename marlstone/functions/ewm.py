@@ -1,12 +1,15 @@
-"""Exponentially weighted means without a Python step per row.
+"""Exponentially weighted means without a Python step per row and without a join.
 
-Rows of a series are numbered and cut into blocks. Within a block the recurrence S = q S + x is a window sum of x q^-k; the
-ends of the blocks before are folded into a carry by an aggregate over an array that is as short as the number of blocks.
+Rows of a series are numbered and cut into blocks. Within a block the recurrence S = q S + x is a window sum of x q^-k. What
+the blocks before carry on is folded from the ends of the latest of them: a block so far back that its weight is below 1e-18
+adds nothing in double precision, so their number has a bound. All windows go by the series, after one shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -17,16 +20,18 @@ def ewm_mean(df: DataFrame, value: str, out: str, alpha: float, adjust: bool, le
     q = 1.0 - alpha
     some = F.col(value).isNotNull()
     w = Window.partitionBy(key).orderBy(order)
-    n = F.sum(some.cast("long")).over(w)
-    d = df.withColumn("_n", n).withColumn("_b", F.when(F.col("_n") > 0, F.floor((F.col("_n") - 1) / BLOCK)))
+    d = df.withColumn("_n", F.sum(some.cast("long")).over(w))
+    if q <= 0.0:
+        return d.withColumn(out, F.when(F.col("_n") >= least, F.col(value))).drop("_n")
+    d = d.withColumn("_b", F.when(F.col("_n") > 0, F.floor((F.col("_n") - 1) / BLOCK)))
     inside = Window.partitionBy(key, "_b").orderBy(order)
     k = (F.col("_n") - 1) % BLOCK
     part = F.sum(F.col(value) * F.pow(F.lit(q), -k)).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(q), k)
     d = d.withColumn("_s", F.when(some, part))
-    ends = d.where(F.col("_b").isNotNull()).groupBy(key, "_b").agg(F.max_by("_s", "_n").alias("_end"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    fold = F.aggregate(F.collect_list("_end").over(before), F.lit(0.0), lambda s, x: s * (q**BLOCK) + x)
-    d = d.join(ends.select(key, "_b", fold.alias("_carry")), [key, "_b"], "left")
+    far = math.ceil(math.log(1e-18) / (BLOCK * math.log(q)))
+    before = Window.partitionBy(key).orderBy("_b").rangeBetween(-far, -1)
+    ends = F.collect_list(F.when(k == BLOCK - 1, F.col("_s"))).over(before)
+    d = d.withColumn("_carry", F.aggregate(ends, F.lit(0.0), lambda s, x: s * (q**BLOCK) + x))
     total = F.col("_s") + F.col("_carry") * F.pow(F.lit(q), k + 1)
     first = F.first(F.col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     mean = alpha * total / (1 - F.pow(F.lit(q), F.col("_n"))) if adjust else alpha * total + F.pow(F.lit(q), F.col("_n")) * first

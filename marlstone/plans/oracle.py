@@ -83,7 +83,7 @@ u2 as (select *, sum(r*pow({_Q},-k)) {_RUN}*pow({_Q},k) s1, sum(r*r*pow({_Q},-k)
 u3 as (select *, case when k>=10 then sqrt(greatest(s2/w1-(s1/w1)*(s1/w1),0)*w1*w1/(w1*w1-w2)) end v,
  list(close) over (partition by symbol order by date rows between 1 following and 20 following) path, list(date) over (partition by symbol order by date rows between 1 following and 20 following) ahead from u2),
 u4 as (select *, greatest(2.5*v,0.0015) w, coalesce(len(path)=20 and v is not null,false) known from u3),
-lb as (select *, coalesce(list_position(list_transform(path, p -> abs(p/close-1-0.0015)>=w), true),0) hit from u4)"""
+lb as (select *, coalesce(list_position(list_transform(path, lambda p: abs(p/close-1-0.0015)>=w), true),0) hit from u4)"""
 
 
 def _ewm(table: str, x: str, out: str, alpha: str, adjust: bool, least: int = 1) -> str:
