@@ -106,17 +106,47 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix64(np.add.reduceat(part, starts - starts[0]) ^ (lengths.astype(np.uint64) * _MULT))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte the integer of the 8 bytes from there on, zeros beyond the end; a view with a stride of one byte."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+
+
 def span_digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each span, as ``span_hash``; the second one sums mixed bytes and so doesn't follow from the first."""
+    """Two 64-bit hashes of each span, by eight bytes at a time; the second one mixes them otherwise and so doesn't follow from the first."""
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    lengths, part = _span_parts(data, starts, ends)
-    size = lengths.astype(np.uint64) * _MULT
-    first = np.add.reduceat(part, starts - starts[0])
-    part ^= part >> np.uint64(29)
-    part *= np.uint64(0xBF58476D1CE4E5B9)
-    part ^= part >> np.uint64(32)
-    return mix64(first ^ size), mix64(np.add.reduceat(part, starts - starts[0]) + size)
+    length = ends - starts
+    count = (length + 7) >> 3
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    value = eights(data)[np.repeat(starts, count) + (place << 3)]
+    rest = (length & 7).astype(np.uint64) * np.uint64(8)
+    cut = np.flatnonzero(rest)
+    value[(first + count - 1)[cut]] &= (np.uint64(1) << rest[cut]) - np.uint64(1)
+    key = (place.astype(np.uint64) + np.uint64(1)) * _MULT
+    size = length.astype(np.uint64) * _MULT
+    one = np.add.reduceat(mix64(value + key), first)
+    two = np.add.reduceat(mix64((value ^ mix64(key)) * np.uint64(0xD6E8FEB86659FD93)), first)
+    return mix64(one ^ size), mix64(two + size)
+
+
+def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without the blanks at both ends; one of blanks alone ends where it starts."""
+    starts, ends = starts.copy(), ends.copy()
+    for at, other, step in ((starts, ends, 1), (ends, starts, -1)):
+        live = np.flatnonzero(starts < ends)
+        reach = 1
+        while len(live):
+            # runs of blanks are read in stretches that double, so a long run takes few rounds
+            near = np.arange(reach) * step - (step < 0)
+            seen = at[live][:, None] + near
+            inside = (seen < ends[live][:, None]) & (seen >= starts[live][:, None])
+            blank = _SPACE[data[np.clip(seen, 0, len(data) - 1)]] & inside
+            run = np.where(blank.all(axis=1), reach, np.argmin(blank, axis=1))
+            at[live] += run * step
+            live = live[(run == reach) & (starts[live] < ends[live])]
+            reach = min(2 * reach, max(1, (1 << 20) // max(len(live), 1)))
+    return starts, ends
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:
