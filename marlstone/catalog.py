@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, backtest, factors, history, indicators, labels, models, signals, studies, upsert, xsection
-from marlstone.plans import oracle, oracle_more
+from marlstone.operators import align, backtest, factors, history, indicators, labels, models, research, signals, studies, upsert, xsection
+from marlstone.plans import oracle, oracle_more, oracle_research
 from marlstone.sources.adapters import table
 
 C = F.col
@@ -212,9 +212,76 @@ def _more() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     }
 
 
+def _turns(date: str, formats: list[str], by: Column) -> Column:
+    """A date as text in the notations by turns."""
+    text = F.date_format(date, formats[0])
+    for k, f in enumerate(formats[1:], 1):
+        text = F.when(by % len(formats) == k, F.date_format(date, f)).otherwise(text)
+    return text
+
+
+def _member_text(spells: DataFrame) -> DataFrame:
+    """Spells as lines of a membership file; the index 3-MEDIUM is left blank."""
+    by = C("symbol")
+    index = F.when(C("index_name") == "3-MEDIUM", "").otherwise(C("index_name"))
+    cells = [C("symbol").cast("string"), index, _turns("effective_from", research.MEMBER_DATES, by), F.coalesce(_turns("effective_to", research.MEMBER_DATES, by + 1), F.lit(""))]
+    return spells.select(F.hash("index_name", "symbol", "effective_from").alias("line"), F.concat_ws(",", *cells).alias("text"))
+
+
+def _level_text(regime: DataFrame) -> DataFrame:
+    """Volatility levels as lines; each date has a second, earlier line, and every fourth a level of zero."""
+    zero = F.when(F.dayofmonth("date") % 4 == 0, F.lit("0.00")).otherwise(F.format_number(C("vix") + 1, 2))
+    day = _turns("date", ["yyyy-MM-dd", "dd-MMM-yyyy", "dd/MM/yyyy"], F.dayofmonth("date"))
+    d = regime.select(day.alias("d"), F.explode(F.array(F.struct(F.lit(1).alias("line"), zero.alias("v")), F.struct(F.lit(2).alias("line"), C("vix").cast("string").alias("v")))).alias("x"))
+    return d.select("x.line", F.concat(F.lit(" "), "d", F.lit(" , "), "x.v", F.lit(" ")).alias("text"))
+
+
+def _flow_pages(regime: DataFrame) -> DataFrame:
+    """One page a month with the days' flows in its script."""
+    row = F.struct(F.date_format("date", "dd-MMM-yyyy").alias("date"), F.format_number("flow", 2).alias("fiiNet"), C("fo_net_long").cast("string").alias("diiNet"))
+    d = regime.groupBy(F.trunc("date", "month").alias("m")).agg(F.collect_list(row).alias("fiiDiiData"))
+    blob = F.to_json(F.struct(F.struct(F.struct(F.struct("fiiDiiData").alias("FiiDiiData")).alias("pageProps")).alias("props")))
+    return d.select(F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), blob, F.lit("</script></html>")).alias("html"))
+
+
+def _deal_text(deals: DataFrame) -> DataFrame:
+    day = _turns("date", ["dd-MMM-yyyy", "dd/MM/yyyy"], C("symbol"))
+    mark = F.when(C("symbol") == 0, "\ufeff").otherwise("")
+    cells = [F.concat(mark, day), C("symbol").cast("string"), "client_name", "trade_type", F.concat(F.lit('"'), F.format_number(C("quantity") * 1000, 0), F.lit('"')), F.concat(F.lit('"'), F.format_number("price", 2), F.lit('"'))]
+    return deals.select(F.concat_ws(",", *cells).alias("text"))
+
+
+def _research() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    r = research
+    months = lambda t: r.monthly_momentum(t("bars"), t("bench"), top=5, leg=2, least=10)
+    events = lambda t: r.entry_timing(factors.composite(factors.factor_scores(t("bars"))).select("symbol", "date", "close", "composite").join(signals.cs_percentile(t("bars")), ["symbol", "date"], "left"))
+    cycles = lambda t: r.harvest_cycles(studies.variance_premium(t("market_regime"), t("bench")))
+    start = "1992-01-01"
+    current = lambda t: t("spells").where("effective_to is null").select("index_name", "symbol")
+    joined = lambda t: t("spells").where(C("effective_from") > start).select("index_name", "symbol", C("effective_from").alias("date"), F.lit(True).alias("included"), F.lit(False).alias("excluded"))
+    left = lambda t: t("spells").where("effective_to is not null").select("index_name", "symbol", F.date_add("effective_to", 1).alias("date"), F.lit(False).alias("included"), F.lit(True).alias("excluded"))
+    return {
+        "deflated_sharpe": lambda t: r.deflated_sharpe(indicators.returns(t("bars")), "symbol", "r1"),
+        "even_legs": lambda t: r.even_legs(xsection.short_horizon_signals(t("bars")), "rev3", "fwd1"),
+        "monthly_momentum": months,
+        "momentum_gates": lambda t: r.momentum_gates(months(t)),
+        "entry_timing": events,
+        "timing_summary": lambda t: r.timing_summary(events(t)),
+        "harvest_cycles": cycles,
+        "harvest_summary": lambda t: r.harvest_summary(cycles(t)),
+        "rebuilt_spells": lambda t: r.rebuild_spells(current(t), joined(t).unionByName(left(t)), start),
+        "high_correlations": lambda t: r.high_correlations(t("bars"), 0.1),
+        "diversification": lambda t: r.diversification(t("bars")),
+        "parsed_members": lambda t: r.parse_members(_member_text(t("spells")), "3-MEDIUM"),
+        "parsed_index_levels": lambda t: r.parse_index_levels(_level_text(t("market_regime"))),
+        "parsed_flow_pages": lambda t: r.parse_flow_pages(_flow_pages(t("market_regime"))),
+        "parsed_deals": lambda t: r.parse_deals(_deal_text(t("deals"))).groupBy("symbol", "date", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").cast("long").alias("quantity"), F.max("client").alias("client")),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more()).items()}
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | oracle_more.SQL
+    return oracle.SQL | oracle_more.SQL | oracle_research.SQL

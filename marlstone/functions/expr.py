@@ -56,3 +56,27 @@ def norm_cdf(x: Column) -> Column:
 
 def half_even(x: Column) -> Column:
     return F.bround(x, 0)
+
+
+# The rational approximation of the normal quantile by Acklam (relative error below 1.2e-9).
+PPF_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+PPF_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+PPF_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+PPF_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+PPF_TAIL = 0.02425
+
+
+def _horner(factors: list[float], x: Column) -> Column:
+    total = F.lit(factors[0])
+    for f in factors[1:]:
+        total = total * x + f
+    return total
+
+
+def norm_ppf(p: Column) -> Column:
+    """Quantile of the standard normal distribution; null outside (0, 1)."""
+    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
+    t = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    tail = _horner(PPF_C, t) / _horner(PPF_D, t)
+    middle = q * _horner(PPF_A, r) / _horner(PPF_B, r)
+    return F.when((p > 0) & (p < 1), F.when(p < PPF_TAIL, tail).when(p > 1 - PPF_TAIL, -tail).otherwise(middle))
