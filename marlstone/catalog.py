@@ -261,6 +261,7 @@ def _research() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     joined = lambda t: t("spells").where(C("effective_from") > start).select("index_name", "symbol", C("effective_from").alias("date"), F.lit(True).alias("included"), F.lit(False).alias("excluded"))
     left = lambda t: t("spells").where("effective_to is not null").select("index_name", "symbol", F.date_add("effective_to", 1).alias("date"), F.lit(False).alias("included"), F.lit(True).alias("excluded"))
     return {
+        "ic_weights": lambda t: r.ic_weights(r.factor_ics(factors.factor_scores(t("bars")).join(indicators.returns(t("bars")).select("symbol", "date", "fwd20"), ["symbol", "date"]), list(factors.WEIGHTS), "fwd20"), factors.WEIGHTS),
         "deflated_sharpe": lambda t: r.deflated_sharpe(indicators.returns(t("bars")), "symbol", "r1"),
         "even_legs": lambda t: r.even_legs(xsection.short_horizon_signals(t("bars")), "rev3", "fwd1"),
         "monthly_momentum": months,

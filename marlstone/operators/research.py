@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import by_date, by_symbol, half_even, norm_cdf, norm_ppf
+from marlstone.functions.expr import average_rank, by_date, by_symbol, half_even, norm_cdf, norm_ppf
 from marlstone.operators.history import parse_dates, parse_number
 from marlstone.operators.studies import correlations
+from marlstone.operators.xsection import to_long
 
 C = F.col
 EULER = 0.5772156649015329  # the Euler-Mascheroni constant
@@ -189,3 +190,35 @@ def parse_deals(lines: DataFrame) -> DataFrame:
     """Deal lines ``date,symbol,client,side,quantity,price``, quoted where numbers have commas; a byte order mark and header lines are skipped."""
     d = lines.select(F.from_csv(F.regexp_replace("text", "^﻿", ""), "day string, symbol string, client string, side string, quantity string, price string").alias("p")).select("p.*")
     return d.select(parse_dates(C("day")).alias("date"), F.trim("symbol").alias("symbol"), F.trim("client").alias("client"), F.upper(F.trim("side")).alias("side"), parse_number(C("quantity")).alias("quantity"), parse_number(C("price")).alias("price")).where("date is not null and quantity is not null")
+
+
+def factor_ics(panel: DataFrame, factors: list[str], target: str, last: int = 252, least: int = 5) -> DataFrame:
+    """Mean Spearman correlation with the target by factor over each symbol's ``last`` rows, and the number of dates, in one pass over the panel."""
+    recent = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    d = panel.select("symbol", "date", target, *factors).withColumn("_k", recent).where(C("_k") <= last)
+    d = to_long(d, factors, target).where(C("score").isNotNull() & C(target).isNotNull())
+    d = d.select("signal", "date", average_rank(C("score"), ["signal", "date"]).alias("a"), average_rank(C(target), ["signal", "date"]).alias("b"))
+    g = d.groupBy("signal", "date").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).where((C("n") >= least) & (C("sa") > 1e-12) & (C("sb") > 1e-12))
+    return g.groupBy(C("signal").alias("factor")).agg(F.avg(C("c") / (C("sa") * C("sb"))).alias("mean_ic"), F.count(F.lit(1)).alias("dates"))
+
+
+def ic_weights(ics: DataFrame, static: dict[str, float], floor: float = 0.02, cap: float = 0.4, least: int = 20) -> DataFrame:
+    """Weights in proportion to mean correlations of at least ``floor``, none above ``cap``; the windows see one row a factor.
+
+    With the factors from the largest down, the first m are held at the cap and the others share what is left; m is the smallest number
+    for which no other exceeds it. What remains when all that count are at the cap goes to the rest by their static weights. Without any
+    that counts the static weights hold. Negative correlations and those over fewer than ``least`` dates don't count.
+    """
+    base = ics.sparkSession.createDataFrame(sorted(static.items()), "factor string, static double")
+    d = base.join(F.broadcast(ics), "factor", "left")
+    d = d.withColumn("g", F.when((C("dates") >= least) & (C("mean_ic") >= floor), C("mean_ic")).otherwise(0.0))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("g"), "factor")
+    whole = Window.partitionBy(F.lit(0))
+    d = d.withColumn("m", F.row_number().over(down) - 1).withColumn("rest", F.sum("g").over(down.rowsBetween(0, Window.unboundedFollowing)))
+    share = (1 - C("m") * cap) * C("g") / C("rest")  # of the m-th, if all before it are at the cap
+    d = d.withColumn("held", F.min(F.when((C("g") > 0) & (share <= cap + 1e-12), C("m"))).over(whole)).withColumn("live", F.sum((C("g") > 0).cast("int")).over(whole))
+    d = d.withColumn("held", F.coalesce("held", "live")).withColumn("pool", F.sum(F.when(C("m") >= C("held"), C("g"))).over(whole))
+    idle = F.sum(F.when(C("g") == 0, C("static"))).over(whole)
+    left = F.greatest(1 - C("held") * cap, F.lit(0.0))
+    weight = F.when(C("live") == 0, C("static")).when(C("m") < C("held"), cap).when(C("g") > 0, left * C("g") / C("pool")).when(C("held") == C("live"), left * C("static") / C("idle")).otherwise(0.0)
+    return d.withColumn("idle", idle).select("factor", "mean_ic", "dates", F.round(weight, 4).alias("weight"), F.when(C("live") == 0, "static").otherwise("ic").alias("method"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marlstone.functions.expr import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL
-from marlstone.plans.oracle import _SCORES, _sql
+from marlstone.plans.oracle import _FWD, _SCORES, _sql
 from marlstone.plans.oracle_more import _R1, _RANK, _REV, _W
 
 
@@ -55,12 +55,27 @@ h0 as (select 'all' part, date, net from cy union all select case when vix<=q1+1
 h1 as (select *, sum(net) over (partition by part order by date rows between unbounded preceding and current row) eq from h0), h2 as (select *, eq-max(eq) over (partition by part order by date rows between unbounded preceding and current row) fall from h1)"""
 _K = f"{_R1}, k as (select symbol, r, row_number() over (partition by symbol order by date desc) k from r1 where r is not null qualify k<=250), cm as (select x.symbol a, y.symbol b, coalesce(corr(x.r,y.r),0.0) corr from k x join k y on x.k=y.k and x.symbol<y.symbol group by 1,2)"
 
+# the weights go round by round, as they are told: at most as many rounds as factors
+_IC = f"""{_SCORES}, {_FWD}, i0 as (select f4.*, fwd20, row_number() over (partition by symbol order by date desc) k from f4 join r using (symbol, date)),
+i1 as (select factor, date, score, fwd20 from (select date, fwd20, momentum, bollinger, volatility, volume from i0 where k<=252) unpivot (score for factor in (momentum, bollinger, volatility, volume)) where fwd20 is not null),
+i2 as (select factor, date, rank() over (partition by factor, date order by score)+(count(*) over (partition by factor, date, score)-1)/2.0::double a, rank() over (partition by factor, date order by fwd20)+(count(*) over (partition by factor, date, fwd20)-1)/2.0::double b from i1),
+i3 as (select factor, date, corr(a,b) ic from i2 group by factor, date having count(*)>=5 and stddev_pop(a)>1e-12 and stddev_pop(b)>1e-12),
+i4 as (select factor, avg(ic) mean_ic, count(*) dates from i3 group by factor),
+st(factor, static) as (values ('momentum',0.4::double),('bollinger',0.2::double),('volatility',0.2::double),('volume',0.2::double)),
+g as (select factor, static, mean_ic, dates, case when dates>=20 and mean_ic>=0.02 then mean_ic else 0.0::double end g from st left join i4 using (factor)),
+k0 as (select *, coalesce(g/nullif(sum(g) over (),0),static) w from g),
+k1 as (select *, least(w,0.4::double) c, sum(greatest(w-0.4::double,0)) over () x, sum(case when g>0 and w<0.4::double-1e-12 then w end) over () p, sum(case when g=0 then static end) over () z from k0),
+k2 as (select factor, static, mean_ic, dates, g, case when x<=1e-12 then w when p>0 then case when g>0 and w<0.4::double-1e-12 then w+x*w/p else c end when g=0 then x*static/z else c end w from k1),
+k3 as (select *, least(w,0.4::double) c, sum(greatest(w-0.4::double,0)) over () x, sum(case when g>0 and w<0.4::double-1e-12 then w end) over () p, sum(case when g=0 then static end) over () z from k2),
+k4 as (select factor, mean_ic, dates, sum(g) over () s, case when x<=1e-12 or not bool_or(g>0) over () then w when p>0 then case when g>0 and w<0.4::double-1e-12 then w+x*w/p else c end when g=0 then x*static/z else c end w from k3)"""
+
 
 def _six(*names: str) -> str:
     return ", ".join(f"round({n},6) as {n}" for n in names)
 
 
 SQL = {
+    "ic_weights": _sql("bars", "select factor, round(mean_ic,6) as mean_ic, dates, round(w,4) as weight, case when s>0 then 'ic' else 'static' end as method from k4", _IC),
     "deflated_sharpe": _sql("bars", f"select symbol, n, round(sr,6) as sr, round(f,6) as expected_max, round({_normal('z')},6) as dsr from z", _DSR),
     "even_legs": _sql("bars", "select date, max(n) as n, max(k) as names, round(avg(fwd1) filter (u<=k),6) as long_only, round(avg(fwd1) filter (u<=k)-avg(fwd1) filter (d<=k),6) as long_short from e2 group by date", f"e0 as (select symbol, date, 1-close/lag(close,3) over w rev3, lead(close) over w/close-1 fwd1 from bars {_W}), e1 as (select *, count(*) over (partition by date) n, row_number() over (partition by date order by rev3 desc, symbol) u, row_number() over (partition by date order by rev3, symbol desc) d from e0 where rev3 is not null and fwd1 is not null), e2 as (select *, greatest(cast(round_even(n*0.1::double,0) as bigint),1) k from e1)"),
     "monthly_momentum": _sql("bars bench", f"select date, settle, n, {_six('lo_gross', 'lo_turnover', 'lo_net', 'ls_gross', 'ls_turnover', 'ls_net', 'bench', 'excess')} from mm", _MONTHS),

@@ -105,3 +105,21 @@ def test_monthly_momentum_by_hand(spark):
     assert research.monthly_momentum(bars, bench).count() == 0  # too few names
     g = research.momentum_gates(research.monthly_momentum(bars, bench, top=1, leg=1, least=4)).first()
     assert g.months == 5 and g.passed is False
+
+
+@pytest.mark.parametrize(
+    "ics, want",
+    [
+        ((0.3, 0.1, 0.05, 0.05), (0.4, 0.3, 0.15, 0.15)),  # the first is held, the rest share 0.6
+        ((0.1, 0.1, 0.05, 0.01), (0.4, 0.4, 0.2, 0.0)),  # below the floor: nothing
+        ((0.5, 0.5, 0.03, 0.0), (0.4, 0.4, 0.2, 0.0)),
+        ((0.5, 0.1, 0.02, 0.0), (0.4, 0.4, 0.2, 0.0)),  # the second goes over the cap only after the first is held
+        ((0.1, 0.0, -0.3, 0.0), (0.4, 0.2, 0.2, 0.2)),  # what is left goes to the others by their static weights
+        ((0.0, 0.01, -0.3, None), (0.4, 0.2, 0.2, 0.2)),  # nothing counts: static
+    ],
+)
+def test_ic_weights_hold_the_cap(spark, ics, want):
+    static = dict(zip("abcd", (0.4, 0.2, 0.2, 0.2)))
+    df = spark.createDataFrame([(f, x, 30) for f, x in zip("abcd", ics)], "factor string, mean_ic double, dates long")
+    got = {r.factor: r.weight for r in research.ic_weights(df, static).collect()}
+    assert [got[f] for f in "abcd"] == pytest.approx(want, abs=1e-4)
