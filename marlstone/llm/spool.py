@@ -26,7 +26,15 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spooled_at = path
+    return out
+
+
+def unspool(df: DataFrame) -> None:
+    """Remove what ``spool`` wrote for exactly this DataFrame; only after its last reader has written its own result."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._spooled_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
