@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.spool import spool
+from marlstone.llm.tables import fresh
 from marlstone.llm.textbytes import combine, lower, slices, span_hash, words
 
 SEED, RARER, LEAST_SEEDS = 3, 2 / 3, 2
@@ -202,6 +203,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that hold a benchmark item; all columns stay. Rows with a null id stay."""
-    bad = contaminated(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """The documents without those that hold a benchmark item; all columns stay.
+
+    A row is known by a hash of its id and its text, so rows that share an id, or have none, are judged each by its own text.
+    """
+    key = fresh(docs.columns, "row")
+    named = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    bad = contaminated(named.select(F.col(key).alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias(key)).distinct()
+    return named.join(bad, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -167,8 +167,8 @@ def class_sets(need: DataFrame, rows: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "grams"]).filter(ok)
 
     few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = need.select("cid", F.col("first.doc_id").alias("doc_id"), F.col("first.tk").alias("tk"), "lo", "hi")
-    text = rows.join(F.broadcast(wanted) if few else wanted, ["doc_id", "tk"]).select("cid", "lo", "hi", "text")
+    wanted = need.select("cid", F.col("first.doc_id").alias("own"), F.col("first.tk").alias("own_tk"), "lo", "hi")
+    text = rows.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("tk") == F.col("own_tk"))).select("cid", "lo", "hi", "text")
     return text.mapInArrow(batches, "cid long, grams binary").dropDuplicates(["cid"])
 
 
@@ -264,7 +264,7 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     kept = named.join(later, same(later), "left_anti")
     twice = told.groupBy(F.col("doc_id").alias(key), F.col("tk").alias(tk)).count().where("count > 1").select(key, tk)
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select(*(f"`{c}`" for c in docs.columns))
     single = kept.join(twice, same(twice), "left_anti")
     once = kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", tk])
     return single.unionByName(once).select(*(f"`{c}`" for c in docs.columns))

@@ -65,16 +65,17 @@ def text_stats(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def with_stats(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and one double per name in ``STATS``, called ``stat_`` and that name."""
-    at, names = [rows.columns.index(c) for c in keep], [PREFIX + s for s in STATS]
+    at, names, text_at = [rows.columns.index(c) for c in keep], [PREFIX + s for s in STATS], rows.columns.index(text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part, data, off in slices(batch, text):
+            for part, data, off in slices(batch, f"k{text_at}"):
                 s = text_stats(data, off)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(STATS)))], names=[*(f"k{i}" for i in at), *names])
 
     kept = [T.StructField(f"k{i}", rows.schema[c].dataType) for i, c in zip(at, keep, strict=True)]
-    out = rows.mapInArrow(batches, T.StructType([*kept, *(T.StructField(s, T.DoubleType()) for s in names)]))
+    plain = rows.toDF(*(f"k{i}" for i in range(len(rows.columns))))  # a name with a dot in it can't be handed to Python
+    out = plain.mapInArrow(batches, T.StructType([*kept, *(T.StructField(s, T.DoubleType()) for s in names)]))
     return out.select(F.struct(*(F.col(f"k{i}").alias(c) for i, c in zip(at, keep, strict=True))).alias("kept"), *names)
 
 

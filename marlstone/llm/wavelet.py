@@ -257,14 +257,16 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int
 
 
 def _each_shard(manifest: DataFrame, of, schema: str) -> DataFrame:
-    """``of(shard, before)`` of every file, a table of columns each; tasks get whole files."""
+    """``of(shard, before)`` of every file, a table of columns each; tasks get whole files, few of them however small the list of files is."""
+    context = manifest.sparkSession.sparkContext
+    tasks = min(max(manifest.count(), 1), 4 * max(context.defaultParallelism, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for file, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield of(open_shard(file), before)
 
-    return manifest.select("file", "before").repartition("file").mapInArrow(batches, schema)
+    return manifest.select("file", "before").repartition(tasks).mapInArrow(batches, schema)
 
 
 def token_positions(manifest: DataFrame, token: int) -> DataFrame:

@@ -69,7 +69,7 @@ def test_documents_read_back(spark, tmp_path):
     assert [r.start for r in lay] == np.cumsum([0, *(r.n_tokens for r in lay)])[:-1].tolist()
     assert [-99 if r.doc_id is None else r.doc_id for r in lay] == sorted(-99 if i is None else i for i, _ in rows)
     manifest = write_shards(df, PATH, f"file://{tmp_path}/w", shard_tokens=300)
-    assert manifest.count() > 5
+    assert manifest.count() >= 5
     token = code("again and again")[0]
     assert token_count(manifest, token) == sum(code(t).count(token) for _, t in rows)
     found = sorted((-99 if r.doc_id is None else r.doc_id, r.place) for r in token_positions(manifest, token).collect())
