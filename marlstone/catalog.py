@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, backtest, factors, history, indicators, labels, models, research, signals, studies, upsert, xsection
-from marlstone.plans import oracle, oracle_more, oracle_research
+from marlstone.operators import align, backtest, earnings, factors, features, fund, history, indicators, labels, models, research, signals, studies, upsert, walkforward, xsection
+from marlstone.plans import oracle, oracle_frame, oracle_fund, oracle_more, oracle_research
 from marlstone.sources.adapters import table
 
 C = F.col
@@ -110,8 +110,6 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "delivery_score": lambda t: studies.delivery_score(t("delivery")),
         "corr_matrix": lambda t: studies.correlations(t("bars")),
         "position_sizes": lambda t: studies.position_sizes(t("bars")),
-        "ledger_positions": lambda t: studies.ledger_positions(t("ledger")),
-        "ledger_cash": lambda t: studies.ledger_cash(t("ledger")),
         "iv_skew": lambda t: studies.iv_skew(t("option_chain")),
         "ema_seeded": lambda t: ind.ema_seeded(t("bars")),
         "rsi_textbook": lambda t: ind.rsi_wilder(t("bars")),
@@ -280,9 +278,70 @@ def _research() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     }
 
 
+def _frame_inputs(t: Callable[[str], DataFrame]) -> tuple:
+    """What the feature frame reads: bars, benchmark, market series, sectors, delivery and intraday features."""
+    bench = t("bench").withColumn("symbol", F.lit("bench"))
+    regime = factors.regime_scores(t("market_regime"))
+    named = lambda d, c: d.select("date", C(c).alias("value"))
+    market = {"vix_regime": named(regime, "vix_score"), "nifty_trend": named(factors.index_trend(bench), "trend"), "markov_regime": named(factors.markov_score(bench), "markov"), "fii_fo_score": named(regime, "flow_score")}
+    sectors = factors.sector_rotation(t("sector_index"), t("bench")).select(C("symbol").alias("sector"), "date", C("rotation").alias("value"))
+    delivery = studies.delivery_score(t("delivery")).select("symbol", "date", C("score").alias("value"))
+    return t("bars"), t("bench"), market, sectors, t("sector_of"), delivery, features.intraday_features(t("sessions"), t("bars"))
+
+
+def _training(t: Callable[[str], DataFrame]) -> DataFrame:
+    # these prices jump so far that barriers of 2.5 deviations lie below zero: of half a deviation, falls are labels too
+    return features.training_set(features.scored_bars(*_frame_inputs(t)), labels.barrier_labels(t("bars"), width=0.25))
+
+
+def _models() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    return {
+        "intraday_features": lambda t: features.intraday_features(t("sessions"), t("bars")),
+        "feature_frame": lambda t: features.feature_frame(*_frame_inputs(t)),
+        "training_counts": lambda t: _training(t).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.avg("linear").alias("linear"), F.avg("fwd20").alias("fwd20")),
+    }
+
+
+def _walks() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    """Models on the data set. Forests have 10 trees here, as a registered run fits dozens; the functions' defaults are larger."""
+    wf = walkforward
+    scores = lambda t: wf.walk_forward(_training(t), trees=10)
+    return {
+        "walk_forward_folds": lambda t: wf.fold_counts(_training(t)),
+        "walk_forward_scores": scores,
+        "walk_forward_diagnostic": lambda t: wf.diagnostic(scores(t)),
+        "purged_grid_search": lambda t: wf.grid_search(_training(t), depths=(6, 8), leaves=(20, 50), trees=10),
+        "meta_sweep": lambda t: wf.meta_sweep(wf.meta_scores(_training(t), threshold=0.2)),
+        "cpcv_paths": lambda t: wf.path_summary(wf.path_returns(wf.backtest_paths(wf.combinatorial_scores(_training(t), trees=10)))),
+        "effective_sample": lambda t: wf.effective_size(labels.uniqueness(labels.label_spans(t("bars"), labels.barrier_labels(t("bars")))), by=("symbol",)),
+    }
+
+
+def _entries(bars: DataFrame, back: int = 60) -> DataFrame:
+    """Each symbol held from the close ``back`` bars before its last one."""
+    from pyspark.sql import Window
+
+    d = bars.withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))))
+    return d.where(C("_k") == back + 1).select("symbol", C("date").alias("entry_date"), C("close").alias("entry_price"))
+
+
+def _funds() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    drift = lambda t: earnings.earnings_drift(t("filings"), t("bars"), t("bench"))
+    return {
+        "ledger_positions": lambda t: fund.positions(t("ledger")),
+        "ledger_cash": lambda t: fund.cash(t("ledger")),
+        "nav_history": lambda t: fund.nav_history(t("ledger"), t("fund_prices")).select("sleeve", "date", *(F.round(C(c), 2).alias(c) for c in ("invested", "market_value", "cash", "nav"))),
+        "fund_flags": lambda t: fund.fund_flags(fund.positions(t("ledger")), fund.cash(t("ledger")), t("fund_prices"), t("region").select(C("r_name").alias("sleeve"), F.lit(20.0).alias("budget_pct")), "ASIA").withColumn("instrument", C("instrument").cast("string")),
+        "hybrid_stops": lambda t: fund.hybrid_stops(t("bars"), _entries(t("bars"))),
+        "retired_bars": lambda t: fund.retire(t("bars"), 5).select("symbol", "date", "close"),
+        "earnings_drift": drift,
+        "earnings_drift_table": lambda t: earnings.drift_table(drift(t)),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research()).items()}
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research() | _models() | _walks() | _funds()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | oracle_more.SQL | oracle_research.SQL
+    return oracle.SQL | oracle_more.SQL | oracle_research.SQL | oracle_fund.SQL | {k: v for k, v in oracle_frame.SQL.items() if k in _models() | _walks()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.cut import cut
 from marlstone.functions.ewm import ewm_std
 from marlstone.functions.expr import by_symbol, change, rolling
 
@@ -50,16 +51,18 @@ def uniqueness(spans: DataFrame) -> DataFrame:
     Alive labels come from differences at both ends, span means from prefix sums: no label is exploded over its days. The
     one window without a key runs over the calendar only.
     """
-    calendar = spans.select(C("t0").alias("d")).distinct().withColumn("o", F.row_number().over(Window.orderBy("d")))
-    spans = spans.withColumn("_id", F.struct(*spans.columns))
-    ends = spans.join(calendar.select(C("d").alias("t0"), C("o").alias("s")), "t0")
+    spans = cut(spans)
+    calendar = cut(spans.select(C("t0").alias("d")).distinct().withColumn("o", F.row_number().over(Window.orderBy("d"))))
+    ends = spans.join(F.broadcast(calendar.select(C("d").alias("t0"), C("o").alias("s"))), "t0")  # a row a date
     from marlstone.operators.align import asof
 
-    last = asof(ends.withColumn("date", C("t1")), calendar.select(C("d").alias("date"), "o"), "o", [], "date", "e")
+    days = asof(ends.select(C("t1").alias("date")).distinct(), calendar.select(C("d").alias("date"), "o"), "o", [], "date", "e")
+    last = ends.withColumn("date", C("t1")).join(F.broadcast(days), "date").drop("date")
     change_at = last.select(C("s").alias("o"), F.lit(1).alias("x")).unionByName(last.select((C("e") + 1).alias("o"), F.lit(-1).alias("x"))).groupBy("o").agg(F.sum("x").alias("x"))
     run = Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    alive = calendar.join(change_at, "o", "left").select("o", F.sum(F.coalesce("x", F.lit(0))).over(run).alias("c")).select("o", "c", F.sum(F.when(C("c") > 0, 1.0 / C("c")).otherwise(0.0)).over(run).alias("p"))
-    out = last.join(alive.select(C("o").alias("e"), C("p").alias("pe")), "e").join(alive.select((C("o") + 1).alias("s"), C("p").alias("ps")), "s", "left")
+    alive = calendar.join(F.broadcast(change_at), "o", "left").select("o", F.sum(F.coalesce("x", F.lit(0))).over(run).alias("c")).select("o", "c", F.sum(F.when(C("c") > 0, 1.0 / C("c")).otherwise(0.0)).over(run).alias("p"))
+    alive = cut(alive)
+    out = last.join(F.broadcast(alive.select(C("o").alias("e"), C("p").alias("pe"))), "e").join(F.broadcast(alive.select((C("o") + 1).alias("s"), C("p").alias("ps"))), "s", "left")
     return out.select(*[c for c in spans.columns if c != "_id"], ((C("pe") - F.coalesce("ps", F.lit(0.0))) / (C("e") - C("s") + 1)).alias("weight"))
 
 

@@ -58,64 +58,6 @@ def position_sizes(bars: DataFrame, capital: float = 1_000_000.0, cap: float = 0
     return d.select("symbol", "close", "weight", F.floor(C("weight") * capital / C("close")).alias("shares"))
 
 
-# Rows of a ledger that make a block, the most blocks, and the rows that their ends are chosen from.
-BLOCK_ROWS, MOST_BLOCKS, SAMPLED = 50_000, 256, 20_000
-
-
-def ledger_blocks(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``block``: ranges of (trade_date, id) with about as many rows each. Their ends balance the work; results don't depend on them."""
-    at = F.struct(C("trade_date"), C("id").cast("long").alias("id"))
-    n = ledger.count()
-    blocks = min(MOST_BLOCKS, -(-n // block_rows))
-    if blocks < 2:
-        return ledger.withColumn("block", F.lit(0))
-    some = ledger.where("trade_date is not null and id is not null").select("trade_date", C("id").cast("long").alias("id")).sample(min(1.0, SAMPLED / n), 7).collect()
-    some = sorted(tuple(r) for r in some)
-    ends = sorted({some[k * len(some) // blocks] for k in range(1, blocks)}) if some else []
-    if not ends:
-        return ledger.withColumn("block", F.lit(0))
-    cuts = F.array(*(F.struct(F.lit(d).alias("trade_date"), F.lit(i).cast("long").alias("id")) for d, i in ends))
-    return ledger.withColumn("block", F.size(F.filter(cuts, lambda c: c <= at)))
-
-
-def ledger_positions(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Quantity, average cost and realised gain by sleeve and instrument: an ordered fold. Sales leave the cost as it is; at or below 0 the cost is 0.
-
-    Quantities are plain sums, and with them known a block of trades acts on the cost before it as cost -> a cost + b and on
-    the gain as + d cost + e. So blocks are folded apart, and then their few effects by key.
-    """
-    key = ["sleeve", "instrument"]
-    d = ledger_blocks(ledger, block_rows)
-    buy = C("side") == "BUY"
-    moved = d.groupBy(*key, "block").agg(F.sum(F.when(buy, C("qty")).otherwise(-C("qty")).cast("decimal(28,8)")).alias("_m"))
-    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = moved.select(*key, "block", F.coalesce(F.sum("_m").over(before).cast("double"), F.lit(0.0)).alias("q0"))
-    rows = F.array_sort(F.collect_list(F.struct("trade_date", "id", "line", "supp", "side", "qty", "price", "fees")))
-    folded = d.groupBy(*key, "block").agg(rows.alias("rows"), F.count(F.lit(1)).alias("trades")).join(starts, [*key, "block"])
-    begin = F.struct(C("q0").alias("qty"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("d"), F.lit(0.0).alias("e"))
-
-    def step(s, x):
-        buy = x["side"] == "BUY"
-        q = F.when(buy, s["qty"] + x["qty"]).otherwise(s["qty"] - x["qty"])
-        held = F.greatest(s["qty"], F.lit(0.0))
-        sold = F.when(buy, 0.0).otherwise(F.least(x["qty"], held))
-        a = F.when(buy & (q > 0), held * s["a"] / (held + x["qty"])).when(~buy & (q > 0), s["a"]).otherwise(0.0)
-        b = F.when(buy & (q > 0), (held * s["b"] + x["qty"] * x["price"] + x["fees"]) / (held + x["qty"])).when(~buy & (q > 0), s["b"]).otherwise(0.0)
-        e = s["e"] + F.when(buy, 0.0).otherwise((x["price"] - s["b"]) * sold - x["fees"])
-        return F.struct(q.alias("qty"), a.alias("a"), b.alias("b"), (s["d"] - s["a"] * sold).alias("d"), e.alias("e"))
-
-    effects = folded.select(*key, "block", "trades", F.aggregate("rows", begin, step).alias("s")).select(*key, "block", "trades", "s.*")
-    zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("gain"))
-    join = lambda s, x: F.struct(x["qty"].alias("qty"), (x["a"] * s["cost"] + x["b"]).alias("cost"), (s["gain"] + x["d"] * s["cost"] + x["e"]).alias("gain"))
-    whole = effects.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("block", "qty", "a", "b", "d", "e"))), zero, join).alias("s"), F.sum("trades").alias("trades"))
-    return whole.select(*key, "trades", C("s.qty").alias("qty"), C("s.cost").alias("avg_cost"), C("s.gain").alias("realised"))
-
-
-def ledger_cash(ledger: DataFrame) -> DataFrame:
-    flow = F.when(C("side") == "SELL", C("qty") * C("price")).otherwise(-C("qty") * C("price")).cast("decimal(18,2)") - C("fees").cast("decimal(18,2)")
-    return ledger.groupBy("sleeve").agg(F.sum(flow).cast("double").alias("cash"), F.count(F.lit(1)).alias("rows"))
-
-
 def iv_skew(chain: DataFrame, within: float = 0.15) -> DataFrame:
     """At-the-money volatility (mean of the options nearest to deltas of 0.5 and -0.5) and the 25-delta skew, by name and expiry."""
 

@@ -151,7 +151,6 @@ SQL = {
     "delivery_score": _sql("delivery", "select symbol, date, delivery_pct, round(z,6) as z, round(case when z is not null then greatest(-3.0,least(3.0,z))/3 end,6) as score from a", f"a as (select symbol, date, delivery_pct, (delivery_pct-{_roll('avg', 'delivery_pct', 60, 10)})/(case when {_roll('stddev_samp', 'delivery_pct', 60, 10)}=0 then 1.0 else {_roll('stddev_samp', 'delivery_pct', 60, 10)} end) z from delivery)"),
     "corr_matrix": _sql("bars", "select x.symbol as a, y.symbol as b, round(coalesce(corr(x.r,y.r),0.0),6) as corr, count(*) as n from k x join k y on x.k=y.k and x.symbol<y.symbol group by 1,2", f"d as (select symbol, date, close/lag(close) over w-1 r from bars {_W}), k as (select symbol, r, row_number() over (partition by symbol order by date desc) k from d where r is not null qualify k<=250)"),
     "position_sizes": _sql("bars", "select symbol, close, round(w,6) as weight, cast(floor(w*1000000.0/close) as bigint) as shares from (select symbol, close, least((1/sd)/sum(1/sd) over (),0.05) w from (select * from e qualify row_number() over (partition by symbol order by date desc)=1) where sd>0)", f"d as (select symbol, date, close, close/lag(close) over w-1 r from bars {_W}), e as (select symbol, date, close, {_roll('stddev_samp', 'r', 20)} sd from d)"),
-    "ledger_cash": _sql("ledger", 'select sleeve, round(cast(sum(cast(case when side=\'SELL\' then qty*price else -qty*price end as decimal(18,2))-cast(fees as decimal(18,2))) as double),6) as cash, count(*) as "rows" from ledger group by sleeve'),
     "iv_skew": _sql("option_chain", "select name, expiry_id, strikes, round((c50+p50)/2,6) as atm_iv, round(p25-c25,6) as rr25_skew from (select name, expiry_id, count(*) strikes, " + ", ".join(f"arg_min(iv, (abs(delta-({t})), option_id)) filter (abs(delta-({t}))<=0.15) {n}" for t, n in ((0.5, "c50"), (-0.5, "p50"), (0.25, "c25"), (-0.25, "p25"))) + " from option_chain group by 1,2)"),
     "ema_seeded": _sql("bars", "select symbol, date, close, round(e,6) as ema from x", f"a as (select symbol, date, close, row_number() over w k, avg(close) {_RUN} m from bars {_W}), b as (select symbol, date, close, case when k=20 then m when k>20 then close end v from a), x as (select * from {_ewm('b', 'v', 'e', '(2/21.0::double)', False)})"),
     "rsi_textbook": _sql("bars", "select symbol, date, close, round(case when l=0 then 100.0 else 100-100/(1+g/l) end,6) as rsi from y", f"d as (select symbol, date, close, close-lag(close) over w x from bars {_W}), a as (select symbol, date, close, count(x) {_RUN} k, case when x is not null then greatest(x,0.0) end g0, case when x is not null then greatest(-x,0.0) end l0 from d), b as (select symbol, date, close, case when k=14 then avg(g0) {_RUN} when k>14 then g0 end gv, case when k=14 then avg(l0) {_RUN} when k>14 then l0 end lv from a), x as (select symbol, date, close, lv, g from {_ewm('b', 'gv', 'g', '(1/14.0::double)', False)}), y as (select * from {_ewm('x', 'lv', 'l', '(1/14.0::double)', False)})"),

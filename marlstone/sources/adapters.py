@@ -65,6 +65,21 @@ select index_name, symbol, min(first) as effective_from, case when max(k)=(selec
 select o_orderpriority as index_name, c_nationkey as symbol, cast(date_trunc('month',min(o_orderdate)) as date) as effective_from,
  case when c_nationkey%5=0 then null else cast(max(o_orderdate) as date) end as effective_to
  from {orders} join {customer} on o_custkey=c_custkey group by o_orderpriority, c_nationkey, c_mktsegment, year(o_orderdate)""",
+    # candles of a quarter of an hour; line items are dealt over five of a session's, 9:15 to 15:15
+    "sessions": """
+with t as (select s.s_nationkey as symbol, cast(l.l_shipdate as date) as date, (l.l_orderkey*7+l.l_linenumber)%5 as slot, l.l_extendedprice/l.l_quantity as px, l.l_quantity as q,
+ row_number() over (partition by s.s_nationkey, cast(l.l_shipdate as date), (l.l_orderkey*7+l.l_linenumber)%5 order by l.l_orderkey,l.l_linenumber,l.l_partkey,l.l_suppkey,l.l_extendedprice) as rn,
+ row_number() over (partition by s.s_nationkey, cast(l.l_shipdate as date), (l.l_orderkey*7+l.l_linenumber)%5 order by l.l_orderkey desc,l.l_linenumber desc,l.l_partkey desc,l.l_suppkey desc,l.l_extendedprice desc) as rd
+ from {lineitem} l join {supplier} s on l.l_suppkey=s.s_suppkey)
+select symbol, date, case slot when 0 then 555 when 1 then 570 when 2 then 720 when 3 then 855 else 915 end as minute, max(case when rn=1 then px end) as open, max(px) as high, min(px) as low, max(case when rd=1 then px end) as close, cast(sum(q) as bigint) as volume from t group by symbol, date, slot""",
+    "filings": """
+select c_nationkey as symbol, year(o_orderdate)*10+quarter(o_orderdate) as period, o_orderdate + interval '1' minute * (o_orderkey%1440) as ts
+ from {orders} join {customer} on o_custkey=c_custkey where o_orderpriority='1-URGENT'""",
+    "fund_prices": """
+select l_partkey%50 as instrument, cast(l_shipdate as date) as date, cast(sum(cast(l_extendedprice as decimal(18,2))) as double)/cast(sum(cast(l_quantity as decimal(18,2))) as double) as close
+ from {lineitem} where l_returnflag='A' group by l_partkey%50, cast(l_shipdate as date)""",
+    "sector_of": """
+select n.n_nationkey as symbol, r.r_name as sector from {nation} n join {region} r on n.n_regionkey=r.r_regionkey""",
     "articles": """
 select doc_id%25 as symbol, cast(date '2024-01-01' + cast(doc_id%30 as int) as date) as date, source, text as headline, doc_id from {documents}""",
 }

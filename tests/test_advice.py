@@ -134,32 +134,3 @@ def test_asof_without_a_key_sorts_times_and_not_rows(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
     at = next(k for k, line in enumerate(plan) if "Window" in line)
     assert any("Aggregate" in line for line in plan[at:])  # the times are made distinct below the window
-
-
-def test_ledger_folds_a_hot_key_in_blocks(spark):
-    import random
-
-    rng = random.Random(3)
-    rows = []
-    for k in range(3000):
-        hot = k % 3 > 0
-        rows.append(("s" if hot else f"s{k % 4}", 1, dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(40)), k, 1, 1, rng.choice(["BUY", "SELL"]), float(rng.randrange(1, 9)), 50 + 50 * rng.random(), rng.random()))
-    d = spark.createDataFrame(rows, "sleeve string, instrument int, trade_date date, id long, line int, supp long, side string, qty double, price double, fees double")
-    largest = max(r["count"] for r in studies.ledger_blocks(d, 200).groupBy("sleeve", "instrument", "block").count().collect())
-    assert largest < 400  # of 2,000 trades of the hot key
-    want = {}
-    for r in sorted(rows, key=lambda r: r[2:6]):
-        qty, cost, gain, n = want.get(r[0], (0.0, 0.0, 0.0, 0))
-        held = max(qty, 0.0)
-        if r[6] == "BUY":
-            qty += r[7]
-            cost = (held * cost + r[7] * r[8] + r[9]) / (held + r[7]) if qty > 0 else 0.0
-        else:
-            gain += (r[8] - cost) * min(r[7], held) - r[9]
-            qty -= r[7]
-            cost = cost if qty > 0 else 0.0
-        want[r[0]] = (qty, cost, gain, n + 1)
-    for block_rows in (200, 10_000):
-        got = {r["sleeve"]: (r["qty"], r["avg_cost"], r["realised"], r["trades"]) for r in studies.ledger_positions(d, block_rows).collect()}
-        assert got.keys() == want.keys()
-        assert all(abs(x - y) < 1e-6 for k in want for x, y in zip(got[k], want[k]))

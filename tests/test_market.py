@@ -98,13 +98,6 @@ def test_equity_pays_for_each_change_of_position(spark):
     assert r[1]["net"] == pytest.approx(0.1 - 0.01) and r[3]["equity"] == pytest.approx((1 + 0.09) * (1 + 1 / 11))
 
 
-def test_ledger_average_cost(spark):
-    rows = [("s", 1, day(0), 1, 1, 1, "BUY", 10.0, 100.0, 0.0), ("s", 1, day(1), 2, 1, 1, "BUY", 10.0, 200.0, 0.0), ("s", 1, day(2), 3, 1, 1, "SELL", 15.0, 300.0, 1.0)]
-    d = spark.createDataFrame(rows, "sleeve string, instrument int, trade_date date, id long, line int, supp long, side string, qty double, price double, fees double")
-    r = studies.ledger_positions(d).first()
-    assert (r["qty"], r["avg_cost"], r["realised"]) == (5.0, 150.0, 15 * 150.0 - 1)
-
-
 def test_norm_cdf(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in (-3.0, -0.5, 0.0, 1.0, 2.5)], "x double").select(norm_cdf(F.col("x"))).collect()]
     want = [0.5 * (1 + math.erf(x / math.sqrt(2))) for x in (-3.0, -0.5, 0.0, 1.0, 2.5)]
