@@ -6,11 +6,12 @@ A query reads logical tables (``sources.adapters``) and rounds its doubles to si
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, backtest, earnings, factors, features, fund, history, indicators, labels, models, research, signals, studies, upsert, walkforward, xsection
+from marlstone.operators import align, backtest, earnings, factors, features, fund, history, indicators, labels, layouts, models, research, signals, studies, upsert, walkforward, xsection
 from marlstone.plans import oracle, oracle_frame, oracle_fund, oracle_more, oracle_research
 from marlstone.sources.adapters import table
 
@@ -74,7 +75,7 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "asof_align": lambda t: align.asof(t("bars").select("symbol", "date", "close"), t("market_regime").where("fo_net_long > 0"), "vix", []).withColumn("vix", F.coalesce("vix", F.lit(0.0))),
         "nth_bar_returns": lambda t: align.nth_bar_returns(_month_first(t("bars")), t("bars")),
         "relative_strength": lambda t: align.asof(t("bars").select("symbol", "date", "close"), t("bench").withColumnRenamed("close", "m"), "m", []).withColumn("rs", indicators.change(C("close"), 63) - indicators.change(C("m"), 63)),
-        "pit_filter": lambda t: align.pit_filter(t("bars"), t("membership"), "1-URGENT").select("symbol", "date", "close"),
+        "pit_filter": lambda t: align.pit_filter(t("bars"), t("register"), "1-URGENT").select("symbol", "date", "close"),
         "pit_filter_spells": lambda t: align.pit_filter(t("bars"), t("spells"), "1-URGENT").select("symbol", "date", "close"),
         "members_on": lambda t: align.members_on(t("spells"), "1998-03-31"),
         "interval_errors": lambda t: align.interval_errors(t("register")),
@@ -91,7 +92,6 @@ def _queries() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "ls_quintile": lambda t: legs(t)[0],
         "turnover": lambda t: legs(t)[1],
         "cost_sweep": lambda t: xs.cost_sweep(*legs(t)),
-        "triple_barrier": lambda t: labels.triple_barrier(t("bars")),
         "barrier_labels": lambda t: labels.barrier_labels(t("bars")),
         "uniqueness_weights": lambda t: labels.uniqueness(labels.label_spans(t("bars"), labels.barrier_labels(t("bars")))),
         "purged_folds": lambda t: labels.purged_folds(t("bench")),
@@ -149,11 +149,23 @@ def _delivery_text(lines: DataFrame, supplier: DataFrame) -> DataFrame:
     return d.select(F.concat_ws(", ", kind, C("l_linenumber").cast("string"), "s_name", series, whole(C("l_quantity")), whole(done), F.round(100 * done / C("l_quantity"), 2).cast("string")).alias("line"))
 
 
+def _gate_rows(bars: DataFrame) -> DataFrame:
+    """Every bar as a scored row: the linear score stands for both signals, the date's percentile of three-day reversal for the second model, which lacks some."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("date")
+    scored = factors.composite(factors.factor_scores(bars)).select("symbol", "date", "composite", C("label").alias("linear_signal"))
+    facts = bars.select("symbol", "date", (F.avg("volume").over(w.rowsBetween(-19, 0)) * 10000).alias("avg_volume"), F.row_number().over(w).alias("data_points"))
+    meta = signals.cs_percentile(bars).select("symbol", "date", C("pct").alias("meta_prob"))
+    d = scored.join(facts, ["symbol", "date"]).join(meta, ["symbol", "date"], "left")
+    return d.withColumns({"ml_path": F.month("date") % 2 == 0, "ml_confidence": F.abs("composite")})
+
+
 def _more() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     h, g = history, signals
     span = "date between date '1995-03-01' and date '1995-06-30'"
     asia = lambda t: t("sector_index").where("index_name = 'ASIA' and date >= date '1995-01-01'")
-    splits = lambda t: t("bars").where("year(date) > 1992").groupBy("symbol", F.year("date").alias("y")).agg(F.min("date").alias("date")).select("symbol", "date", F.lit(2.0).alias("ratio"))
+    splits = lambda t: t("bars").where("year(date) > 1992").groupBy("symbol", F.year("date").alias("y")).agg(F.min("date").alias("date")).select("symbol", F.date_add("date", 1).alias("date"), F.lit(1.7).alias("ratio"))
     return {
         "latest_bars": lambda t: h.latest_bars(t("bars"), 30),
         "bars_between": lambda t: t("bars").where("date between date '1995-01-01' and date '1996-12-31'").select("symbol", "date", "close", "volume"),
@@ -167,7 +179,7 @@ def _more() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "gap_fill_plan": lambda t: h.gap_fill_plan(t("bars"), "2001-12-31"),
         "cadence_mask": lambda t: h.cadence_mask(t("bars")),
         "history_counts": lambda t: h.history_counts(t("bars")),
-        "identity_lock": lambda t: h.identity_lock(t("ledger")),
+        "identity_lock": lambda t: h.identity_lock(t("ledger").withColumn("maker", F.when(C("line") == 7, "").otherwise(C("supp").cast("string"))), "instrument", "maker", ["trade_date", "id", "line", "supp"]).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.max("maker").alias("maker")),
         "adjusted_closes": lambda t: h.adjusted_closes(t("bars"), splits(t)),
         "latest_change": lambda t: h.latest_change(t("bars")),
         "sector_momentum": lambda t: h.sector_momentum(t("bars"), t("nation")),
@@ -205,7 +217,7 @@ def _more() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
         "price_alerts": lambda t: g.price_alerts(t("bars")),
         "circuit_breaker": lambda t: g.circuit_breaker(t("bars")),
         "holdings": lambda t: g.holdings(t("ledger")),
-        "conviction": lambda t: g.conviction(t("fundamentals")),
+        "conviction": lambda t: g.conviction(_gate_rows(t("bars"))).select("symbol", "date", "passed", "failed"),
         "chain_status": lambda t: g.chain_status(t("option_chain")),
     }
 
@@ -325,6 +337,75 @@ def _entries(bars: DataFrame, back: int = 60) -> DataFrame:
     return d.where(C("_k") == back + 1).select("symbol", C("date").alias("entry_date"), C("close").alias("entry_price"))
 
 
+def _files(rows: DataFrame, head: Column, before: list[str] | None = None) -> DataFrame:
+    """(file, line, text) of rows (file, text): each file has a header and, if given, other lines above it."""
+    top = rows.select("file").distinct()
+    lines = [top.select("file", F.lit(k).cast("long").alias("line"), F.lit(t).alias("text")) for k, t in enumerate(before or [])]
+    lines += [top.select("file", F.lit(10).cast("long").alias("line"), head.alias("text")), rows.select("file", (F.monotonically_increasing_id() + 11).alias("line"), "text")]
+    return reduce(DataFrame.unionByName, lines)
+
+
+def _price_files(bars: DataFrame) -> DataFrame:
+    """A file a day, in the newer layout from mid-1998 on; symbols 3, 10, ... are of another series."""
+    series = F.when(C("symbol") % 7 == 3, "BE").otherwise("EQ")
+    plain = lambda c: C(c).cast("string")
+    old = [plain("symbol"), series, plain("open"), plain("high"), plain("low"), plain("close"), F.lit(""), plain("volume"), F.concat(F.lit("I"), "symbol")]
+    new = [F.concat(F.lit("I"), "symbol"), plain("symbol"), plain("open"), series, plain("low"), plain("high"), F.concat(F.lit(" "), plain("close")), F.concat(F.lit('"'), plain("volume"), F.lit('"'))]
+    late = C("date") >= "1998-07-01"
+    rows = bars.select(C("date").cast("string").alias("file"), F.when(late, F.concat_ws(",", *new)).otherwise(F.concat_ws(",", *old)).alias("text"))
+    head = F.when(C("file") >= "1998-07-01", "ISIN,TckrSymb,OpnPric,SctySrs,LwPric,HghPric,ClsPric,TtlTradgVol").otherwise("SYMBOL,SERIES, OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,ISIN")
+    return _files(rows, head)
+
+
+def _interest_files(regime: DataFrame) -> DataFrame:
+    day = C("date").cast("string").alias("file")
+    row = lambda kind, x: F.concat_ws(",", F.lit(kind), F.concat(F.lit('"'), F.format_number(x + 5000, 0), F.lit('"')), F.lit("5,000").substr(1, 1), F.lit('"5,000"'))
+    rows = regime.select(day, F.explode(F.array(row("Client", F.lit(1)), row("FII ", C("fo_net_long")))).alias("text"))
+    return _files(rows, F.lit("Client Type,Future Index Long ,Other,Future Index Short\t"), ["Participant wise Open Interest"])
+
+
+def _flow_files(regime: DataFrame) -> DataFrame:
+    """A file a month: half of them name their columns, the others have them in the 4th and 7th place; some rows have no date."""
+    by = F.dayofmonth("date")
+    dii = F.when(by % 5 == 0, "-").otherwise(C("fo_net_long").cast("string"))
+    fii = F.concat(F.lit('"'), F.format_number("flow", 2), F.lit('"'))
+    day = _turns("date", list(layouts.FLOW_DAYS), by)
+    named, placed = F.concat_ws(",", day, fii, dii), F.concat_ws(",", day, F.lit("1"), F.lit("2"), fii, F.lit("3"), F.lit("4"), dii)
+    even = F.month("date") % 2 == 0
+    rows = regime.select(F.date_format("date", "yyyyMM").alias("file"), F.explode(F.array(F.when(even, named).otherwise(placed), F.lit("total,1,2,3,4,5,6"))).alias("text"))
+    head = F.when(C("file").cast("int") % 2 == 0, "Trade Date,FII Net Value,Net DII").otherwise("Date,a,b,c,d,e,f")
+    return _files(rows, head, ["Some title"])
+
+
+def _filing_payloads(filings: DataFrame) -> DataFrame:
+    """A payload a symbol and form: periods with an even number in the older form, in a bare list; the others in the integrated one, under ``data``."""
+    stamp = F.date_format("ts", "dd-MMM-yyyy HH:mm:ss")
+    older = F.struct(C("symbol").cast("string").alias("symbol"), stamp.alias("broadCastDate"), F.date_format(F.trunc("ts", "month"), "dd-MMM-yyyy").alias("fromDate"), F.date_format(F.last_day("ts"), "dd-MMM-yyyy").alias("toDate"), C("period").alias("seqNumber"))
+    newer = F.struct(C("symbol").alias("symbol"), stamp.alias("broadcast_Date"), F.date_format(F.last_day("ts"), "yyyy-MM-dd").alias("qe_Date"), C("period").cast("string").alias("seq_Id"))
+    part = F.to_date("ts")
+    one = filings.where("period % 2 = 0").groupBy("symbol", part).agg(F.to_json(F.collect_list(older)).alias("text"))
+    two = filings.where("period % 2 = 1").groupBy("symbol", part).agg(F.to_json(F.struct(F.collect_list(newer).alias("data"))).alias("text"))
+    return one.select("text").unionByName(two.select("text"))
+
+
+def _put_call_payloads(regime: DataFrame) -> DataFrame:
+    v, k = C("fo_net_long").cast("double").cast("string"), F.dayofmonth("date") % 4
+    text = F.when(k == 0, v).when(k == 1, F.concat(F.lit('[{"name": "x"}, {"otherPCR": '), v, F.lit("}]"))).when(k == 2, F.concat(F.lit('{"at": 1, "pcr_total": "'), v, F.lit('"}'))).otherwise(F.concat(F.lit('{"PCR": '), v, F.lit("}")))
+    return regime.select("date", text.alias("text"))
+
+
+def _layouts() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    y = layouts
+    day = C("file").cast("date")
+    return {
+        "parsed_price_files": lambda t: y.daily_prices(_price_files(t("bars")), day, new_from="1998-07-01"),
+        "parsed_open_interest": lambda t: y.net_open_interest(_interest_files(t("market_regime")), day),
+        "parsed_flow_files": lambda t: y.flow_rows(_flow_files(t("market_regime"))),
+        "parsed_filings": lambda t: y.filing_events(_filing_payloads(t("filings"))).select("symbol", "ts", "period_start", "period_end", "seq_number"),
+        "parsed_put_calls": lambda t: y.put_call_values(_put_call_payloads(t("market_regime"))),
+    }
+
+
 def _funds() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     drift = lambda t: earnings.earnings_drift(t("filings"), t("bars"), t("bench"))
     return {
@@ -340,7 +421,7 @@ def _funds() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research() | _models() | _walks() | _funds()).items()}
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research() | _models() | _walks() | _funds() | _layouts()).items()}
 
 
 def oracle_sql() -> dict[str, str]:

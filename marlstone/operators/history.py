@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,10 @@ def universe(bars: DataFrame, benchmarks: list[int]) -> DataFrame:
     return bars.select("symbol").distinct().where(~C("symbol").isin(benchmarks))
 
 
-def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(date, close, source) of the first series, and of the second one where the first has no row."""
-    rest = second.join(first.select("date"), "date", "left_anti")
-    return first.select("date", "close", F.lit(1).alias("source")).unionByName(rest.select("date", "close", F.lit(2).alias("source")))
+def with_fallback(*sources: DataFrame) -> DataFrame:
+    """(date, close, source) of the first source that has any row, as a whole; sources are numbered from 1."""
+    every = reduce(DataFrame.unionByName, (s.select("date", "close", F.lit(k).alias("source")) for k, s in enumerate(sources, 1)))
+    return every.join(F.broadcast(every.agg(F.min("source").alias("source"))), "source").select("date", "close", "source")  # one row
 
 
 def replace_range(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -81,18 +83,22 @@ def history_counts(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).select("symbol", "n", (C("n") >= 30).alias("scored"), (C("n") >= 120).alias("trained"), (C("n") >= 252).alias("tested"))
 
 
-def identity_lock(ledger: DataFrame) -> DataFrame:
-    """Rows of an instrument whose supplier is the one that it had first."""
-    first = F.first("supp").over(_w("trade_date", "id", "line", "supp", by="instrument"))
-    return ledger.withColumn("first_supp", first).where("supp = first_supp").groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.min("supp").alias("supp"))
+def identity_lock(rows: DataFrame, key: str, identity: str, order: list[str]) -> DataFrame:
+    """Rows whose identity is the one that their key had first, or blank: a row that doesn't tell its identity stays. A key whose first
+    row has none is locked to none, so that its later rows with one go."""
+    first = F.first(C(identity)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    blank = F.coalesce(F.trim(C(identity)) == "", F.lit(True))
+    return rows.withColumn("_first", first).where(blank | C(identity).eqNullSafe(C("_first"))).drop("_first")
 
 
 def adjusted_closes(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Closes divided by the product of all later action ratios; ``actions``: (symbol, date, ratio), from which date on it holds."""
-    d = bars.select("symbol", "date", "close").join(actions, ["symbol", "date"], "left")
-    later = _w("date").rowsBetween(1, Window.unboundedFollowing)
-    factor = F.exp(F.coalesce(F.sum(F.log("ratio")).over(later), F.lit(0.0)))
-    return d.select("symbol", "date", factor.alias("factor"), (C("close") / factor).alias("adjusted"))
+    """Closes divided by the product of all later action ratios; ``actions``: (symbol, date, ratio), from which date on it holds, whether or not a bar stands there."""
+    rows = bars.select("symbol", "date", "close", F.lit(None).cast("double").alias("ratio"), F.lit(1).alias("_side"))
+    rows = rows.unionByName(actions.select("symbol", "date", F.lit(None).cast("double").alias("close"), C("ratio").cast("double"), F.lit(0).alias("_side")))
+    # an action comes before its day's bar, so that what follows a bar are later actions only
+    later = Window.partitionBy("symbol").orderBy("date", "_side").rowsBetween(1, Window.unboundedFollowing)
+    factor = F.round(F.exp(F.coalesce(F.sum(F.log("ratio")).over(later), F.lit(0.0))), 9)  # a sum of logarithms ends in noise
+    return rows.withColumn("factor", factor).where("_side = 1").select("symbol", "date", "factor", (C("close") / C("factor")).alias("adjusted"))
 
 
 def latest_change(bars: DataFrame) -> DataFrame:

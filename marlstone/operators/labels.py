@@ -7,24 +7,14 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.cut import cut
 from marlstone.functions.ewm import ewm_std
-from marlstone.functions.expr import by_symbol, change, rolling
+from marlstone.functions.expr import by_symbol, change
 
 C = F.col
 
 
-def triple_barrier(bars: DataFrame, days: int = 20, width: float = 2.5, cost: float = 0.0015) -> DataFrame:
-    """1, -1 or 0 by the barrier that the path of ``days`` closes meets first, and after how many bars. Null without a deviation or a whole path."""
-    d = bars.select("symbol", "date", "close", change(C("close"), 1).alias("_r"))
-    d = d.withColumn("_v", rolling(F.stddev_samp, C("_r"), 20)).withColumn("path", F.collect_list("close").over(by_symbol().rowsBetween(1, days)))
-    d = d.withColumn("w", F.greatest(width * C("_v"), F.lit(cost))).where((F.size("path") == days) & C("_v").isNotNull())
-    side = F.transform("path", lambda p: F.when(p / C("close") - 1 - cost >= C("w"), 1).when(p / C("close") - 1 + cost <= -C("w"), -1).otherwise(0))
-    d = d.withColumn("_h", F.transform(side, lambda s: s != 0)).withColumn("_s", side)
-    at = F.array_position("_h", True)
-    return d.select("symbol", "date", F.when(at > 0, F.element_at("_s", F.greatest(at, F.lit(1)).cast("int"))).otherwise(0).alias("label"), F.when(at > 0, at).otherwise(days).cast("long").alias("bars_held"))
-
-
 def barrier_labels(bars: DataFrame, days: int = 20, width: float = 2.5, cost: float = 0.0015, span: int = 20, least: int = 10) -> DataFrame:
-    """As ``triple_barrier``, with the exponentially weighted deviation of daily returns and one return net of costs for both barriers.
+    """1, -1 or 0 by the barrier that the path of ``days`` closes meets first, and after how many bars. Barriers lie ``width`` exponentially weighted deviations of
+    daily returns off, ``cost`` at least; one return net of costs is held against both.
 
     Every bar has its row: label and bars_held are null before ``least`` returns and where the path is not whole.
     """

@@ -65,8 +65,10 @@ def trend_factors(bars: DataFrame) -> DataFrame:
 
 
 def put_call_ratio(chain: DataFrame) -> DataFrame:
-    g = chain.groupBy("name").agg(F.sum(F.when(C("option_type") == "PE", 1).otherwise(0)).alias("puts"), F.sum(F.when(C("option_type") == "CE", 1).otherwise(0)).alias("calls"))
-    return g.select("name", "puts", "calls", F.try_divide(C("puts").cast("double"), C("calls").cast("double")).alias("pcr"))
+    """Open interest of puts over that of calls; null without calls."""
+    of = lambda kind: F.sum(F.when(C("option_type") == kind, C("oi")).otherwise(0))
+    g = chain.groupBy("name").agg(of("PE").alias("put_oi"), of("CE").alias("call_oi"))
+    return g.select("name", "put_oi", "call_oi", F.try_divide(C("put_oi").cast("double"), C("call_oi").cast("double")).alias("pcr"))
 
 
 def every_kth(bars: DataFrame, k: int = 21) -> DataFrame:
@@ -202,12 +204,23 @@ def holdings(ledger: DataFrame) -> DataFrame:
     return g.withColumn("value", C("qty") * C("last.price")).rollup("sleeve").agg(F.sum("qty").alias("qty"), F.sum("value").alias("value"), F.count(F.lit(1)).alias("instruments")).withColumn("sleeve", F.coalesce("sleeve", F.lit("TOTAL")))
 
 
-def conviction(fundamentals: DataFrame) -> DataFrame:
-    """Gates in order: each names its value and what it needs; what fails is listed."""
-    rules = (("pe", C("pe_ratio") <= 200), ("pb", C("pb_ratio") <= 3), ("debt", C("debt_to_equity") <= 1.5), ("liquidity", C("current_ratio") >= 1))
-    gates = F.array(*(F.struct(F.lit(n).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in rules))
-    failed = F.transform(F.filter(gates, lambda g: ~g["ok"]), lambda g: g["name"])
-    return fundamentals.select("symbol", (F.size(failed) == 0).alias("passed"), F.array_join(failed, ",").alias("failed"))
+# What a row must reach before it may be queued.
+LEAST_COMPOSITE, LEAST_CONFIDENCE, LEAST_META, LEAST_VOLUME, LEAST_POINTS = 40, 40, 0.75, 500_000, 200
+
+
+def conviction(rows: DataFrame) -> DataFrame:
+    """Adds passed, failed (names, in order) and gates (name, ok, value, required) to rows with composite, linear_signal, ml_path, ml_confidence,
+    meta_prob, avg_volume and data_points. The model's confidence counts only where a model scored the row; what isn't known fails."""
+    named = lambda name, ok, value, required: F.struct(F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), value.cast("string").alias("value"), F.lit(required).alias("required"))
+    least = lambda name, column, x: named(name, C(column) >= x, C(column), f">= {x}")
+    gates = F.array_compact(F.array(
+        least("composite", "composite", LEAST_COMPOSITE), named("linear_agreement", C("linear_signal") == "LONG", C("linear_signal"), "LONG"),
+        F.when(C("ml_path"), least("ml_confidence", "ml_confidence", LEAST_CONFIDENCE)), least("meta_labeler", "meta_prob", LEAST_META),
+        least("liquidity_adv", "avg_volume", LEAST_VOLUME), least("data_points", "data_points", LEAST_POINTS),
+    ))
+    d = rows.withColumn("gates", gates)
+    failed = F.transform(F.filter("gates", lambda g: ~g["ok"]), lambda g: g["name"])
+    return d.withColumn("failed", F.array_join(failed, ",")).withColumn("passed", C("failed") == "")
 
 
 def chain_status(chain: DataFrame) -> DataFrame:

@@ -116,7 +116,8 @@ SQL = {
     "asof_align": _sql("bars market_regime", "select b.symbol, b.date, b.close as close, coalesce(m.vix,0.0) as vix from bars b asof left join (select date, vix from market_regime where fo_net_long>0) m on b.date>=m.date"),
     "nth_bar_returns": _sql("bars", "select s.symbol, s.date, n.date as entry_date, n.close as entry, round(x1/n.close-1,6) as ret1, round(x5/n.close-1,6) as ret5, round(x10/n.close-1,6) as ret10, round(x20/n.close-1,6) as ret20 from s asof left join n on s.symbol=n.symbol and s.date>=n.date", f"n as (select symbol, date, close, lead(close,1) over w x1, lead(close,5) over w x5, lead(close,10) over w x10, lead(close,20) over w x20 from bars {_W}), s as (select symbol, cast(m+k as date) date from (select distinct symbol, cast(date_trunc('month',date) as date) m from bars), (values (9),(24)) t(k))"),
     "relative_strength": _sql("bars bench", f"select symbol, date, close, m, round(close/lag(close,63) over w-m/lag(m,63) over w,6) as rs from a {_W}", "a as (select b.symbol, b.date, b.close, m.close m from bars b asof left join bench m on b.date>=m.date)"),
-    "pit_filter": _sql("bars membership", "select symbol, date, close from bars b where exists (select 1 from membership m where m.index_name='1-URGENT' and m.symbol=b.symbol and b.date between m.effective_from and coalesce(m.effective_to, date '9999-12-31'))"),
+    "pit_filter": _sql("bars register", "select symbol, date, close from bars b where exists (select 1 from register m where m.index_name='1-URGENT' and m.symbol=b.symbol and b.date between m.effective_from and coalesce(m.effective_to, date '9999-12-31'))"),
+    "pit_filter_spells": _sql("bars spells", "select symbol, date, close from bars b where exists (select 1 from spells m where m.index_name='1-URGENT' and m.symbol=b.symbol and b.date between m.effective_from and coalesce(m.effective_to, date '9999-12-31'))"),
     "members_on": _sql("spells", "select distinct index_name, symbol from spells where effective_from<=date '1998-03-31' and (effective_to is null or effective_to>=date '1998-03-31')"),
     "interval_errors": _sql("register", "select symbol, index_name, effective_from, 'inverted' as error from register where effective_to<effective_from union all select symbol, index_name, effective_from, 'duplicate' from g where n>1 union all select symbol, index_name, effective_from, 'overlap' from f where b>=effective_from", "g as (select *, row_number() over (partition by index_name, symbol, effective_from order by coalesce(effective_to, date '9999-12-31') desc) n from register where effective_to is null or effective_to>=effective_from), f as (select *, lag(coalesce(effective_to, date '9999-12-31')) over (partition by index_name, symbol order by effective_from) b from g where n=1)"),
     "upsert_replace": _sql("market_regime", "select date, vix, round(flow,6) as flow, cast(fo_net_long as double) as fo_net_long from market_regime where date<date '1998-01-01' union all select date, vix+1, null, null from market_regime where date>=date '1998-01-01'"),
@@ -132,7 +133,6 @@ SQL = {
     "ls_quintile": _sql("bars", "select date, n, round(top,6) as top, round(bottom,6) as bottom, round(top-bottom,6) as spread from legs", _LEGS),
     "turnover": _sql("bars", "select date, round(turnover,6) as turnover from turn", _LEGS),
     "cost_sweep": _sql("bars", "select c as cost_bp, round(avg(net)*252,6) as annual, round(avg(net)/stddev_samp(net)*sqrt(252.0::double),6) as sharpe, count(*) as days from (select c, top-bottom-2*turnover*c/10000 net from legs join turn using (date), (values (0.0::double),(10.0::double),(30.0::double)) t(c)) group by c", _LEGS),
-    "triple_barrier": _sql("bars", "select symbol, date, coalesce(s[h],0) as label, coalesce(h,20) as bars_held from (select *, list_position(list_transform(s, lambda v: v<>0), true) h from d)", f"a as (select symbol, date, close, close/lag(close) over w-1 r from bars {_W}), b as (select *, {_roll('stddev_samp', 'r', 20)} v, list(close) over (partition by symbol order by date rows between 1 following and 20 following) path from a), c as (select *, greatest(2.5*v,0.0015) wd from b where len(path)=20 and v is not null), d as (select symbol, date, list_transform(path, lambda p: case when p/close-1-0.0015>=wd then 1 when p/close-1+0.0015<=-wd then -1 else 0 end) s from c)"),
     "barrier_labels": _sql("bars", "select symbol, date, cast(case when known then case when hit=0 then 0 when path[hit]/close-1-0.0015>=w then 1 else -1 end end as int) as label, case when known then case when hit=0 then 20 else hit end end as bars_held from lb", _BARRIERS),
     "uniqueness_weights": _sql("bars", "select symbol, t0, t1, round(avg(1.0::double/c),6) as weight from sp join alive on d between t0 and t1 group by symbol, t0, t1", _BARRIERS + ", sp as (select symbol, date t0, ahead[cast(case when hit=0 then 20 else hit end as int)] t1 from lb where known), cal as (select distinct t0 d from sp), alive as (select d, count(*) c from cal join sp on d between t0 and t1 group by d)"),
     "purged_folds": _sql("bench", "select fold, date, case when o>=a and o<b then 'test' when o>=a-20 and o<b+20 then 'purged' else 'train' end as role from x", "d as (select date, row_number() over (order by date)-1 o, count(*) over () n from (select distinct date from bench)), x as (select date, o, cast(k as int) fold, floor(k*n/5.0) a, floor((k+1)*n/5.0) b from d, range(5) t(k))"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans.oracle import _sql
+from marlstone.plans.oracle import _SCORES, _sql
 
 _ORDER = "trade_date, id, line, supp, side, qty, price, fees"
 # trade by trade: buying adds to the cost, selling keeps the share that isn't sold
@@ -64,7 +64,15 @@ dr as (select symbol, period, date, year(date)||'Q'||quarter(date) as quarter, r
 tc as (select *, row_number() over (partition by quarter order by reaction, date, symbol, period)-1 r, count(*) over (partition by quarter)-1 n from dr),
 te as (select * exclude (r,n), case when 3*r<=n then 'T1_neg' when 3*r<=2*n then 'T2_mid' else 'T3_pos' end tercile from tc)"""
 
+_GATES = f"""{_SCORES},
+lk as (select symbol, date, avg(volume) over (partition by symbol order by date rows 19 preceding)*10000 adv, row_number() over (partition by symbol order by date) points from bars),
+rv as (select symbol, date, 1-close/lag(close,3) over (partition by symbol order by date) x from bars),
+pc as (select symbol, date, (rank() over (partition by date order by x)+(count(*) over (partition by date, x)-1)/2.0::double)/count(*) over (partition by date) pct from rv where x is not null),
+gt as (select f.symbol, f.date, concat_ws(',', case when composite>=40 then null else 'composite' end, case when composite>=40 then null else 'linear_agreement' end, case when month(f.date)%2=0 and abs(composite)<40 then 'ml_confidence' end,
+ case when pct>=0.75 then null else 'meta_labeler' end, case when adv>=500000 then null else 'liquidity_adv' end, case when points>=200 then null else 'data_points' end) failed from f4 f join lk using (symbol, date) left join pc using (symbol, date))"""
+
 SQL = {
+    "conviction": _sql("bars", "select symbol, date, failed='' as passed, failed from gt", _GATES),
     "ledger_positions": _recursive(_sql("ledger", "select sleeve, instrument, trades, round(qty,6) as qty, round(invested,6) as invested, round(invested/qty,6) as avg_cost from (select sleeve, instrument, max(trades) trades, arg_max(qty,trade_date) qty, arg_max(invested,trade_date) invested from ds group by all) where qty>1e-9", STATES)),
     "ledger_cash": _sql("ledger", "select sleeve, round(cast(sum(flow) as double),6) as cash, (select count(*) from ledger l where l.sleeve=cf.sleeve) as rows from cf group by sleeve", STATES[STATES.index("cf as") :]),
     "nav_history": _recursive(_sql("ledger fund_prices", "select sleeve, date, round(invested,2) as invested, round(market_value,2) as market_value, round(cash,2) as cash, round(nav,2) as nav from nav", _NAV)),

@@ -15,7 +15,7 @@ SQL = {
     "latest_bars": _sql("bars", "select symbol, date, close from (select *, row_number() over (partition by symbol order by date desc) rn from bars) where rn<=30"),
     "bars_between": _sql("bars", "select symbol, date, close, volume from bars where date between date '1995-01-01' and date '1996-12-31'"),
     "universe": _sql("bars", "select distinct symbol from bars where symbol not in (0,7)"),
-    "benchmark_fallback": _sql("bench sector_index", "select date, close, 1 source from sector_index where index_name='ASIA' and date>=date '1995-01-01' union all select date, close, 2 from bench b where not exists (select 1 from sector_index s where s.index_name='ASIA' and s.date>=date '1995-01-01' and s.date=b.date)"),
+    "benchmark_fallback": _sql("bench sector_index", "select date, close, source from x where source=(select min(source) from x)", "x as (select date, close, 1 source from sector_index where index_name='ASIA' and date>=date '1995-01-01' union all select date, close, 2 from bench)"),
     "replace_range": _sql("bars", "select symbol, date, close from bars b where not exists (select 1 from s where s.symbol=b.symbol and b.date between a and z) union all select symbol, date, close from nw", "nw as (select symbol, date, close+1 as close from bars where symbol<5 and date between date '1995-03-01' and date '1995-06-30' and day(date)%2=0), s as (select symbol, min(date) a, max(date) z from nw group by symbol)"),
     "overwrite_guard": _sql("bars", "select symbol, count(*) n from bars group by symbol having count(*)>=100"),
     "fill_where_null": _sql("market_regime bench", "select m.date, coalesce(case when fo_net_long>0 then vix end, b.close/100) vix from market_regime m left join bench b on b.date=m.date"),
@@ -24,8 +24,8 @@ SQL = {
     "gap_fill_plan": _sql("bars", "select symbol, date from (select symbol, cast(unnest(generate_series(hi+interval 1 day, least(timestamp '2001-12-31', hi+interval 30 day), interval 1 day)) as date) date from (select symbol, max(date) hi from bars group by symbol) where hi<date '2001-12-31') where isodow(date)<=5"),
     "cadence_mask": _sql("bars", "select symbol, date, gap, m median_gap, coalesce(m<=1.6,false) daily from (select *, case when count(gap) over f>=5 then quantile_cont(gap,0.5) over f end m from g window f as (partition by symbol order by date rows between 9 preceding and current row))", f"g as (select symbol, date, date_diff('day', lag(date) over w, date) gap from bars {_W})"),
     "history_counts": _sql("bars", "select symbol, count(*) n, count(*)>=30 scored, count(*)>=120 trained, count(*)>=252 tested from bars group by symbol"),
-    "identity_lock": _sql("ledger", "select instrument, count(*) n, min(supp) supp from (select *, first_value(supp) over (partition by instrument order by trade_date, id, line, supp) f from ledger) where supp=f group by instrument"),
-    "adjusted_closes": _sql("bars", "select symbol, date, round(f,6) factor, round(close/f,6) adjusted from (select symbol, date, close, exp(coalesce(sum(ln(ratio)) over (partition by symbol order by date rows between 1 following and unbounded following),0.0)) f from bars left join act using (symbol, date))", "act as (select symbol, min(date) date, 2.0::double ratio from bars where year(date)>1992 group by symbol, year(date))"),
+    "identity_lock": _sql("ledger", "select instrument, count(*) n, max(maker) maker from (select *, first_value(maker) over (partition by instrument order by trade_date, id, line, supp) f from lk) where maker='' or maker=f group by instrument", "lk as (select *, case when line=7 then '' else cast(supp as varchar) end maker from ledger)"),
+    "adjusted_closes": _sql("bars", "select symbol, date, round(f,6) factor, round(close/f,6) adjusted from (select b.symbol, b.date, close, (select round(exp(coalesce(sum(ln(ratio)),0.0)),9) from act a where a.symbol=b.symbol and a.date>b.date) f from bars b)", "act as (select symbol, min(date)+1 date, 1.7::double ratio from bars where year(date)>1992 group by symbol, year(date))"),
     "latest_change": _sql("bars", "select symbol, date, close, round(p,6) previous, round((close/p-1)*100,6) pct from l where rn=1 and p>0", "l as (select *, lag(close) over (partition by symbol order by date) p, row_number() over (partition by symbol order by date desc) rn from bars)"),
     "sector_momentum": _sql("bars", "select n_regionkey sector, round(avg((close/p-1)*100),6) avg_pct, count(*) n from l join nation on n_nationkey=symbol where rn=1 and p>0 group by n_regionkey", "l as (select *, lag(close) over (partition by symbol order by date) p, row_number() over (partition by symbol order by date desc) rn from bars)"),
     "movers": _sql("bars", "(select symbol, round(pct,6) pct, 'gainer' side from c order by c.pct desc, symbol limit 5) union all (select symbol, round(pct,6), 'loser' from c order by c.pct, symbol limit 5)", "l as (select *, lag(close) over (partition by symbol order by date) p, row_number() over (partition by symbol order by date desc) rn from bars), c as (select symbol, (close/p-1)*100 pct from l where rn=1 and p>0)"),
@@ -42,7 +42,7 @@ SQL = {
     "bar_context": _sql("bars", f"select symbol, date, row_number() over w bar, date_diff('day', lag(date) over w, date) gap, round(max(high) over (partition by symbol order by date rows between 21 preceding and current row),6) highest from bars {_W}"),
     "sma_crosses": _sql("bars", "select symbol, date, case when pa<=pb and a>b then 'golden' else 'death' end \"cross\" from p where (pa<=pb and a>b) or (pa>=pb and a<b)", f"s as (select symbol, date, {_roll('avg', 'close', 20)} a, {_roll('avg', 'close', 50)} b from bars), p as (select *, lag(a) over w pa, lag(b) over w pb from s {_W})"),
     "trend_factors": _sql("bars", f"select symbol, date, case when close>s20 then 0.25 else -0.25 end::double+case when close>s50 then 0.25 else -0.25 end::double+case when s20>s50 then 0.5 else -0.5 end::double trend, round({_clip('-z50/2', -1.0, 1.0)},6) reversion, round(0.6*{_clip('r63/0.3', -1.0, 1.0)}+0.4*{_clip('-z20/2', -1.0, 1.0)},6) simple_composite from t", f"t as (select symbol, date, close, {_roll('avg', 'close', 20)} s20, {_roll('avg', 'close', 50)} s50, (close-{_roll('avg', 'close', 20)})/nullif({_roll('stddev_samp', 'close', 20)},0) z20, (close-{_roll('avg', 'close', 50)})/nullif({_roll('stddev_samp', 'close', 50)},0) z50, close/lag(close,63) over w-1 r63 from bars {_W})"),
-    "put_call_ratio": _sql("option_chain", "select name, count(*) filter (option_type='PE') puts, count(*) filter (option_type='CE') calls, round(count(*) filter (option_type='PE')/nullif(count(*) filter (option_type='CE'),0)::double,6) pcr from option_chain group by name"),
+    "put_call_ratio": _sql("option_chain", "select name, put_oi, call_oi, round(put_oi/nullif(call_oi,0)::double,6) pcr from (select name, cast(coalesce(sum(oi) filter (option_type='PE'),0) as bigint) put_oi, cast(coalesce(sum(oi) filter (option_type='CE'),0) as bigint) call_oi from option_chain group by name)"),
     "every_kth": _sql("bars", "select symbol, date, close from (select *, row_number() over (partition by symbol order by date)-1 o from bars) where o%21=0"),
     "cohorts": _sql("bars", "select symbol, date, o bar from (select *, row_number() over (partition by symbol order by date)-1 o from bars) where o>=30 and (o-30)%5=0"),
     "day_buckets": _sql("ticks", "select symbol, day, n, cast(day + (case isodow(day) when 5 then 3 when 6 then 2 else 1 end)::int as date) next_day from (select symbol, cast(ts as date) as day, count(*) n from ticks group by 1, 2)"),
@@ -61,6 +61,10 @@ SQL = {
     "price_alerts": _sql("bars", "select symbol, round(t,6) threshold, round(p,6) price, d direction, case when d='above' then p>=t else p<=t end triggered from (select symbol, avg(close) t, max_by(close,date) p, case when symbol%2=0 then 'above' else 'below' end d from bars group by symbol)"),
     "circuit_breaker": _sql("bars", "select date, round(c,6) change, round(c,9)<=-0.02 stop from (select date, sum(close)/sum(p)-1 c from (select date, close, lag(close) over (partition by symbol order by date) p from bars) where p is not null group by date)"),
     "holdings": _sql("ledger", "select coalesce(sleeve,'TOTAL') sleeve, cast(sum(q) as double) qty, round(sum(q*p),6) \"value\", count(*) instruments from h group by rollup(sleeve)", "h as (select sleeve, instrument, sum(case when side='BUY' then qty else -qty end) q, arg_max(price, (trade_date,id,line,supp)) p from ledger group by sleeve, instrument)"),
-    "conviction": _sql("fundamentals", "select symbol, f='' passed, f failed from (select symbol, concat_ws(',', case when pe_ratio<=200 then null else 'pe' end, case when pb_ratio<=3 then null else 'pb' end, case when debt_to_equity<=1.5 then null else 'debt' end, case when current_ratio>=1 then null else 'liquidity' end) f from fundamentals)"),
     "chain_status": _sql("option_chain", "select name, count(*) quotes, count(distinct expiry_id) expiries, min(iv) least_iv, max(iv) most_iv from option_chain group by name"),
+    "parsed_price_files": _sql("bars", "select cast(symbol as varchar) as symbol, date, open, high, low, close, cast(null as double) as prev_close, volume, 'I'||symbol as isin from bars where symbol%7<>3"),
+    "parsed_open_interest": _sql("market_regime", "select date, cast(fo_net_long as double) as net from market_regime"),
+    "parsed_flow_files": _sql("market_regime", "select date, round(flow,2) as fii, case when day(date)%5=0 then null else cast(fo_net_long as double) end as dii from market_regime"),
+    "parsed_filings": _sql("filings", "select cast(symbol as varchar) as symbol, ts, case when period%2=0 then date_trunc('month', cast(ts as date))::date end as period_start, last_day(cast(ts as date)) as period_end, cast(period as varchar) as seq_number from filings"),
+    "parsed_put_calls": _sql("market_regime", "select date, v as pcr from (select date, fo_net_long::double v, day(date)%4 k from market_regime) where k=0 or v<>0"),
 }

@@ -49,7 +49,7 @@ select r.r_name as sleeve, l.l_partkey%50 as instrument, cast(l.l_shipdate as da
  from {lineitem} l join {supplier} s on l.l_suppkey=s.s_suppkey join {nation} n on s.s_nationkey=n.n_nationkey join {region} r on n.n_regionkey=r.r_regionkey""",
     "option_chain": """
 select p_brand as name, p_partkey%40 as expiry_id, p_partkey as option_id, p_retailprice as strike, case when p_size%2=0 then 'CE' else 'PE' end as option_type,
- 10+cast(p_size as double)/5 as iv, case when p_size%2=0 then cast(p_size as double)/51 else -cast(p_size as double)/51 end as delta from {part}""",
+ 10+cast(p_size as double)/5 as iv, case when p_size%2=0 then cast(p_size as double)/51 else -cast(p_size as double)/51 end as delta, cast(p_partkey*37%1000 as bigint) as oi from {part}""",
     "fundamentals": """
 select p_partkey as symbol, p_type as industry, p_retailprice/p_size as pe_ratio, cast(p_size as double)/10 as pb_ratio, cast(p_partkey%300 as double)/100 as debt_to_equity, cast(p_partkey%400 as double)/100 as current_ratio from {part}""",
     "news": """
