@@ -396,10 +396,10 @@ def _put_call_payloads(regime: DataFrame) -> DataFrame:
 
 def _layouts() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     y = layouts
-    day = C("file").cast("date")
+    day = lambda: C("file").cast("date")  # noqa: E731 (a column needs a session, which isn't there when queries are listed)
     return {
-        "parsed_price_files": lambda t: y.daily_prices(_price_files(t("bars")), day, new_from="1998-07-01"),
-        "parsed_open_interest": lambda t: y.net_open_interest(_interest_files(t("market_regime")), day),
+        "parsed_price_files": lambda t: y.daily_prices(_price_files(t("bars")), day(), new_from="1998-07-01"),
+        "parsed_open_interest": lambda t: y.net_open_interest(_interest_files(t("market_regime")), day()),
         "parsed_flow_files": lambda t: y.flow_rows(_flow_files(t("market_regime"))),
         "parsed_filings": lambda t: y.filing_events(_filing_payloads(t("filings"))).select("symbol", "ts", "period_start", "period_end", "seq_number"),
         "parsed_put_calls": lambda t: y.put_call_values(_put_call_payloads(t("market_regime"))),
