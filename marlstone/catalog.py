@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, backtest, earnings, factors, features, fund, history, indicators, labels, layouts, models, research, signals, studies, upsert, walkforward, xsection
-from marlstone.plans import oracle, oracle_frame, oracle_fund, oracle_more, oracle_research
+from marlstone.operators import align, backtest, earnings, factors, features, fund, history, indicators, labels, layouts, models, options, research, sentiment, signals, studies, upsert, verdicts, walkforward, xsection
+from marlstone.plans import oracle, oracle_frame, oracle_fund, oracle_more, oracle_research, oracle_verdicts
 from marlstone.sources.adapters import table
 
 C = F.col
@@ -420,9 +420,130 @@ def _funds() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     }
 
 
+def _place_scores(t: Callable[[str], DataFrame], x: str) -> DataFrame:
+    """(date, value): 2 pct - 1 of a market column by its place among the last 252 values, 30 at least."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    return t("market_regime").select("date", (2 * indicators.percentile_of_last(x, 252, 30, w) - 1).alias("value"))
+
+
+def _judged(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Each symbol's latest bar with its levels and sub-scores, judged."""
+    v = verdicts
+    scored = features.scored_bars(*_frame_inputs(t)).drop("sector_rotation", "close").withColumnRenamed("fii_fo_score", "fii_flow_score")
+    d = v.latest(scored.join(v.levels(t("bars")), ["symbol", "date"]))
+    d = d.join(features.market_calendar(d.select("date").distinct(), {"fii_fo_score": _place_scores(t, "fo_net_long")}), "date", "left")
+    for side in (v.fundamental_scores(t("financials")), v.analyst_consensus(t("ratings")), v.peer_rotation(t("bars"), t("bench"), t("sector_of"))):
+        d = d.join(side, "symbol", "left")
+    composite = sum((C(k) * w for k, w in features.LINEAR.items()), F.lit(0.0))
+    return v.verdicts(d.withColumn("composite_factor", F.least(F.greatest(composite, F.lit(-1.0)), F.lit(1.0))))
+
+
+def _model_rows(t: Callable[[str], DataFrame]) -> DataFrame:
+    """Verdicts of a model from 1995 on, told by the date's percentile of three-day reversal."""
+    p = C("pct")
+    rows = signals.cs_percentile(t("bars")).where("date >= date '1995-01-01'")
+    return rows.select("symbol", "date", F.when(F.round(p, 6) > 0.8, "LONG").when(F.round(p, 6) < 0.2, "SHORT").otherwise("HOLD").alias("ml_verdict"), F.round(F.abs(p - 0.5) * 200, 4).alias("ml_confidence"))
+
+
+def _old_log(t: Callable[[str], DataFrame]) -> DataFrame:
+    """A log as it was before: a row a bar of odd symbols, one in seven of them without any signal."""
+    empty = F.dayofmonth("date") % 7 == 0
+    known = lambda x: F.when(~empty, x)
+    return t("bars").where("symbol % 2 = 1").select("symbol", "date", F.lit("HOLD").alias("signal"), F.lit(0.0).alias("composite"), known(F.lit(50.0)).alias("ml_confidence"), known(F.lit("HOLD")).alias("linear_signal"), F.concat(F.lit("n"), "symbol").alias("note"))
+
+
+def _verdicts() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    v = verdicts
+    scored = lambda t: features.scored_bars(*_frame_inputs(t))
+    regime = lambda t: v.regime_blend(t("bars"), _regime_series(t))
+    log = lambda t: v.backfilled(v.linear_log(scored(t)), _model_rows(t))
+    gates = lambda t: signals.conviction(_gate_rows(t("bars")).join(t("bars").select("symbol", "date", "close"), ["symbol", "date"]))
+
+    def strategies(t):
+        linear = v.linear_signals(scored(t), act=0.2)  # these factors seldom agree: at 0.4 few bars act
+        return v.compared({"hold": v.hold_signals(t("bars")), "linear": linear, "model": v.model_signals(linear, _model_rows(t)), "adaptive": v.adaptive_signals(linear, t("bars"), regime(t))})
+
+    return {
+        "fundamental_scores": lambda t: v.fundamental_scores(t("financials")),
+        "analyst_consensus": lambda t: v.analyst_consensus(t("ratings")),
+        "peer_rotation": lambda t: v.peer_rotation(t("bars"), t("bench"), t("sector_of")),
+        "index_reversion": lambda t: v.index_reversion(t("sector_index").withColumnRenamed("index_name", "symbol")).select("symbol", "date", "z20", "z50", "band", "rsi", "blend", "signal", "strength"),
+        "regime_blend": regime,
+        "latest_market_scores": lambda t: regime(t).groupBy().agg(F.max("date").alias("date"), *(F.max_by(c, "date").alias(c) for c in (*v.REGIME, "regime"))),
+        "verdicts": lambda t: _judged(t).select("symbol", "date", "data_points", "score", "verdict", "confidence", "method", "target", "target_type", "reasoning", "sma20", "sma50", "upper", "lower"),
+        "verdict_ranking": lambda t: v.ranked(_judged(t)).select("rank", "symbol", "score", "verdict", "same_verdict"),
+        "signals_backfill": log,
+        "signals_log": lambda t: v.merged_log(_old_log(t), log(t)),
+        "signal_queue": lambda t: v.signal_queue(gates(t)),
+        "signal_skips": lambda t: v.skipped(gates(t)).select("symbol", "date", "gate", "required"),
+        "gap_checks": lambda t: v.gap_checked(v.signal_queue(gates(t)), t("bars")),
+        "strategies": strategies,
+    }
+
+
+def _regime_series(t: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    bench, regime = t("bench").withColumn("symbol", F.lit("bench")), factors.regime_scores(t("market_regime"))
+    value = lambda d, c: d.select("date", C(c).alias("value"))
+    put_call = _place_scores(t, "fo_net_long").select("date", (-C("value")).alias("value"))
+    return {"vix_score": value(regime, "vix_score"), "trend": value(factors.index_trend(bench), "trend"), "markov": value(factors.markov_score(bench), "markov"), "put_call": put_call, "flow": value(regime, "flow_score")}
+
+
+def _replies(articles: DataFrame) -> DataFrame:
+    """Articles with a scorer's reply in one of six shapes: JSON, JSON in prose, a number in prose, none, JSON with text, JSON out of range."""
+    x = ((C("doc_id") * 37 % 401 - 200) / 100).cast("decimal(4,2)").cast("string")
+    kind = C("doc_id") % 6
+    text = F.when(kind == 0, F.concat(F.lit('{"score": '), x, F.lit("}"))).when(kind == 1, F.concat(F.lit('Sure: {"why": "mixed", "score": '), x, F.lit("} done"))).when(kind == 2, F.concat(F.lit("I would say "), x, F.lit(" overall")))
+    text = text.when(kind == 3, "no idea").when(kind == 4, F.concat(F.lit('{"score": "'), x, F.lit('"}'))).otherwise('{"score": 7}')
+    return articles.withColumn("reply", text)
+
+
+def _batches(articles: DataFrame) -> DataFrame:
+    """One reply for the articles of a symbol and day, in prose for even days; every fifth item is out of range and every seventh has no number."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("symbol", "date").orderBy("doc_id")) - 1
+    score = F.when(C("doc_id") % 5 == 0, "1.5").when(C("doc_id") % 7 == 0, '"none"').otherwise(((C("doc_id") % 21 - 10) / 10).cast("decimal(3,1)").cast("string"))
+    items = articles.withColumn("i", place).withColumn("item", F.concat(F.lit('{"i": '), C("i").cast("string"), F.lit(', "score": '), score, F.lit("}")))
+    reply = F.concat(F.lit('{"scores": ['), F.concat_ws(", ", F.collect_list("item")), F.lit("]}"))
+    d = items.groupBy("symbol", "date").agg(reply.alias("_r"), F.count(F.lit(1)).alias("expected"))
+    return d.select("symbol", "date", F.when(F.dayofmonth("date") % 2 == 0, F.concat(F.lit("Here you are:\n"), "_r", F.lit("\nThat is all."))).otherwise(C("_r")).alias("text"), "expected")
+
+
+def _sentiments() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    s = sentiment
+    scored = lambda t: s.chain_scores(_replies(t("articles")), [("reply", s.reply_score(C("reply")), -1, 1), ("lexicon", studies.polarity(C("headline")), -1, 1)])
+    daily = lambda t: s.daily_sentiment(scored(t))
+    nations = lambda t: t("nation").select(C("n_nationkey").alias("symbol"))
+    return {
+        "reply_scores": lambda t: _replies(t("articles")).select("doc_id", s.reply_score(C("reply")).alias("score")),
+        "batch_reply_scores": lambda t: s.batch_scores(_batches(t("articles"))),
+        "chain_scores": lambda t: scored(t).select("doc_id", "score", "scorer"),
+        "sentiment_daily": daily,
+        "sentiment_features": lambda t: s.sentiment_features(daily(t)),
+        "sentiment_factor": lambda t: s.sentiment_factor(nations(t), s.sentiment_features(daily(t))),
+        "sentiment_summary": lambda t: s.sentiment_summary(nations(t), scored(t), daily(t)),
+        "newest_articles": lambda t: s.newest(t("articles").select("symbol", "date", "source", "doc_id"), 5).withColumn("place", C("place").cast("long")),
+    }
+
+
+def _condors() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    spots = lambda t: t("sector_index").select(C("index_name").alias("name"), "date", "close")
+    opened = lambda t: options.open_condors(t("index_chain"), "1995-01-10", spots(t))
+    settled = lambda t: options.settled_condors(opened(t), spots(t), "1995-04-01")
+    plans = lambda t: t("ledger").groupBy("sleeve", "instrument").agg(F.min("trade_date").alias("first")).select("sleeve", "instrument", (C("instrument") * 3 + 10).alias("tranches"), (C("instrument") % 5 + 27).alias("day_of_month"), F.when(C("instrument") % 5 > 0, C("first")).alias("started"))
+    return {
+        "option_condors": opened,
+        "condors_settled": settled,
+        "condor_totals": lambda t: options.condor_book(settled(t)),
+        "tranche_status": lambda t: fund.tranche_status(plans(t), t("ledger"), "1997-02-28"),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research() | _models() | _walks() | _funds() | _layouts()).items()}
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research() | _models() | _walks() | _funds() | _layouts() | _verdicts() | _sentiments() | _condors()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | oracle_more.SQL | oracle_research.SQL | oracle_fund.SQL | {k: v for k, v in oracle_frame.SQL.items() if k in _models() | _walks()}
+    return oracle.SQL | oracle_more.SQL | oracle_research.SQL | oracle_fund.SQL | oracle_verdicts.SQL | {k: v for k, v in oracle_frame.SQL.items() if k in _models() | _walks()}

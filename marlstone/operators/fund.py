@@ -152,3 +152,32 @@ def retire(bars: DataFrame, absent: int = 60) -> DataFrame:
     d = bars.join(F.broadcast(sessions), "date")
     gap = C("o") - F.lag("o").over(by_symbol()) - 1
     return d.withColumn("_gone", F.coalesce(gap >= absent, F.lit(False)).cast("int")).withColumn("_gone", F.max("_gone").over(by_symbol())).where("_gone = 0").select(*bars.columns)
+
+
+def scheduled_date(anchor: Column, months: Column, day: Column) -> Column:
+    """Day ``day`` of the month ``months`` after the anchor's, or that month's last."""
+    first = F.add_months(F.trunc(anchor, "month"), months)
+    return F.least(F.date_add(first, day - 1), F.last_day(first))
+
+
+def tranche_status(plans: DataFrame, trades: DataFrame, today: str) -> DataFrame:
+    """Plans (sleeve, instrument, tranches, day_of_month, started) with buys done, their mean cost, tranches expected by ``today``, overdue ones and the next due date.
+
+    Each buy counts as one tranche. A plan that hasn't started expects nothing, and its next date is the coming ``day_of_month``; a complete one has none.
+    """
+    key = ["sleeve", "instrument"]
+    cost = C("qty") * C("price") + F.coalesce("fees", F.lit(0.0))
+    done = trades.where("side = 'BUY'").groupBy(*key).agg(F.count(F.lit(1)).alias("done"), F.sum("qty").cast("double").alias("qty"), F.sum(cost.cast("decimal(28,6)")).cast("double").alias("_cost"))
+    d = plans.join(done, key, "left").fillna(0, ["done", "qty"])
+    day, n, start = F.lit(today).cast("date"), C("day_of_month").cast("int"), C("started")
+    # months passed since the anchor's, one less if this month's date is still ahead
+    passed = (F.year(day) - F.year(start)) * 12 + F.month(day) - F.month(start)
+    due = passed + F.when(scheduled_date(day, F.lit(0), n) <= day, 1).otherwise(0)
+    expected = F.when(start.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(due, C("tranches").cast("int"))))
+    coming = F.when(scheduled_date(day, F.lit(0), n) < day, scheduled_date(day, F.lit(1), n)).otherwise(scheduled_date(day, F.lit(0), n))
+    complete = C("done") >= C("tranches")
+    ahead = F.when(start.isNull(), coming).otherwise(scheduled_date(start, C("done").cast("int"), n))
+    return d.select(
+        *key, "tranches", C("done").cast("long").alias("done"), complete.alias("complete"), "qty", F.when(C("qty") > 0, C("_cost") / C("qty")).alias("avg_entry"), "started",
+        expected.cast("long").alias("expected"), F.when(start.isNull(), 0).otherwise(F.greatest(F.lit(0), expected - C("done"))).cast("long").alias("overdue"), F.when(~complete, ahead).alias("next_due"),
+    )

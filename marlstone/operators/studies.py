@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.expr import by_symbol, change, rolling
@@ -73,14 +73,19 @@ def iv_skew(chain: DataFrame, within: float = 0.15) -> DataFrame:
 LEXICON = {"the": 1, "of": -1, "and": 1, "der": -1, "und": 1, "de": -1, "la": 1, "le": 1, "les": -1, "en": 1, "is": 1, "was": -1}
 
 
+def polarity(text: Column) -> Column:
+    """Mean weight of the words of the lexicon in a text; null without any."""
+    weights = F.create_map(*(x for k, v in LEXICON.items() for x in (F.lit(k), F.lit(v))))
+    hits = F.array_compact(F.transform(F.split(F.lower(text), r"\s+"), lambda t: F.try_element_at(weights, t)))
+    return F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0).cast("double"), lambda s, x: s + x) / F.size(hits))
+
+
 def news_sentiment(news: DataFrame) -> DataFrame:
     """By symbol and date: articles without repeats of a headline, mean polarity of those that have any, and their sources. Of repeats the smallest id counts.
 
     Scored before the shuffle, which carries a digest instead of the text.
     """
-    polarity = F.create_map(*(x for k, v in LEXICON.items() for x in (F.lit(k), F.lit(v))))
-    hits = F.array_compact(F.transform(F.split(F.lower("headline"), r"\s+"), lambda t: F.try_element_at(polarity, t)))
-    d = news.withColumn("_h", hits).withColumn("score", F.when(F.size("_h") > 0, F.aggregate("_h", F.lit(0).cast("double"), lambda s, x: s + x) / F.size("_h")))
+    d = news.withColumn("score", polarity(C("headline")))
     first = d.groupBy("symbol", F.sha2("headline", 256).alias("_text")).agg(F.min(F.struct("doc_id", "date", "source", "score")).alias("_a"))
     d = first.select("symbol", "_a.*")
     return d.groupBy("symbol", "date").agg(F.avg("score").alias("sent_score"), F.count("score").alias("n_articles"), F.array_join(F.array_sort(F.collect_set(F.when(C("score").isNotNull(), C("source")))), ",").alias("sources"))

@@ -80,6 +80,17 @@ select l_partkey%50 as instrument, cast(l_shipdate as date) as date, cast(sum(ca
  from {lineitem} where l_returnflag='A' group by l_partkey%50, cast(l_shipdate as date)""",
     "sector_of": """
 select n.n_nationkey as symbol, r.r_name as sector from {nation} n join {region} r on n.n_regionkey=r.r_regionkey""",
+    "financials": """
+select p_partkey as symbol, p_retailprice/p_size as pe_ratio, cast(p_size as double)/10 as pb_ratio, cast(p_partkey%90 as double)/10 as price_to_sales, cast(p_partkey%400 as double)/100 as current_ratio,
+ cast(p_partkey%300 as double)/100 as debt_to_equity, case when p_partkey%5>0 then cast(p_partkey%70 as double)/10 end as interest_coverage, p_retailprice-1200 as free_cash_flow,
+ cast(p_partkey%40-10 as double) as revenue_growth_5y, case when p_partkey%3>0 then cast(p_partkey%31-12 as double) end as eps_growth_5y, cast(p_size-20 as double) as revenue_growth_3y, cast(p_size%17-5 as double) as eps_growth_3y,
+ cast(p_partkey%23-3 as double) as net_margin_ttm, cast(p_partkey%11-2 as double) as net_margin_5y from {part}""",
+    "ratings": """
+select p_partkey as symbol, p_size%5 as strong_buy, p_size%7 as buy, case when p_size%3=0 then null else p_size%4 end as hold, cast(p_partkey%3 as int) as sell, cast(p_partkey%2 as int) as strong_sell from {part}""",
+    # options on the sector indexes, whose strikes fall with a call's delta and rise with a put's
+    "index_chain": """
+select r_name as name, cast(date '1995-01-20' + cast(p_partkey%4*28 as int) as date) as expiry, p_partkey as option_id, case when p_size%2=0 then 'CE' else 'PE' end as option_type,
+ 1500+case when p_size%2=0 then 1 else -1 end*(51-p_size)*8.0+p_partkey%7 as strike, 10+cast(p_size as double)/5 as iv, case when p_size%2=0 then cast(p_size as double)/51 else -cast(p_size as double)/51 end as delta from {part} join {region} on r_regionkey=p_partkey%5""",
     "articles": """
 select doc_id%25 as symbol, cast(date '2024-01-01' + cast(doc_id%30 as int) as date) as date, source, text as headline, doc_id from {documents}""",
 }
