@@ -462,8 +462,9 @@ def _verdicts() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     gates = lambda t: signals.conviction(_gate_rows(t("bars")).join(t("bars").select("symbol", "date", "close"), ["symbol", "date"]))
 
     def strategies(t):
-        linear = v.linear_signals(scored(t), act=0.2)  # these factors seldom agree: at 0.4 few bars act
-        return v.compared({"hold": v.hold_signals(t("bars")), "linear": linear, "model": v.model_signals(linear, _model_rows(t)), "adaptive": v.adaptive_signals(linear, t("bars"), regime(t))})
+        linear = v.linear_signals(scored(t), act=0.2).withColumn("hold", F.lit(1))  # these factors seldom agree: at 0.4 few bars act
+        d = v.adaptive_signals(v.model_signals(linear, _model_rows(t), "model"), t("bars"), regime(t), "adaptive")
+        return v.compared(d, {"hold": "hold", "linear": "signal", "model": "model", "adaptive": "adaptive"})
 
     return {
         "fundamental_scores": lambda t: v.fundamental_scores(t("financials")),

@@ -229,11 +229,11 @@ def linear_signals(scored: DataFrame, weights: dict[str, float] = LINEAR, act: f
     return scored.select("symbol", "date", "close", F.when(total >= act, 1).when(total <= -act, -1).otherwise(0).alias("signal"))
 
 
-def model_signals(linear: DataFrame, model: DataFrame) -> DataFrame:
-    """A model's verdicts (symbol, date, ml_verdict) as signals; symbols that no model scored follow the linear signal, unscored bars of the others are 0."""
+def model_signals(linear: DataFrame, model: DataFrame, out: str = "signal") -> DataFrame:
+    """Sets ``out`` by a model's verdicts (symbol, date, ml_verdict); symbols that no model scored follow the linear signal, unscored bars of the others are 0."""
     m = model.groupBy("symbol", "date").agg(F.max(F.when(C("ml_verdict").isin("BUY", "LONG"), 1).when(C("ml_verdict").isin("SELL", "SHORT"), -1).otherwise(0)).alias("_m"))
-    any_of = F.count("_m").over(Window.partitionBy("symbol"))
-    return linear.join(m, ["symbol", "date"], "left").withColumn("_n", any_of).select("symbol", "date", "close", F.when(C("_n") > 0, F.coalesce("_m", F.lit(0))).otherwise(C("signal")).alias("signal"))
+    scored = F.count("_m").over(Window.partitionBy("symbol")) > 0
+    return linear.join(m, ["symbol", "date"], "left").withColumn("_s", scored).withColumn(out, F.when(C("_s"), F.coalesce("_m", F.lit(0))).otherwise(C("signal"))).drop("_m", "_s")
 
 
 def reversion_signals(bars: DataFrame, n: int = 20, least: int = 10) -> DataFrame:
@@ -245,19 +245,21 @@ def reversion_signals(bars: DataFrame, n: int = 20, least: int = 10) -> DataFram
     return d.select("symbol", "date", "close", F.coalesce(state, F.lit(0)).alias("signal"))
 
 
-def adaptive_signals(linear: DataFrame, bars: DataFrame, regime: DataFrame) -> DataFrame:
-    """The linear signal where the regime is above 0.15, that of reversion below -0.15, cash between and where no regime is known."""
+def adaptive_signals(linear: DataFrame, bars: DataFrame, regime: DataFrame, out: str = "signal") -> DataFrame:
+    """Sets ``out`` to the linear signal where the regime is above 0.15, to that of reversion below -0.15, to cash between and where no regime is known."""
     back = reversion_signals(bars).select("symbol", "date", C("signal").alias("_back"))
-    d = linear.join(back, ["symbol", "date"]).join(regime.select("date", "regime"), "date", "left")
-    return d.select("symbol", "date", "close", F.when(C("regime") > TREND, C("signal")).when(C("regime") < REVERSION, C("_back")).otherwise(0).alias("signal"))
+    d = linear.join(back, ["symbol", "date"]).join(regime.select("date", C("regime").alias("_regime")), "date", "left")
+    return d.withColumn(out, F.when(C("_regime") > TREND, C("signal")).when(C("_regime") < REVERSION, C("_back")).otherwise(0)).drop("_back", "_regime")
 
 
-def compared(strategies: dict[str, DataFrame], cost: float = 0.0015) -> DataFrame:
-    """By strategy and symbol: bars, days held, logarithmic return of the strategy and of holding, worst drawdown. Strategies go through one plan of equity curves."""
+def compared(signals: DataFrame, strategies: dict[str, str], cost: float = 0.0015) -> DataFrame:
+    """By strategy and symbol: bars, days held, logarithmic return of the strategy and of holding, worst drawdown. ``strategies`` names a
+    signal column each. A bar that costs all or more ruins a strategy: its return is null then, its drawdown -1."""
     from marlstone.operators.backtest import equity
 
-    every = reduce(DataFrame.unionByName, (d.select(F.struct(F.lit(k).alias("strategy"), "symbol").alias("symbol"), "date", "close", "signal") for k, d in strategies.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), C(c).cast("int").alias("signal")) for k, c in strategies.items())))
+    every = signals.select("symbol", "date", "close", each.alias("_x")).select(F.struct("_x.strategy", "symbol").alias("symbol"), "date", "close", "_x.signal")
     curve = equity(every, cost)
-    g = curve.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("position").cast("long").alias("held"), F.max_by("equity", "date").alias("_e"), F.max_by("hold", "date").alias("_h"), F.min("drawdown").alias("max_drawdown"))
-    return g.select("symbol.strategy", "symbol.symbol", "bars", "held", F.ln("_e").alias("log_ret"), F.ln("_h").alias("hold_log_ret"), "max_drawdown")
+    g = curve.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("position").cast("long").alias("held"), F.max_by("equity", "date").alias("_e"), F.max_by("hold", "date").alias("_h"), F.min("drawdown").alias("_d"), (F.min("net") <= -1).alias("_ruined"))
+    return g.select("symbol.strategy", "symbol.symbol", "bars", "held", F.when(~C("_ruined"), F.ln("_e")).alias("log_ret"), F.ln("_h").alias("hold_log_ret"), F.when(C("_ruined"), -1.0).otherwise(C("_d")).alias("max_drawdown"))
 

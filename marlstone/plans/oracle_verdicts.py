@@ -66,7 +66,7 @@ ad as (select l.symbol, l.date, l.close, case when regime>0.15 then l.s when reg
 al as (select 'hold' strategy, symbol, date, close, 1 s from bars union all select 'linear', * from li union all select 'model', * from mo union all select 'adaptive', * from ad),
 c1 as (select *, coalesce(greatest(lag(s) over w,0),0) pos, coalesce(close/lag(close) over w-1,0.0) ret from al window w as (partition by strategy, symbol order by date)),
 c2 as (select *, pos*ret-0.0015::double*abs(pos-coalesce(lag(pos) over w,0)) net from c1 window w as (partition by strategy, symbol order by date)),
-c3 as (select *, exp(sum(ln(1+net)) over w) e, exp(sum(ln(1+ret)) over w) h from c2 window w as (partition by strategy, symbol order by date rows unbounded preceding)),
+c3 as (select *, exp(sum(ln(case when net>-1 then 1+net end)) over w) e, exp(sum(ln(1+ret)) over w) h from c2 window w as (partition by strategy, symbol order by date rows unbounded preceding)),
 c4 as (select *, e/max(e) over (partition by strategy, symbol order by date rows unbounded preceding)-1 dd from c3)"""
 
 _X = "(((doc_id*37)%401-200)/100.0::double)"
@@ -95,8 +95,8 @@ def _price(kind: str, leg: str) -> str:
 
 _near = lambda x, kind, t: f"arg_min({x}, (abs(delta-({t}::double)), option_id)) filter (option_type='{kind}' and iv>0)"
 _CONDORS = f"""
-k0 as (select name, expiry, {', '.join(f'{_near("strike::double", *x)} {k}_strike, {_near("iv", *x)} {k}_iv' for k, x in _LEGS.items())} from index_chain group by name, expiry),
-k1 as (select k0.*, date '1995-01-10' opened, s.close spot, greatest(date_diff('day', date '1995-01-10', expiry),1) as days, greatest(date_diff('day', date '1995-01-10', expiry),1)/365.0::double t from k0 asof left join sector_index s on s.index_name=k0.name and date '1995-01-10'>=s.date),
+k0 as (select name, expiry, date '1995-01-10' opened, {', '.join(f'{_near("strike::double", *x)} {k}_strike, {_near("iv", *x)} {k}_iv' for k, x in _LEGS.items())} from index_chain group by name, expiry),
+k1 as (select k0.*, s.close spot, greatest(date_diff('day', date '1995-01-10', expiry),1) as days, greatest(date_diff('day', date '1995-01-10', expiry),1)/365.0::double t from k0 asof left join sector_index s on s.index_name=k0.name and k0.opened>=s.date),
 k2 as (select *, {', '.join(f'(ln(spot/{k}_strike)+(0.065::double+({k}_iv/100)*({k}_iv/100)/2)*t)/(({k}_iv/100)*sqrt(t)) {k}_d1' for k in _LEGS)} from k1),
 k3 as (select *, {', '.join(f'{_price(kind, k)} {k}_p' for k, (kind, _) in _LEGS.items())}, case when short_call_strike is null or short_put_strike is null then 'thin' when long_call_strike<=short_call_strike or long_put_strike>=short_put_strike then 'degenerate' when spot is null then 'no_spot' else 'open' end status from k2),
 k4 as (select *, short_call_p+short_put_p-long_call_p-long_put_p c, greatest(long_call_strike-short_call_strike, short_put_strike-long_put_strike) width from k3),
@@ -133,7 +133,7 @@ ol as (select symbol, date, 'HOLD' o, case when day(date)%7<>0 then 50.0 end om,
     "signal_skips": _sql("bars", "select symbol, date, gate, case gate when 'composite' then '>= 40' when 'linear_agreement' then 'LONG' when 'ml_confidence' then '>= 40' when 'meta_labeler' then '>= 0.75' when 'liquidity_adv' then '>= 500000' else '>= 200' end as required from (select symbol, date, unnest(string_split(failed, ',')) gate from gt where failed<>'')", _GATES),
     "gap_checks": _sql("bars", """select symbol, signal_date, execute_on, signal, round(signal_price,6) as signal_price, round(composite,6) as composite, source, case when price is null then 'rejected_risk' when wide then 'rejected_gap' else 'pending' end as status, round(price,6) as price,
  case when price is null then 'no_current_price' when wide then 'gap '||printf('%.2f', gap)||'% exceeds 3% limit' end as reason, gap as gap_pct from (select q.*, b.close price, round(abs((b.close-signal_price)/signal_price)*100,2) gap, abs(b.close-signal_price)*100>3*signal_price wide from q asof left join bars b on b.symbol=q.symbol and q.execute_on>=b.date)""", _QUEUE),
-    "strategies": _sql(TABLES, "select strategy, symbol, count(*) as bars, sum(pos)::bigint as held, round(ln(arg_max(e,date)),6) as log_ret, round(ln(arg_max(h,date)),6) as hold_log_ret, round(min(dd),6) as max_drawdown from c4 group by strategy, symbol", _CURVES),
+    "strategies": _sql(TABLES, "select strategy, symbol, count(*) as bars, sum(pos)::bigint as held, case when min(net)>-1 then round(ln(arg_max(e,date)),6) end as log_ret, round(ln(arg_max(h,date)),6) as hold_log_ret, case when min(net)>-1 then round(min(dd),6) else -1.0 end as max_drawdown from c4 group by strategy, symbol", _CURVES),
     "reply_scores": _sql("articles", f"select doc_id, {_REPLY} as score from articles"),
     "batch_reply_scores": _sql("articles", "select symbol, date, (row_number() over (partition by symbol, date order by doc_id)-1)::int as i, case when doc_id%5<>0 and doc_id%7<>0 then (doc_id%21-10)/10.0::double end as score from articles"),
     "chain_scores": _sql("articles", "select doc_id, round(score,6) as score, scorer from cs", _SCORED),
