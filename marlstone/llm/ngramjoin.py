@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.graph import components
 from marlstone.llm.spool import spool
-from marlstone.llm.tables import fresh, join_split
+from marlstone.llm.tables import PART, fresh, join_split, summed, table_parts
 from marlstone.llm.textbytes import combine, lower, mix64, slices, span_hash, words
 
 SLOT_BITS = 20  # the table of document counts has 2 ** 20 entries of 4 bytes, whatever the corpus
@@ -71,20 +71,10 @@ def slot_counts(rows: DataFrame, sets: Callable[[pa.RecordBatch], Iterator[list[
                 if some:
                     slot, times = np.unique((np.concatenate(some) >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
                     total[slot] = np.minimum(total[slot].astype(np.int64) + times, 2**31 - 1)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in total.reshape(PARTS, -1)], pa.binary())], names=["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // PARTS, np.int64)
-        for c in table.column("counts"):
-            total += np.frombuffer(c.as_py(), np.int32)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    summed = rows.mapInArrow(tables, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").toArrow()
-    out = np.zeros((PARTS, (1 << bits) // PARTS), np.int32)
-    for part, counts in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True):
-        out[part] = np.frombuffer(counts, np.int32)
-    return out.ravel()
+        yield from table_parts(total, PARTS)
+
+    # counts only put members in order, so those beyond 32 bits may share a place
+    return np.minimum(summed(rows.mapInArrow(tables, PART), PARTS, 1 << bits), 2**31 - 1).astype(np.int32).ravel()
 
 
 def rare_first(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:

@@ -127,7 +127,8 @@ def _grow(x: np.ndarray, g: np.ndarray, rows: np.ndarray, feats: np.ndarray, dep
                 if gain[i] > best[0]:
                     best = (gain[i], (int(k), float(cuts[k][i])))
     if best[1] is None:
-        pred[rows] = g[rows].mean()
+        if len(rows):
+            pred[rows] = g[rows].mean()
         return
     k, cut = best[1]
     below = x[rows, k] <= cut
