@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, backtest, earnings, factors, features, fund, history, indicators, labels, layouts, models, options, research, sentiment, signals, studies, upsert, verdicts, walkforward, xsection
+from marlstone.operators import align, backtest, earnings, factors, features, fund, history, indicators, labels, layouts, models, options, research, risk, sentiment, signals, studies, upsert, verdicts, walkforward, xsection
 from marlstone.plans import oracle, oracle_frame, oracle_fund, oracle_more, oracle_research, oracle_verdicts
 from marlstone.sources.adapters import table
 
@@ -542,8 +542,19 @@ def _condors() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
     }
 
 
+def _risks() -> dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]:
+    held = lambda t: _entries(t("bars")).join(t("sector_of"), "symbol").select("symbol", "sector", (C("symbol") + 1).alias("qty"), C("entry_price").alias("avg_price"))
+    valued = lambda t: risk.priced(held(t), t("bars"))
+    return {
+        "latest_prices": lambda t: risk.latest_prices(t("bars")),
+        "holdings_by_sector": lambda t: risk.valuation_by_sector(valued(t)),
+        "risk_alerts": lambda t: risk.risk_alerts(valued(t), t("bars")),
+        "daily_report": lambda t: risk.daily_report(valued(t), risk.risk_alerts(valued(t), t("bars"))),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research() | _models() | _walks() | _funds() | _layouts() | _verdicts() | _sentiments() | _condors()).items()}
+    return {name: (lambda spark, sf_dir, q=q: rounded(q(lambda name: table(spark, sf_dir, name)))) for name, q in (_queries() | _more() | _research() | _models() | _walks() | _funds() | _layouts() | _verdicts() | _sentiments() | _condors() | _risks()).items()}
 
 
 def oracle_sql() -> dict[str, str]:

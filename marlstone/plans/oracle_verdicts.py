@@ -6,7 +6,7 @@ from marlstone.operators.studies import LEXICON
 from marlstone.operators.verdicts import GROWTH, HEALTH, VALUATION, WEIGHTS
 from marlstone.plans.oracle import _clip, _roll, _sql
 from marlstone.plans.oracle_frame import FRAME, MARKET, TABLES
-from marlstone.plans.oracle_fund import _GATES
+from marlstone.plans.oracle_fund import _GATES, _STOPS
 
 _W = "window w as (partition by symbol order by date)"
 
@@ -112,7 +112,19 @@ _TRANCHES = f"""
 pl as (select sleeve, instrument, instrument*3+10 tranches, instrument%5+27 dom, case when instrument%5>0 then min(trade_date) end started, count(*) filter (side='BUY') done, coalesce(sum(qty) filter (side='BUY'),0)::double qty, sum(cast(qty*price+coalesce(fees,0) as decimal(28,6))) filter (side='BUY')::double cost from ledger group by sleeve, instrument),
 ex as (select sleeve, instrument, count(*) e from pl, range(0,400) g(i) where i<tranches and started is not null and {_due('started', 'i', 'dom')}<={_T} group by all)"""
 
+_HELD = f"""{_STOPS},
+lp as (select symbol, max(date) last_date, arg_max(close,date) price, coalesce(arg_max(pc,date) filter (i>1), arg_max(close,date)) prev_close, count(*) bars from b0 group by symbol),
+hv as (select e.symbol, sector, last_date, price, (e.symbol+1)*price v, (e.symbol+1)*prev_close v0, (e.symbol+1)*entry_price cost from en e join sector_of o on o.symbol=e.symbol join lp on lp.symbol=e.symbol),
+ra as (select 'stop_loss' kind, 'critical' severity, s.symbol::varchar subject, close as value, stop bound, case when stop=vol_stop then 'hybrid:volatility' else 'hybrid:chandelier' end as method from s1 s join lp on lp.symbol=s.symbol and lp.last_date=s.date where close<=stop
+ union all select 'circuit_breaker', 'critical', 'portfolio', x, -2.0, null from (select round(sum(v)/sum(v0)*100-100,2) x from hv) where x<=-2
+ union all select 'sector_concentration', 'warning', sector, round(x,2), 25.0, null from (select sector, 100*sum(v)/sum(sum(v)) over () x from hv group by sector) where x>25),
+rp as (select max(last_date) as date, count(*) as positions, round(sum(v),2) as value, round(sum(cost),2) as cost, (select count(*) from ra where severity='critical') as critical, (select count(*) from ra where severity='warning') as warnings, (select count(*)>0 from ra where kind='circuit_breaker') as halted from hv)"""
+
 SQL = {
+    "latest_prices": _sql("bars", "select symbol, last_date, round(price,6) as price, round(prev_close,6) as prev_close, bars from lp", _STOPS + _HELD[len(_STOPS):].split("hv as")[0].rstrip().rstrip(",")),
+    "holdings_by_sector": _sql("bars sector_of", "select coalesce(sector,'TOTAL') as sector, count(*) as positions, round(sum(cost),6) as cost, round(sum(v),6) as value, round(sum(v)-sum(cost),6) as gain, round(100*(sum(v)-sum(cost))/sum(cost),6) as gain_pct from hv group by rollup(sector)", _HELD),
+    "risk_alerts": _sql("bars sector_of", "select kind, severity, subject, round(value,6) as value, round(bound,6) as bound, method from ra", _HELD),
+    "daily_report": _sql("bars sector_of", """select date, positions, value, cost, critical, warnings, halted, round(value-cost,2) as gain, '{"date":"'||date||'","positions":'||positions||',"critical":'||critical||',"warnings":'||warnings||',"halted":'||halted||'}' as document from rp""", _HELD),
     "fundamental_scores": _sql("financials", "select symbol, round(valuation,6) as valuation, round(financial_health,6) as financial_health, round(growth,6) as growth from fsc", _FUNDAMENTALS),
     "analyst_consensus": _sql("ratings", "select symbol, round(analyst_consensus,6) as analyst_consensus from rsc", _RATINGS),
     "peer_rotation": _sql("bars bench sector_of", "select symbol, round(sector_rotation,6) as sector_rotation from psc", _PEERS),
