@@ -121,6 +121,11 @@ ra as (select 'stop_loss' kind, 'critical' severity, s.symbol::varchar subject,
 rp as (select max(last_date) as date, count(*) as positions, round(sum(v),2) as value, round(sum(cost),2) as cost, (select count(*) from ra where severity='critical') as critical, (select count(*) from ra where severity='warning') as warnings, (select count(*)>0 from ra where kind='circuit_breaker') as halted from hv)"""
 
 SQL = {
+    # DuckDB's own skewness and kurtosis are the bias-corrected ones
+    "corrected_psr": _sql("bars", f"select symbol, n, round(skew,6) as skew, round(kurt,6) as kurt, round({_cdf('z')},6) as psr from ps", """
+p0 as (select symbol, close/lag(close) over (partition by symbol order by date)-1 r from bars),
+p1 as (select symbol, count(r) n, avg(r)/stddev_samp(r) sr, skewness(r) skew, kurtosis(r)+3 kurt from p0 where r is not null group by symbol having count(r)>3),
+ps as (select *, sr*sqrt(n-1)/sqrt(greatest(1-skew*sr+(kurt-1)/4*sr*sr, 1e-12)) z from p1)"""),
     "latest_prices": _sql("bars", "select symbol, last_date, round(price,6) as price, round(prev_close,6) as prev_close, bars from lp", _STOPS + _HELD[len(_STOPS):].split("hv as")[0].rstrip().rstrip(",")),
     "holdings_by_sector": _sql("bars sector_of", "select coalesce(sector,'TOTAL') as sector, count(*) as positions, round(sum(cost),6) as cost, round(sum(v),6) as value, round(sum(v)-sum(cost),6) as gain, round(100*(sum(v)-sum(cost))/sum(cost),6) as gain_pct from hv group by rollup(sector)", _HELD),
     "risk_alerts": _sql("bars sector_of", "select kind, severity, subject, round(value,6) as value, round(bound,6) as bound, method from ra", _HELD),
@@ -149,6 +154,9 @@ ol as (select symbol, date, 'HOLD' o, case when day(date)%7<>0 then 50.0 end om,
     "reply_scores": _sql("articles", f"select doc_id, {_REPLY} as score from articles"),
     "batch_reply_scores": _sql("articles", "select symbol, date, (row_number() over (partition by symbol, date order by doc_id)-1)::int as i, case when doc_id%5<>0 and doc_id%7<>0 then (doc_id%21-10)/10.0::double end as score from articles"),
     "chain_scores": _sql("articles", "select doc_id, round(score,6) as score, scorer from cs", _SCORED),
+    "news_sentiment": _sql("articles", "select symbol, date, round(avg(p),6) as sent_score, count(p) as n_articles, coalesce(string_agg(distinct case when p is not null then source end, ',' order by case when p is not null then source end),'') as sources from nb group by symbol, date", _SCORED + """,
+na as (select symbol, min(doc_id) doc_id from articles group by symbol, headline),
+nb as (select a.symbol, a.date, a.source, p from articles a join na on na.symbol=a.symbol and na.doc_id=a.doc_id left join ws on ws.doc_id=a.doc_id)"""),
     "sentiment_daily": _sql("articles", "select symbol, date, sent_score, n_articles, sources, scorer from dy", _SCORED),
     "sentiment_features": _sql("articles", "select * from sf", _SCORED),
     "sentiment_factor": _sql("articles", "select n_nationkey as symbol, coalesce(arg_max(sent_24h,date),0.0) as sentiment, max(date) as last_date from nation left join sf on symbol=n_nationkey group by n_nationkey", _SCORED),
