@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import by_symbol, clip
+from marlstone.functions.expr import by_symbol, clip, let
 
 C = F.col
 NUMBER = r"-?\d*\.?\d+"
@@ -18,7 +18,7 @@ def four_places(x: Column) -> Column:
 
 
 def _in_range(x: Column) -> Column:
-    return F.when((x >= -1) & (x <= 1), x)
+    return let(x, lambda v: F.when((v >= -1) & (v <= 1), v))
 
 
 def _json_score(text: Column) -> Column:
@@ -38,19 +38,24 @@ def batch_scores(replies: DataFrame) -> DataFrame:
     A reply is {"scores": [{"i": .., "score": ..}, ...]}, with or without prose around it. Of several scores of an item the last valid one counts.
     """
     shape = "struct<scores:array<string>>"
-    embedded = F.regexp_extract("text", r'(?s)(\{.*"scores"\s*:.*\})', 1)
+    embedded = F.when(C("text").contains('"scores"'), F.regexp_extract("text", r'(?s)(\{.*"scores"\s*:.*\})', 1))
     entries = F.coalesce(F.from_json("text", shape)["scores"], F.from_json(embedded, shape)["scores"])
     index, score = (lambda e: F.regexp_extract(F.get_json_object(e, "$.i"), r"^(-?\d+)$", 1).try_cast("int")), (lambda e: _json_score(e))
-    valid = F.filter(F.transform(entries, lambda e: F.struct(index(e).alias("i"), score(e).alias("score"))), lambda e: e["i"].isNotNull() & e["score"].isNotNull())
+    named = F.transform(entries, lambda e, at: F.struct(index(e).alias("i"), at.alias("at"), score(e).alias("score")))
+    valid = F.filter(named, lambda e: (e["i"] >= 0) & (e["i"] < C("expected")) & e["score"].isNotNull())
+    # every item stands before its scores; sorted, the last of an item's run is its answer, so a reply costs no square of its items
+    blank = lambda i: F.struct(i.alias("i"), F.lit(-1).alias("at"), F.lit(None).cast("double").alias("score"))
+    items = F.transform(F.sequence(F.lit(0), (C("expected") - 1).cast("int")), blank)
     keep = [c for c in replies.columns if c not in ("text", "expected")]
-    d = replies.where("expected > 0").withColumn("_v", valid).select(*keep, "_v", F.explode(F.sequence(F.lit(0), (C("expected") - 1).cast("int"))).alias("i"))
-    mine = F.filter("_v", lambda e: e["i"] == C("i"))
-    return d.select(*keep, "i", F.when(F.size(mine) > 0, F.element_at(mine, -1)["score"]).alias("score"))
+    d = replies.where("expected > 0").select(*keep, F.sort_array(F.concat(items, F.coalesce(valid, F.array_repeat(blank(F.lit(0)), 0)))).alias("_v"))
+    last = F.filter("_v", lambda e, k: F.coalesce(F.get("_v", k + 1)["i"] != e["i"], F.lit(True)))
+    return d.select(*keep, F.inline(last)).drop("at")
 
 
 def chain_scores(rows: DataFrame, scorers: list[tuple[str, Column, float, float]]) -> DataFrame:
     """Adds score and scorer: of (name, score, low, high) in order of preference the first that isn't null, cut to its range."""
-    first = F.coalesce(*(F.when(x.isNotNull(), F.struct(clip(x.cast("double"), low, high).alias("score"), F.lit(name).alias("scorer"))) for name, x, low, high in scorers))
+    told = lambda name, low, high: lambda v: F.when(v.isNotNull(), F.struct(clip(v.cast("double"), low, high).alias("score"), F.lit(name).alias("scorer")))
+    first = F.coalesce(*(let(x, told(name, low, high)) for name, x, low, high in scorers))
     return rows.withColumn("_s", first).withColumns({"score": C("_s.score"), "scorer": C("_s.scorer")}).drop("_s")
 
 
@@ -67,9 +72,10 @@ def distinct_articles(*sources: DataFrame) -> DataFrame:
 
 def daily_sentiment(scored: DataFrame) -> DataFrame:
     """(symbol, date, sent_score, n_articles, sources, scorer) from articles (symbol, date, source, score, scorer): articles without a score don't count."""
-    known = scored.where(C("score").isNotNull())
-    sources = F.array_join(F.array_sort(F.collect_set(F.nullif("source", F.lit("")))), ",")
-    return known.groupBy("symbol", "date").agg(four_places(F.avg("score")).alias("sent_score"), F.count(F.lit(1)).alias("n_articles"), sources.alias("sources"), F.max("scorer").alias("scorer"))
+    known = lambda x: F.when(C("score").isNotNull(), x)  # noqa: E731 (a filter instead would make Spark score each article twice)
+    sources = F.array_join(F.array_sort(F.collect_set(known(F.nullif("source", F.lit(""))))), ",")
+    days = scored.groupBy("symbol", "date").agg(four_places(F.avg("score")).alias("sent_score"), F.count("score").alias("n_articles"), sources.alias("sources"), F.max(known(C("scorer"))).alias("scorer"))
+    return days.where("n_articles > 0")
 
 
 def article_level(n: Column, soft_cap: float = SOFT_CAP) -> Column:
