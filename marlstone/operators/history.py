@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.expr import let
+
 C = F.col
 DATE_FORMATS = ("yyyy-MM-dd", "dd-MMM-yyyy", "dd/MM/yyyy", "MMM d, yyyy")
+# What every text of a format has, so that a text is held against formats that it can't have by no parser: a parser that fails is dear.
+DATE_SHAPES = (r"^[+-]?\d{4,}-\d", r"^\d\d-\D", r"^\d\d/\d", r"^\D+ \d")
 
 
 def _w(*order: Column | str, by: str = "symbol") -> Window:
@@ -148,7 +152,8 @@ def membership_summary(spells: DataFrame) -> DataFrame:
 
 def parse_dates(text: Column) -> Column:
     """A date in any of ``DATE_FORMATS``; null if none fits."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in DATE_FORMATS))
+    at = lambda t, f, shape: F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(f)).cast("date"))
+    return let(F.trim(text), lambda t: F.coalesce(*(at(t, f, shape) for f, shape in zip(DATE_FORMATS, DATE_SHAPES, strict=True))))
 
 
 def parse_number(text: Column) -> Column:

@@ -188,8 +188,10 @@ def parse_flow_pages(pages: DataFrame) -> DataFrame:
 
 def parse_deals(lines: DataFrame) -> DataFrame:
     """Deal lines ``date,symbol,client,side,quantity,price``, quoted where numbers have commas; a byte order mark and header lines are skipped."""
-    d = lines.select(F.from_csv(F.regexp_replace("text", "^﻿", ""), "day string, symbol string, client string, side string, quantity string, price string").alias("p")).select("p.*")
-    return d.select(parse_dates(C("day")).alias("date"), F.trim("symbol").alias("symbol"), F.trim("client").alias("client"), F.upper(F.trim("side")).alias("side"), parse_number(C("quantity")).alias("quantity"), parse_number(C("price")).alias("price")).where("date is not null and quantity is not null")
+    line = F.from_csv(F.regexp_replace("text", "^﻿", ""), "day string, symbol string, client string, side string, quantity string, price string")
+    deal = lambda p: F.struct(parse_dates(p["day"]).alias("date"), F.trim(p["symbol"]).alias("symbol"), F.trim(p["client"]).alias("client"), F.upper(F.trim(p["side"])).alias("side"), parse_number(p["quantity"]).alias("quantity"), parse_number(p["price"]).alias("price"))
+    # a filter above would be pushed down, and each line be made and parsed once more for it
+    return lines.select(F.inline(F.filter(F.transform(F.array(line), deal), lambda r: r["date"].isNotNull() & r["quantity"].isNotNull())))
 
 
 def factor_ics(panel: DataFrame, factors: list[str], target: str, last: int = 252, least: int = 5) -> DataFrame:

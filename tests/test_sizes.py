@@ -2,8 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from marlstone import catalog
-from marlstone.operators import sentiment
+from marlstone.operators import history, research, sentiment
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +28,13 @@ def test_an_article_is_scored_once(spark):
     assert len(re.findall(r"split\(lower\(", plan(d))) == 1
     rows = spark.createDataFrame([("a", 1, "x", 0.5, "r"), ("a", 1, "", None, "z"), ("b", 1, "y", None, "r")], "symbol string, date int, source string, score double, scorer string")
     assert [tuple(r) for r in sentiment.daily_sentiment(rows).collect()] == [("a", 1, 0.5, 1, "x", "r")]
+
+
+def test_a_deal_line_is_parsed_once(spark):
+    assert plan(catalog.queries()["parsed_deals"](spark, SF)).count("from_csv") == 1
+    texts = ["2001-02-03", " 2001-02-03 ", "12001-02-03", "03-Feb-2001", "03-feb-2001", "3-Feb-2001", "03/02/2001", "Feb 3, 2001", "Feb 13, 2001", "2001-2-3", "31/02/2001", "x", "", None, "01-02-2001", "2001-02-03x"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*(F.try_to_timestamp(F.trim("t"), F.lit(f)).cast("date") for f in history.DATE_FORMATS))
+    assert [r for r in d.select("t", history.parse_dates(F.col("t")).cast("string")).collect()] == [tuple(r) for r in d.select("t", plain.cast("string")).collect()]
+    lines = spark.createDataFrame([('03-Feb-2001,1,c,sell,"1,000","2.50"',), ("date,symbol,client,side,quantity,price",), (None,)], "text string")
+    assert [str(r["date"]) + r["side"] + str(r["quantity"]) for r in research.parse_deals(lines).collect()] == ["2001-02-03SELL1000.0"]
