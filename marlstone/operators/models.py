@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.cut import cut as written
+
 C = F.col
 FEATURES = ["momentum", "bollinger", "volatility", "volume"]
 
@@ -18,6 +20,7 @@ def forest_scores(panel: DataFrame, label: str = "label", cut: str = "1999-01-01
 
     (symbol, date, features, label in -1, 0, 1). The score is P(1) - P(-1), the verdict the likeliest class.
     """
+    panel = written(panel)  # a fit reads its rows several times over
     day = F.lit(cut).cast("date")
     known = panel.where(C(label).isNotNull()).withColumn("_y", (C(label) + 1).cast("double"))
     train = known.where(C("date") < F.date_sub(day, purge_days))

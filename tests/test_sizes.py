@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone import catalog
 from marlstone.operators import history, research, sentiment
+from marlstone.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +40,24 @@ def test_a_deal_line_is_parsed_once(spark):
     assert [r for r in d.select("t", history.parse_dates(F.col("t")).cast("string")).collect()] == [tuple(r) for r in d.select("t", plain.cast("string")).collect()]
     lines = spark.createDataFrame([('03-Feb-2001,1,c,sell,"1,000","2.50"',), ("date,symbol,client,side,quantity,price",), (None,)], "text string")
     assert [str(r["date"]) + r["side"] + str(r["quantity"]) for r in research.parse_deals(lines).collect()] == ["2001-02-03SELL1000.0"]
+
+
+@pytest.mark.parametrize("name", ["bars", "sessions"])
+def test_bars_are_aggregated_without_sorting_line_items(spark, name):
+    d = adapters.table(spark, SF, name)
+    assert "Window" not in plan(d)
+    used = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "supplier")}
+    want = spark.sql(adapters.SQL[name], **used)
+    assert d.dtypes == want.dtypes and sorted(map(str, d.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_query_of_models_aggregates_a_table_once(spark):
+    asked = []
+
+    def t(name):
+        asked.append(name)
+        return adapters.table(spark, SF, name)
+
+    data = catalog._training(t)
+    assert asked.count("bars") == asked.count("bench") == asked.count("market_regime") == 1
+    assert "Relation" not in plan(data) and "Join" not in plan(data)  # the data set itself is written: fits don't make it anew
