@@ -6,14 +6,14 @@ byte and bit by bit, up to a closing sign. For each decision six predictors, eac
 bit came there in the training documents: for words the contexts are none, the last one, two and three words, the last
 word that is among the most frequent ones (which tells the language), and the end of the last word; within a spelt word they
 are none, the last one, two and three bytes, the word so far, and that with the last frequent word. Their logits are mixed with weights that a gate picks by how much the longest contexts have seen.
-Along a text the weights are adapted, block after block, to what came so far, and a last table refines the outcome.
+Along a text the weights are adapted, block after block, to what came so far.
 
 1. Documents are cut into chunks; a chunk lists its distinct words, and its documents become rows of places in that list. Words
    of training documents are counted over all chunks, which gives the base score and the vocabulary.
 2. The predictors' counts are summed over all training documents. They are whole numbers, so their sums don't depend on how
    documents are dealt over tasks.
-3. Weights and refinement are learnt online from at most ``FIT_ROWS`` training documents in a fixed order, a document's own
-   occurrences taken out. Every document is then scored by itself, so scores don't depend on partitions either.
+3. The weights are learnt from every decision of all training documents, each left out of the counts that tell it: one Newton step from fixed
+   weights, whose sums are whole numbers too. Every document is then scored by itself, so scores don't depend on partitions either.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from marlstone.llm.labelled import held_out
 from marlstone.llm.spool import spool
 from marlstone.llm.tables import PART, summed, table_parts
-from marlstone.llm.textbytes import lower, mix64, slices, span_hash, strings, words
+from marlstone.llm.textbytes import lower, mix64, slices, span_hash, words
 
 VOCABULARY, LEAST = 1 << 17, 2  # words with a code of their own, and how often one occurs at least; all others are spelt
 FREQUENT = 256  # of these, the words that make a context of their own
 ORDERS, SLOT_BITS = 6, 19  # predictors, and slots of each: 24 MiB of counts
-FIT_ROWS, FIT_BYTES, FIT_TOKENS, TURNS = 400, 1 << 20, 1 << 14, 2  # bound on the training documents that weights are learnt from, and on the tokens of one
-GATES, CELLS, KEEP, SMOOTH = 26, 24, 30.0, 0.1
+GATES, SMOOTH, RIDGE = 26, 0.1, 10.0
+UNIT, STEPS, SOME_TOKENS = 64, 1024, 1 << 14  # parts of a logit's and of a probability's unit in the weights' sums, and tokens worked on at once there
 FIRST_BLOCK, LAST_BLOCK = 32, 1024  # tokens between two adaptations along a text: doubling from the first to the last
 RATE = 0.03
 CHUNK_BYTES, TABLE_BYTES, PARTS, MOST_COUNTED = 32 << 20, 16 << 20, 32, 1 << 30
@@ -291,8 +291,6 @@ class Mixer:
     logits: np.ndarray  # ORDERS x slots
     levels: np.ndarray  # 3 x slots: of the contexts 1 to 3
     weights: np.ndarray  # GATES x (ORDERS + 1)
-    fine: np.ndarray  # GATES x CELLS: share of ones, and how much it counts
-    trust: np.ndarray
 
     def inputs(self, slots: np.ndarray, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((ORDERS + 1, slots.shape[1]), np.float32)
@@ -301,53 +299,69 @@ class Mixer:
         x[ORDERS] = 1
         return x, gate(*(np.take(self.levels[k], slots[k + 1]) for k in range(3)), spelt)
 
-    def refine(self, p: np.ndarray, z: np.ndarray, g: np.ndarray) -> np.ndarray:
-        cell = g * CELLS + _cell(z)
-        trust = self.trust.ravel()[cell]
-        return p + 0.5 * trust * (self.fine.ravel()[cell] - p)
 
+def first_weights() -> np.ndarray:
+    return np.tile(np.array([0.2, 0.3, 0.3, 0.3, 0.1, 0.1, 0.0]), (GATES, 1))
 
-def _cell(z: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(z + CELLS / 2), 0, CELLS - 1).astype(np.int64)
 
+def leave_one_out(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For occurrences in training documents, each without itself: logits in 64ths by slot and bit (ORDERS x 2 slots), levels by slot (3 x slots)."""
+    out = np.empty(counts.shape, np.int16)
+    for k in range(ORDERS):
+        n0, n1 = counts[k, :, 0].astype(np.float32), counts[k, :, 1].astype(np.float32)
+        out[k, :, 0] = np.rint(stretch(np.maximum(n0 - 1, 0), n1) * UNIT)
+        out[k, :, 1] = np.rint(stretch(n0, np.maximum(n1 - 1, 0)) * UNIT)
+    return out.reshape(ORDERS, -1), np.stack([level(np.maximum(counts[k].sum(1) - 1, 0)) for k in (1, 2, 3)])
 
-def first_weights() -> np.ndarray:
-    return np.tile(np.array([0.2, 0.3, 0.3, 0.3, 0.1, 0.1, 0.0]), (GATES, 1))
 
+def weight_sums(docs: DataFrame, codes, told) -> np.ndarray:
+    """GATES x (ORDERS + 1) x (ORDERS + 2): by gate the loss's second derivatives in the weights and, in the last column, the first ones, over every decision of all documents.
 
-def learn(texts: pa.Array, counts: np.ndarray, codes: Codes) -> Mixer:
-    """Weights by gate, learnt online over the texts in order, then the refining table. A document's own occurrences are taken out of the counts."""
-    weights, speed = first_weights(), np.full((GATES, ORDERS + 1), 1e-2)
-    fine, seen = np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
-    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-    held = []
-    for _, data, off in slices(batch, most=1):
-        t = tokens_of(data, off, codes)
-        _, slots, bit, spelt = decisions(t, np.arange(min(len(t.code), FIT_TOKENS)), codes)
-        n = counts[np.arange(ORDERS)[:, None], slots].astype(np.float32)
-        for k in range(ORDERS):
-            own, times = np.unique(slots[k] * 2 + bit, return_counts=True)
-            for b in (0, 1):
-                near = np.minimum(np.searchsorted(own, slots[k] * 2 + b), len(own) - 1)
-                n[k, :, b] = np.maximum(n[k, :, b] - np.where(own[near] == slots[k] * 2 + b, times[near], 0), 0)
-        x = np.concatenate([stretch(n[:, :, 0], n[:, :, 1]), np.ones((1, len(bit)), np.float32)])
-        held.append((x, gate(*(level(n[k].sum(1)) for k in (1, 2, 3)), spelt), bit))
-    for turn in range(TURNS + 1):
-        for x, g, bit in held:
-            z = np.clip((x * weights[g].T).sum(0), -14, 14)
-            if turn == TURNS:
-                cell = g * CELLS + _cell(z)
-                fine += np.bincount(cell, bit, GATES * CELLS)
-                seen += np.bincount(cell, minlength=GATES * CELLS)
-                continue
-            err = 1 / (1 + np.exp(-z)) - bit
-            mass = np.maximum(np.bincount(g, minlength=GATES), 1)
-            grad = np.column_stack([np.bincount(g, err * x[k], GATES) for k in range(ORDERS + 1)]) / mass[:, None]
-            speed += grad**2
-            weights -= 0.1 * grad / np.sqrt(speed)
-    share = (fine + 0.5) / (seen + 1)
+    Inputs, errors and variances are whole multiples of their units, so sums don't depend on how documents are dealt over tasks.
+    """
+    n = ORDERS + 1
+    start = first_weights()
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((GATES, n, n + 1), np.int64)
+        logits, levels = told.value
+        for batch in it:
+            for _, data, off in slices(batch):
+                t = tokens_of(data, off, codes.value)
+                for a in range(0, len(t.code), SOME_TOKENS):
+                    _, slots, bit, spelt = decisions(t, np.arange(a, min(len(t.code), a + SOME_TOKENS)), codes.value)
+                    g = gate(*(np.take(levels[k], slots[k + 1]) for k in range(3)), spelt).astype(np.int8)
+                    order = np.argsort(g, kind="stable")
+                    bound = np.searchsorted(g[order], np.arange(GATES + 1))
+                    x = np.full((n, len(bit)), UNIT, np.int16)
+                    for k in range(ORDERS):
+                        x[k] = np.take(logits[k], (slots[k] * 2 + bit)[order])
+                    bit = bit[order]
+                    for k in np.flatnonzero(np.diff(bound)):
+                        own = slice(bound[k], bound[k + 1])
+                        rows = x[:, own].astype(np.float64)
+                        z = np.zeros(rows.shape[1])
+                        for row, w in zip(rows, start[k] / UNIT, strict=True):
+                            z += w * row
+                        p = 1 / (1 + np.exp(-np.clip(z, -14, 14)))
+                        var = np.rint(p * (1 - p) * STEPS)
+                        total[k, :, :n] += ((rows * var) @ rows.T).astype(np.int64)
+                        total[k, :, n] += (rows @ np.rint((p - bit[own]) * STEPS)).astype(np.int64)
+        yield from table_parts(total, 1)
+
+    sums = summed(docs.select("text").mapInArrow(batches, PART), 1, GATES * n * (n + 1)).reshape(GATES, n, n + 1).astype(np.float64)
+    return np.concatenate([sums[:, :, :n] / (UNIT * UNIT * STEPS), sums[:, :, n:] / (UNIT * STEPS)], axis=2)
+
+
+def learned_weights(sums: np.ndarray) -> np.ndarray:
+    """One Newton step from the first weights; those of a gate that has seen little stay near them."""
+    step = np.linalg.solve(sums[:, :, :-1] + RIDGE * np.eye(ORDERS + 1), sums[:, :, -1:])[:, :, 0]
+    return first_weights() - step
+
+
+def mixer_of(counts: np.ndarray, weights: np.ndarray) -> Mixer:
     total = counts.sum(2)
-    return Mixer(stretch(counts[:, :, 0].astype(np.float32), counts[:, :, 1].astype(np.float32)), np.stack([level(total[k]) for k in (1, 2, 3)]), weights, share.reshape(GATES, CELLS), (seen / (seen + KEEP)).reshape(GATES, CELLS))
+    return Mixer(stretch(counts[:, :, 0].astype(np.float32), counts[:, :, 1].astype(np.float32)), np.stack([level(total[k]) for k in (1, 2, 3)]), weights)
 
 
 def log10_probabilities(data: np.ndarray, off: np.ndarray, mixer: Mixer, codes: Codes) -> np.ndarray:
@@ -370,8 +384,7 @@ def log10_probabilities(data: np.ndarray, off: np.ndarray, mixer: Mixer, codes:
             z += x[k] * (np.take(weights[k], g) + np.take(own[k], kind))
         np.clip(z, -14, 14, out=z)
         p = 1 / (1 + np.exp(-z))
-        q = np.clip(mixer.refine(p, z, g), 1e-7, 1 - 1e-7)
-        out += np.bincount(text, np.log10(np.where(bit == 1, q, 1 - q)), n)
+        out += np.bincount(text, np.log10(np.where(bit == 1, p, 1 - p)), n)
         err = p - bit
         many = np.sqrt(np.maximum(np.bincount(kind, minlength=2 * n), 1))
         for k in range(ORDERS + 1):
@@ -403,10 +416,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     codes = spark.sparkContext.broadcast(Codes.build(hashes, counts, int(sums[0]) - int(counts.sum()), ends))
     train = docs.where(~held_out(F.col("doc_id"), 10)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = count_tables(train, codes, size)
-    order = F.xxhash64("doc_id", "text")
-    some = train.where(F.octet_length("text") <= FIT_BYTES // 8).orderBy(order, "doc_id").limit(FIT_ROWS).select("text").toArrow().column(0).combine_chunks()
-    fits = int((strings(some)[1][1:] <= FIT_BYTES).sum())
-    mixer = spark.sparkContext.broadcast(learn(some.slice(0, fits), table, codes.value))
+    told_once = spark.sparkContext.broadcast(leave_one_out(table))
+    sums_of_weights = weight_sums(train, codes, told_once)
+    told_once.unpersist()
+    mixer = spark.sparkContext.broadcast(mixer_of(table, learned_weights(sums_of_weights)))
     below = n_train + 0.1 * (distinct + 1)
     end_base = math.log10((ends + 0.1) / below)
 

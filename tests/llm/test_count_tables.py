@@ -25,3 +25,28 @@ def test_no_rows_and_no_counts(spark):
     none = lambda it: (b for batch in it for b in table_parts(np.zeros(8, np.int32), 2))
     assert summed(spark.range(4).mapInArrow(none, PART), 2, 8).sum() == 0
     assert summed(spark.range(0).mapInArrow(none, PART), 2, 8).shape == (2, 4)
+
+
+def test_weights_of_the_mixer_are_learnt_from_every_training_document(spark):
+    """More documents, and longer ones, than any sample: the sums hold each decision of all of them, whatever the partitions."""
+    import numpy as np
+    import pyarrow as pa
+
+    from marlstone.llm import mixing as m
+
+    texts = [f"the {k % 7} cat {k % 3} sat on mat{k}" for k in range(900)] + ["a long text of many words " * 6000]
+    codes = m.Codes.build(np.array([], np.uint64), np.array([], np.int64), 0, 1)
+    counts = np.zeros((m.ORDERS, 1 << m.SLOT_BITS, 2), np.int64)
+    counts[0, :, 1] = 3
+    told = m.leave_one_out(counts)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    b = [spark.sparkContext.broadcast(x) for x in (codes, told)]
+    got = m.weight_sums(docs.repartition(5), *b)
+    assert (got == m.weight_sums(docs.repartition(2), *b)).all()
+    total = 0
+    for _, data, off in m.slices(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])):
+        t = m.tokens_of(data, off, codes)
+        total += len(m.decisions(t, np.arange(len(t.code)), codes)[2])
+    # the constant input's entry is the sum of p(1 - p), which no decision leaves at 0 here
+    assert got[:, -1, m.ORDERS].sum() > 0.07 * total
+    assert m.learned_weights(got).shape == (m.GATES, m.ORDERS + 1)
