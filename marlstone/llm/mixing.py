@@ -37,7 +37,9 @@ VOCABULARY, LEAST = 1 << 17, 2  # words with a code of their own, and how often
 FREQUENT = 256  # of these, the words that make a context of their own
 ORDERS, SLOT_BITS = 6, 19  # predictors, and slots of each: 24 MiB of counts
 GATES, SMOOTH, RIDGE = 26, 0.1, 10.0
-UNIT, STEPS, SOME_TOKENS = 64, 1024, 1 << 14  # parts of a logit's and of a probability's unit in the weights' sums, and tokens worked on at once there
+UNIT, STEPS = 64, 1024  # parts of a logit's and of a probability's unit in the weights' sums
+SOME_TOKENS, AT_ONCE, ROWS = 1 << 12, 1 << 18, 1 << 12  # tokens whose decisions are made at once, few enough for a core's cache; decisions sorted by gate at once, and multiplied at once
+CLIP = 14  # bound of a decision's logit
 FIRST_BLOCK, LAST_BLOCK = 32, 1024  # tokens between two adaptations along a text: doubling from the first to the last
 RATE = 0.03
 CHUNK_BYTES, TABLE_BYTES, PARTS, MOST_COUNTED = 32 << 20, 16 << 20, 32, 1 << 30
@@ -110,9 +112,9 @@ class Codes:
     """Binary codes: ids 0 .. V - 1 are words by ``hashes`` (sorted), V the escape, V + 1 the end, V + 2 + b the byte b."""
 
     hashes: np.ndarray
-    start: np.ndarray  # of each code in ``nodes`` and ``bits``
+    start: np.ndarray  # of each code in ``steps`` and ``bits``
     size: np.ndarray
-    nodes: np.ndarray
+    steps: np.ndarray  # twice the node, plus the bit
     bits: np.ndarray
     frequent: np.ndarray  # whether a code is one of the FREQUENT commonest words
 
@@ -131,23 +133,24 @@ class Codes:
             parent[a], parent[b], side[a], side[b] = top, top, 0, 1
             heapq.heappush(heap, (x + y, top))
             top += 1
-        nodes, bits, size = [], [], []
-        for k in range(v):
-            path = []
+        nodes, bits = [], []
+        start, size = np.zeros(v + 256, np.int64), np.full(v + 256, 8)
+        for w in np.argsort(-np.array(weights), kind="stable").tolist():  # paths of frequent words lie close together, which a core's cache likes
+            path, k = [], w
             while k != top - 1:
                 path.append((parent[k], side[k]))
                 k = parent[k]
+            start[w], size[w] = len(nodes), len(path)
             nodes += [n for n, _ in reversed(path)]
             bits += [s for _, s in reversed(path)]
-            size.append(len(path))
+        start[v:] = len(nodes) + 8 * np.arange(256)
         b = np.arange(256)[:, None]
         deep = np.arange(8)[None, :]
         nodes = np.concatenate([np.array(nodes, np.int64), (1 << 40) + ((b | 256) >> (8 - deep)).ravel()])
         bits = np.concatenate([np.array(bits, np.int8), ((b >> (7 - deep)) & 1).ravel().astype(np.int8)])
-        size = np.array(size + [8] * 256, np.int64)
         frequent = np.zeros(len(size), bool)
         frequent[np.lexsort((hashes, -counts))[:FREQUENT]] = True
-        return Codes(hashes, np.cumsum(size) - size, size, nodes.astype(np.uint64) * _C1, bits, frequent)
+        return Codes(hashes, start, size, nodes << 1 | bits, bits, frequent)
 
 
 @dataclass
@@ -205,60 +208,95 @@ def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-def decisions(t: Tokens, some: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions of the tokens ``some``, in order: token (place in ``some``), slots (ORDERS x decisions), bit, and whether it spells."""
+def decisions(t: Tokens, some: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The decisions of the tokens ``some``: owner by symbol (its token's place in ``some``), slots (ORDERS x decisions), bit, whether it spells by symbol, and bounds.
+
+    Symbols are tokens and spelt signs, those of long codes first. Decisions go by depth: those from ``bounds[d]`` to ``bounds[d + 1]`` are
+    the d-th ones of the first symbols, so that what holds for a symbol is added to its decisions by slices.
+    """
     code = t.code[some]
     spelt = np.flatnonzero(code == len(codes.hashes))
-    length = t.end[some[spelt]] - t.start[some[spelt]]
-    extra = np.zeros(len(some), np.int64)
-    extra[spelt] = length + 1
-    begin = np.arange(len(some)) + np.cumsum(extra) - extra
-    total = len(some) + int(extra.sum())
-    symbol, owner = np.empty(total, np.int64), np.empty(total, np.int64)
-    context = np.empty((ORDERS, total), np.uint64)
-    symbol[begin], owner[begin], context[:, begin] = code, np.arange(len(some)), t.context[:, some]
+    context, symbol, owner = t.context[:, some], code, np.arange(len(some))
     if len(spelt):
-        at = ranges(begin[spelt] + 1, length + 1)
+        length = t.end[some[spelt]] - t.start[some[spelt]]
         source = ranges(t.start[some[spelt]], length + 1)
         place = ranges(np.zeros(len(spelt), np.int64), length + 1)
         closes = place == np.repeat(length, length + 1)
         sign = np.where(closes, CLOSE, t.data[np.minimum(source, len(t.data) - 1)]).astype(np.uint64)
-        symbol[at], owner[at] = len(codes.hashes) + 2 + sign.astype(np.int64), np.repeat(spelt, length + 1)
-        run = np.zeros(len(at), np.uint64)
-        context[0, at] = np.uint64(6)
+        more = np.empty((ORDERS, len(sign)), np.uint64)
+        run = np.zeros(len(sign), np.uint64)
+        more[0] = np.uint64(6)
         for k in (1, 2, 3):
-            b = np.zeros(len(at), np.uint64)
+            b = np.zeros(len(sign), np.uint64)
             b[k:] = sign[:-k] + np.uint64(1)
             b[place < k] = 0
             run = run * _C1 + b
-            context[k, at] = mix64(run + np.uint64(6 + k))
+            more[k] = mix64(run + np.uint64(6 + k))
         marks = mix64((sign + np.uint64(1)) * _C2 ^ place.astype(np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks)])
         head = np.cumsum(length + 1) - (length + 1)
         prefix = mix64(sums[:-1] - np.repeat(sums[head], length + 1) + np.uint64(10))
-        context[4, at] = prefix
-        context[5, at] = mix64(prefix * _C1 + np.repeat(t.topic[some[spelt]], length + 1))
+        more[4] = prefix
+        more[5] = mix64(prefix * _C1 + np.repeat(t.topic[some[spelt]], length + 1))
+        context = np.concatenate([context, more], axis=1)
+        symbol = np.concatenate([symbol, len(codes.hashes) + 2 + sign.astype(np.int64)])
+        owner = np.concatenate([owner, np.repeat(spelt, length + 1)])
     size = codes.size[symbol]
-    where = ranges(codes.start[symbol], size)
-    node, bit = codes.nodes[where], codes.bits[where]
-    slots = np.empty((ORDERS, len(node)), np.int32)
-    for k in range(ORDERS):
-        slots[k] = ((np.repeat(context[k], size) ^ node) * _C2) >> np.uint64(64 - SLOT_BITS)
-    return np.repeat(owner, size), slots, bit, np.repeat(symbol >= len(codes.hashes) + 2, size)
+    order = np.argsort(-size.astype(np.int16), kind="stable")
+    size, symbol, context = size[order], symbol[order], np.take(context, order, axis=1)
+    deep = int(size[0]) if len(size) else 0
+    live = len(size) - np.searchsorted(size[::-1], np.arange(deep), side="right")  # symbols with a decision at each depth
+    bounds = [0, *np.cumsum(live).tolist()]
+    begin = codes.start[symbol]
+    where = np.empty(bounds[-1], np.int64)
+    for d in range(deep):
+        np.add(begin[: live[d]], d, out=where[bounds[d] : bounds[d + 1]])
+    steps = np.take(codes.steps, where, mode="clip")
+    bit = (steps & 1).astype(np.int8)
+    node = (steps >> 1).view(np.uint64) * _C1
+    mixed = np.empty((ORDERS, len(node)), np.uint64)
+    for d in range(deep):
+        np.bitwise_xor(context[:, : live[d]], node[bounds[d] : bounds[d + 1]], out=mixed[:, bounds[d] : bounds[d + 1]])
+    mixed *= _C2
+    mixed >>= np.uint64(64 - SLOT_BITS)
+    return owner[order], mixed.view(np.int64), bit, symbol >= len(codes.hashes) + 2, bounds
+
+
+def spread(of_symbols: np.ndarray, bounds: list[int], out: np.ndarray) -> np.ndarray:
+    """Add each symbol's value to its decisions in ``out``, row by row."""
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        out[..., a:b] += of_symbols[..., : b - a]
+    return out
+
+
+def sizes(bounds: list[int]) -> np.ndarray:
+    """How many decisions each symbol has."""
+    live = np.diff(bounds)
+    return np.searchsorted(-live, -np.arange(live[0] if len(live) else 0), side="left")
+
+
+def gathered(of_decisions: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """The sum of each symbol's decisions, row by row."""
+    out = np.zeros_like(of_decisions[..., : bounds[1] if len(bounds) > 1 else 0])
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        out[..., : b - a] += of_decisions[..., a:b]
+    return out
 
 
 def count_tables(docs: DataFrame, codes, size: int) -> np.ndarray:
     """ORDERS x slots x 2: how often either bit came under each hashed context, over all documents, in 64 bits. Tables are summed part by part in Spark."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, done = np.zeros((ORDERS, 2 << SLOT_BITS), np.int32), 0
+        table, one, done = np.zeros((ORDERS, 2 << SLOT_BITS), np.int32), np.int32(1), 0
         for batch in it:
             for _, data, off in slices(batch):
                 t = tokens_of(data, off, codes.value)
-                for a in range(0, len(t.code), 1 << 17):
-                    _, slots, bit, _ = decisions(t, np.arange(a, min(len(t.code), a + (1 << 17))), codes.value)
+                for a in range(0, len(t.code), SOME_TOKENS):
+                    _, slots, bit, _, _ = decisions(t, np.arange(a, min(len(t.code), a + SOME_TOKENS)), codes.value)
+                    slots <<= 1
+                    slots |= bit
                     for k in range(ORDERS):
-                        table[k] += np.bincount(slots[k] * 2 + bit, minlength=2 << SLOT_BITS).astype(np.int32)
+                        np.add.at(table[k], slots[k], one)
                     done += len(bit)
                     if done > MOST_COUNTED:  # a count in 32 bits can't pass 2^31 before its table is handed on
                         yield from table_parts(table, PARTS)
@@ -278,76 +316,110 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.searchsorted([0.5, 1.5, 6], n).astype(np.int8)
 
 
-def gate(one: np.ndarray, two: np.ndarray, three: np.ndarray, spelt: np.ndarray) -> np.ndarray:
-    """The longest context that has seen anything, and how much it has; apart for spelt signs."""
-    out = np.where(three > 0, 6 + three, np.where(two > 0, 3 + two, one))
-    return out + 13 * spelt
+def gate(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """The longest context that has seen anything, and how much it has; spelt signs have gates of their own, 13 further on."""
+    return np.maximum(np.maximum(one, two + np.int8(3) * (two > 0)), three + np.int8(6) * (three > 0))
 
 
 @dataclass
 class Mixer:
-    """What scoring needs, the predictors' logits as a table: broadcast, 16 MiB whatever the corpus."""
+    """What scoring needs, the predictors' logits as a table: broadcast, 12 MiB whatever the corpus."""
 
-    logits: np.ndarray  # ORDERS x slots
-    levels: np.ndarray  # 3 x slots: of the contexts 1 to 3
+    logits: np.ndarray  # ORDERS x slots; the last two bits of those of the contexts 1 to 3 tell their levels
     weights: np.ndarray  # GATES x (ORDERS + 1)
 
-    def inputs(self, slots: np.ndarray, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((ORDERS + 1, slots.shape[1]), np.float32)
+    def inputs(self, slots: np.ndarray, spelt: np.ndarray, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        x = np.empty(slots.shape, np.float32)
         for k in range(ORDERS):
-            np.take(self.logits[k], slots[k], out=x[k])
-        x[ORDERS] = 1
-        return x, gate(*(np.take(self.levels[k], slots[k + 1]) for k in range(3)), spelt)
+            np.take(self.logits[k], slots[k], out=x[k], mode="clip")
+        levels = (x[1:4].view(np.int32) & 3).astype(np.int8)
+        return x, spread(13 * spelt.astype(np.int8), bounds, gate(*levels))
 
 
 def first_weights() -> np.ndarray:
     return np.tile(np.array([0.2, 0.3, 0.3, 0.3, 0.1, 0.1, 0.0]), (GATES, 1))
 
 
-def leave_one_out(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For occurrences in training documents, each without itself: logits in 64ths by slot and bit (ORDERS x 2 slots), levels by slot (3 x slots)."""
+def leave_one_out(counts: np.ndarray) -> np.ndarray:
+    """For occurrences in training documents, each without itself, by slot and bit (ORDERS x 2 slots): four times the logit in 64ths, plus the level."""
     out = np.empty(counts.shape, np.int16)
     for k in range(ORDERS):
         n0, n1 = counts[k, :, 0].astype(np.float32), counts[k, :, 1].astype(np.float32)
         out[k, :, 0] = np.rint(stretch(np.maximum(n0 - 1, 0), n1) * UNIT)
         out[k, :, 1] = np.rint(stretch(n0, np.maximum(n1 - 1, 0)) * UNIT)
-    return out.reshape(ORDERS, -1), np.stack([level(np.maximum(counts[k].sum(1) - 1, 0)) for k in (1, 2, 3)])
+        out[k] <<= 2
+        out[k] |= level(np.maximum(counts[k].sum(1) - 1, 0))[:, None]
+    return out.reshape(ORDERS, -1)
 
 
-def weight_sums(docs: DataFrame, codes, told) -> np.ndarray:
-    """GATES x (ORDERS + 1) x (ORDERS + 2): by gate the loss's second derivatives in the weights and, in the last column, the first ones, over every decision of all documents.
+def first_errors() -> tuple[np.ndarray, np.ndarray]:
+    """The probability that the first weights give and its variance, in steps, by ten times their sum over inputs in 64ths; the middle is 0."""
+    z = np.arange(-(1 << 15), 1 << 15) / (10 * UNIT)
+    p = 1 / (1 + np.exp(-np.clip(z, -CLIP, CLIP)))
+    return np.rint(p * STEPS).astype(np.int16), np.rint(p * (1 - p) * STEPS).astype(np.int16)
+
+
+class WeightSums:
+    """By gate the loss's second derivatives in the weights and, in the last column, the first ones, at the first weights.
 
     Inputs, errors and variances are whole multiples of their units, so sums don't depend on how documents are dealt over tasks.
     """
+
+    def __init__(self, told: np.ndarray):
+        self.told = told.copy()  # an array of its own may lie in large pages, which an unpickled one doesn't
+        self.total = np.zeros((GATES, ORDERS + 1, ORDERS + 2), np.int64)
+        self.tenths = np.rint(first_weights()[0, :ORDERS] * 10).astype(np.int16)  # the first weights are the same for all gates
+        self.chance, self.variance = first_errors()
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def see(self, t: Tokens, codes: Codes) -> None:
+        for a in range(0, len(t.code), SOME_TOKENS):
+            _, slots, bit, spelt, bounds = decisions(t, np.arange(a, min(len(t.code), a + SOME_TOKENS)), codes)
+            slots <<= 1
+            slots |= bit
+            x = np.empty(slots.shape, np.int16)
+            for k in range(ORDERS):
+                np.take(self.told[k], slots[k], out=x[k], mode="clip")
+            g = spread(13 * spelt.astype(np.int8), bounds, gate(*(x[1:4] & 3).astype(np.int8)))
+            x >>= 2
+            z = np.zeros(len(bit), np.int16)
+            for row, w in zip(x, self.tenths, strict=True):
+                z += row * w
+            z = z.astype(np.int64) + (1 << 15)
+            self.held.append((x, g, np.take(self.chance, z) - bit * np.int16(STEPS), np.take(self.variance, z)))
+            self.size += len(bit)
+            if self.size >= AT_ONCE:
+                self.add()
+
+    def add(self) -> None:
+        if not self.size:
+            return
+        x, g, err, var = (np.concatenate(c, axis=-1) for c in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        order = np.argsort(g, kind="stable")
+        bound = np.searchsorted(g[order], np.arange(GATES + 1))
+        for k in np.flatnonzero(np.diff(bound)).tolist():
+            for a in range(bound[k], bound[k + 1], ROWS):
+                own = order[a : min(a + ROWS, bound[k + 1])]
+                rows, told = np.full((ORDERS + 1, len(own)), float(UNIT)), np.empty((ORDERS + 2, len(own)))
+                rows[:ORDERS] = np.take(x, own, axis=1)
+                np.multiply(rows, var[own], out=told[:-1])
+                told[-1] = err[own]
+                self.total[k] += (rows @ told.T).astype(np.int64)
+
+
+def weight_sums(docs: DataFrame, codes, told) -> np.ndarray:
+    """GATES x (ORDERS + 1) x (ORDERS + 2): the ``WeightSums`` over every decision of all documents."""
     n = ORDERS + 1
-    start = first_weights()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((GATES, n, n + 1), np.int64)
-        logits, levels = told.value
+        out = WeightSums(told.value)
         for batch in it:
             for _, data, off in slices(batch):
-                t = tokens_of(data, off, codes.value)
-                for a in range(0, len(t.code), SOME_TOKENS):
-                    _, slots, bit, spelt = decisions(t, np.arange(a, min(len(t.code), a + SOME_TOKENS)), codes.value)
-                    g = gate(*(np.take(levels[k], slots[k + 1]) for k in range(3)), spelt).astype(np.int8)
-                    order = np.argsort(g, kind="stable")
-                    bound = np.searchsorted(g[order], np.arange(GATES + 1))
-                    x = np.full((n, len(bit)), UNIT, np.int16)
-                    for k in range(ORDERS):
-                        x[k] = np.take(logits[k], (slots[k] * 2 + bit)[order])
-                    bit = bit[order]
-                    for k in np.flatnonzero(np.diff(bound)):
-                        own = slice(bound[k], bound[k + 1])
-                        rows = x[:, own].astype(np.float64)
-                        z = np.zeros(rows.shape[1])
-                        for row, w in zip(rows, start[k] / UNIT, strict=True):
-                            z += w * row
-                        p = 1 / (1 + np.exp(-np.clip(z, -14, 14)))
-                        var = np.rint(p * (1 - p) * STEPS)
-                        total[k, :, :n] += ((rows * var) @ rows.T).astype(np.int64)
-                        total[k, :, n] += (rows @ np.rint((p - bit[own]) * STEPS)).astype(np.int64)
-        yield from table_parts(total, 1)
+                out.see(tokens_of(data, off, codes.value), codes.value)
+        out.add()
+        yield from table_parts(out.total, 1)
 
     sums = summed(docs.select("text").mapInArrow(batches, PART), 1, GATES * n * (n + 1)).reshape(GATES, n, n + 1).astype(np.float64)
     return np.concatenate([sums[:, :, :n] / (UNIT * UNIT * STEPS), sums[:, :, n:] / (UNIT * STEPS)], axis=2)
@@ -360,8 +432,12 @@ def learned_weights(sums: np.ndarray) -> np.ndarray:
 
 
 def mixer_of(counts: np.ndarray, weights: np.ndarray) -> Mixer:
-    total = counts.sum(2)
-    return Mixer(stretch(counts[:, :, 0].astype(np.float32), counts[:, :, 1].astype(np.float32)), np.stack([level(total[k]) for k in (1, 2, 3)]), weights)
+    logits = stretch(counts[:, :, 0].astype(np.float32), counts[:, :, 1].astype(np.float32)).astype(np.float32)
+    for k in (1, 2, 3):
+        told = logits[k].view(np.int32)
+        told &= ~3
+        told |= level(counts[k].sum(1))
+    return Mixer(logits, weights)
 
 
 def log10_probabilities(data: np.ndarray, off: np.ndarray, mixer: Mixer, codes: Codes) -> np.ndarray:
@@ -369,30 +445,39 @@ def log10_probabilities(data: np.ndarray, off: np.ndarray, mixer: Mixer, codes:
     t = tokens_of(data, off, codes)
     n = len(off) - 1
     size = np.diff(t.first)
-    out, own, weights = np.zeros(n), np.zeros((ORDERS + 1, 2 * n)), np.ascontiguousarray(mixer.weights.T)  # each text's changes of the weights, apart for spelt signs
+    weights = np.ascontiguousarray(mixer.weights.T, np.float32)
+    out, own = np.zeros(n), np.zeros((ORDERS + 1, 2 * n))  # each text's changes of the weights, apart for spelt signs
     at, step = 0, FIRST_BLOCK
     live = np.arange(n)
     while len(live):
         length = np.minimum(size[live] - at, step)
-        owner, slots, bit, spelt = decisions(t, ranges(t.first[live] + at, length), codes)
-        text = np.repeat(live, length)[owner]
-        kind = text + n * spelt
-        x, g = mixer.inputs(slots, spelt)
-        g = g.astype(np.intp)
-        z = np.zeros(len(bit))
-        for k in range(ORDERS + 1):
-            z += x[k] * (np.take(weights[k], g) + np.take(own[k], kind))
-        np.clip(z, -14, 14, out=z)
-        p = 1 / (1 + np.exp(-z))
-        out += np.bincount(text, np.log10(np.where(bit == 1, p, 1 - p)), n)
-        err = p - bit
-        many = np.sqrt(np.maximum(np.bincount(kind, minlength=2 * n), 1))
-        for k in range(ORDERS + 1):
-            own[k] -= RATE * np.bincount(kind, err * x[k], 2 * n) / many
+        upto = np.cumsum(length)
+        for some in np.split(np.arange(len(live)), np.flatnonzero(np.diff((upto - 1) // SOME_TOKENS)) + 1):  # texts don't touch each other, so a few go at once
+            texts = live[some]
+            owner, slots, bit, spelt, bounds = decisions(t, ranges(t.first[texts] + at, length[some]), codes)
+            text = np.repeat(texts, length[some])[owner]
+            kind = text + n * spelt
+            x, g = mixer.inputs(slots, spelt, bounds)
+            mixed = np.empty((ORDERS + 1, len(bit)), np.float32)
+            g = g.astype(np.intp)
+            for k in range(ORDERS + 1):
+                np.take(weights[k], g, out=mixed[k], mode="clip")
+            spread(np.take(own, kind, axis=1).astype(np.float32), bounds, mixed)
+            mixed[:ORDERS] *= x
+            z = np.clip(mixed.sum(0), -CLIP, CLIP)
+            sign = (1 - 2 * bit).astype(np.float32)  # -1 for a set bit
+            odds = np.exp(z * sign)  # of the other bit
+            err = mixed[ORDERS]
+            np.multiply(odds / (1 + odds), sign, out=err)
+            np.multiply(x, err, out=mixed[:ORDERS])
+            out -= np.bincount(text, gathered(np.log1p(odds), bounds), n)
+            many = np.sqrt(np.maximum(np.bincount(kind, sizes(bounds), 2 * n), 1))
+            for k, change in enumerate(gathered(mixed, bounds)):
+                own[k] -= RATE * np.bincount(kind, change, 2 * n) / many
         at += step
         step = min(2 * step, LAST_BLOCK)
         live = live[size[live] > at]
-    return out
+    return out / math.log(10)
 
 
 # ------------------------------------------------------------------- query
@@ -424,9 +509,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     end_base = math.log10((ends + 0.1) / below)
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Mixer(mixer.value.logits.copy(), mixer.value.weights)  # as in WeightSums
         for batch in it:
             for part, data, off in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(log10_probabilities(data, off, mixer.value, codes.value))], names=["doc_id", "tk", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(log10_probabilities(data, off, own, codes.value))], names=["doc_id", "tk", "score"])
 
     def base(left: pa.Table, right: pa.Table) -> pa.Table:
         n = np.zeros(left.num_rows, np.int64)
