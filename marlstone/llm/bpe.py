@@ -1,6 +1,6 @@
 """Byte-level BPE with a lexicon of frequent words (operator 8).
 
-Words (the pieces that the tokenizer's pattern cuts a text into) are counted over all documents. The most frequent ones are
+Words (the pieces that the tokenizer's pattern cuts a text into, found by array operations, see ``wordcache``) are counted over all documents. The most frequent ones are
 merged once and compiled into a minimal acyclic transducer: one automaton that shares prefixes and suffixes, whose arcs count
 the words they skip, so that a word's walk gives its place in a table of ids. The transducer is one file of plain arrays that
 Spark hands to every executor and every Python worker maps into memory. Words that it lacks are merged exactly.
@@ -20,29 +20,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.spool import spool
-from marlstone.llm.textbytes import slices
+from marlstone.llm.textbytes import byte_alphabet, slices, span_digest, strings
+from marlstone.llm.wordcache import WordEncoder, code_point_classes, cut_words
 
-# The pattern and the special token of the vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_WORDS = 1 << 17  # bound on the words in the transducer
 KNOWN_WORDS = 1 << 19  # bound on the words that a worker remembers between batches
 COUNTED_WORDS = 1 << 18  # distinct words after which a counting task hands on what it has
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The sign that stands for each byte in the vocabulary file: printable bytes for themselves, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     """tokens: bytes by id; pairs: (left id, right id) to (rank, merged id); special: texts that are one token."""
@@ -213,33 +206,25 @@ class Transducer:
         return Transducer({k: raw[len(line) + at : len(line) + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in json.loads(line).items()})
 
 
-def pieces(text: str, special: regex.Pattern, word: regex.Pattern) -> list[str]:
-    """A text's words; special tokens in it are words of their own."""
-    out: list[str] = []
-    at = 0
-    for m in special.finditer(text):
-        out += word.findall(text, at, m.start())
-        out.append(m[0])
-        at = m.end()
-    return out + word.findall(text, at) if at else word.findall(text)
-
-
-def count_words(docs: DataFrame, special: list[str], text: str = "text") -> DataFrame:
-    """(word, n) over all documents, summed within tasks before the shuffle."""
+def count_words(docs: DataFrame, classes, text: str = "text") -> DataFrame:
+    """(word, n) over all documents, summed within tasks before the shuffle. Special tokens' strings count as ordinary text: counts only choose the lexicon."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, word = regex.compile("|".join(map(regex.escape, special)) or r"(?!)"), regex.compile(PATTERN)
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
 
         def hand_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
             seen.clear()
             return out
 
         for batch in it:
-            for t in batch.column(0):
-                if (s := t.as_py()) is not None:
-                    seen.update(pieces(s, cut, word))
+            for _, data, off in slices(batch, text):
+                starts = cut_words(data, off, classes.value)
+                ends = np.append(starts[1:], len(data))
+                _, at, n = np.unique(span_digest(data, starts, ends)[0], return_index=True, return_counts=True)
+                raw = data.tobytes()
+                for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
+                    seen[raw[a:b]] += k
                 if len(seen) > COUNTED_WORDS:
                     yield hand_on()
         yield hand_on()
@@ -247,14 +232,13 @@ def count_words(docs: DataFrame, special: list[str], text: str = "text") -> Data
     return docs.select(text).mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS) -> Transducer:
+def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, classes, size: int = LEXICON_WORDS) -> Transducer:
     """The most frequent words of all documents, ``size`` at most, as a transducer.
 
     A histogram of counts by eighths of a power of two gives the count from which on words fit in; no task sorts them all.
     Words that stand in the corpus once are never among them.
     """
-    special = list(vocabulary.special)
-    counts = spool(count_words(docs, special).where(F.col("n") >= 2), "words").where(~F.col("word").isin(special or [""]))
+    counts = spool(count_words(docs, classes).where(F.col("n") >= 2), "words")
     level = F.floor(F.log2("n") * 8).cast("int")
     total, cut = 0, None
     for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -267,42 +251,67 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_W
     return Transducer.build(words, [merge_word([single[b] for b in w], vocabulary.pairs) for w in words])
 
 
-class Encoder:
-    """Encodes in a worker. Ids are kept as text joined by commas, as that is what the digest is of."""
+class Encoder(WordEncoder):
+    """Encodes in a worker. Of a word met before, its ids as text joined by commas, as the digest is of that, and the bytes that these ids decode to are kept."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
-        self.vocabulary, self.lexicon, self.single = vocabulary, lexicon, vocabulary.single()
+    def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, classes: np.ndarray):
+        self.vocabulary, self.lexicon, self.classes, self.single = vocabulary, lexicon, classes, vocabulary.single()
         self.cut = regex.compile("|".join(map(regex.escape, vocabulary.special)) or r"(?!)")
-        self.word = regex.compile(PATTERN)
-        self.bytes_of = {str(i): t for i, t in vocabulary.tokens.items()}
-        self.known: dict[str, str] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        super().forget()
+        self.texts: list[str] = []
+        self.decoded: list[bytes] = []
 
-    def learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
         first, ids = self.lexicon.first, self.lexicon.ids
-        for w, b, at in zip(words, raw, self.lexicon.places(raw).tolist(), strict=True):
-            if w in self.vocabulary.special:
-                found = [self.vocabulary.special[w]]
-            elif at >= 0:
-                found = ids[first[at] : first[at + 1]].tolist()
-            else:
-                found = merge_word([self.single[x] for x in b], self.vocabulary.pairs)
-            self.known[w] = ",".join(map(str, found))
-
-    def encode(self, texts: list[str]) -> list[str]:
-        cut = [pieces(t, self.cut, self.word) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        fresh = set()
-        for ws in cut:
-            fresh.update(ws)
-        fresh.difference_update(self.known)
-        self.learn(list(fresh))
-        get = self.known.__getitem__
-        return [",".join(map(get, ws)) for ws in cut]
-
-    def decode(self, ids: str) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+        return [ids[first[at] : first[at + 1]].tolist() if at >= 0 else merge_word([self.single[x] for x in w], self.vocabulary.pairs) for w, at in zip(words, self.lexicon.places(words).tolist(), strict=True)]
+
+    def _learn(self, words: list[bytes], keys: np.ndarray, checks: np.ndarray) -> None:
+        tokens = self.vocabulary.tokens
+        base = len(self.texts)
+        for found in self._ids(words):
+            self.texts.append(",".join(map(str, found)))
+            self.decoded.append(b"".join([tokens[i] for i in found]))
+        self.check = np.concatenate([self.check, checks])
+        self.by_key.update(zip(keys.tolist(), range(base, len(self.texts)), strict=True))
+
+    def _plain(self, data: np.ndarray, off: np.ndarray) -> list[tuple[str, bytes]]:
+        if len(self.texts) > KNOWN_WORDS:
+            self.forget()
+        starts = cut_words(data, off, self.classes)
+        place = self._places(data, starts, np.append(starts[1:], len(data))).tolist() if len(starts) else []
+        bound = np.searchsorted(starts, off).tolist()
+        text, raw = self.texts.__getitem__, self.decoded.__getitem__
+        return [(",".join(map(text, place[a:b])), b"".join(map(raw, place[a:b]))) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+
+    def encode(self, column: pa.Array) -> list[tuple[str, bytes]]:
+        """Ids of each text joined by commas, and the bytes that they decode to. Null counts as empty."""
+        out = self._plain(*strings(column))
+        holds = np.zeros(len(column), bool)
+        for s in self.vocabulary.special:
+            holds |= pc.fill_null(pc.match_substring(column, s), False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(holds).tolist():  # special tokens in a text are words of their own
+            t, at, parts = column[i].as_py(), 0, []
+            for m in self.cut.finditer(t):
+                between = self._plain(*strings(pa.array([t[at : m.start()]])))[0]
+                parts += [between, (str(self.vocabulary.special[m[0]]), m[0].encode())]
+                at = m.end()
+            parts += self._plain(*strings(pa.array([t[at:]])))
+            out[i] = ",".join(p[0] for p in parts if p[0]), b"".join(p[1] for p in parts)
+        return out
+
+
+_HELD: dict[str, Encoder] = {}
+
+
+def held_encoder(name: str, vocabulary: Vocabulary, classes: np.ndarray) -> Encoder:
+    """One encoder for all tasks of a worker, so that words stay known from task to task."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Encoder(vocabulary, Transducer.load(SparkFiles.get(name)), classes)
+    return _HELD[name]
 
 
 def share(lexicon: Transducer, docs: DataFrame) -> str:
@@ -320,19 +329,19 @@ def encode_documents(docs: DataFrame, path: str, size: int = LEXICON_WORDS, keep
     """
     vocabulary = Vocabulary.load(path)
     keep = keep or ["doc_id"]
-    name = share(build_lexicon(docs, vocabulary, size), docs)
+    classes = docs.sparkSession.sparkContext.broadcast(code_point_classes())
+    name = share(build_lexicon(docs, vocabulary, classes, size), docs)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the tokenizer's vocabulary: as large as its file, whatever the corpus
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     at = [rows.columns.index(k) for k in keep]
     more = ["ids", "decoded"] if with_text else []
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value, Transducer.load(SparkFiles.get(name)))
+        encoder = held_encoder(name, sent.value, classes.value)
         for batch in it:
             for part, _, _ in slices(batch):
-                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                ids = encoder.encode(texts)
-                decoded = [encoder.decode(i) for i in ids]
+                got = encoder.encode(part.column(part.schema.get_field_index("text")))
+                ids, decoded = [g[0] for g in got], [g[1].decode("utf-8", "replace") for g in got]
                 out = [
                     pa.array([i.count(",") + 1 if i else 0 for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids], pa.string()),

@@ -16,8 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from marlstone.llm.bpe import byte_alphabet
-from marlstone.llm.textbytes import span_digest, strings
+from marlstone.llm.textbytes import byte_alphabet, span_digest, strings
 
 # The endings that the pattern cuts off after an apostrophe, and the code points that UTF-16 keeps for itself.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
