@@ -31,8 +31,8 @@ from marlstone.llm.textbytes import byte_alphabet, slices, span_digest, strings
 from marlstone.llm.wordcache import WordEncoder, code_point_classes, cut_words
 
 LEXICON_WORDS = 1 << 17  # bound on the words in the transducer
-KNOWN_WORDS = 1 << 19  # bound on the words that a worker remembers between batches
-COUNTED_WORDS = 1 << 18  # distinct words after which a counting task hands on what it has
+KNOWN_WORDS = 1 << 17  # bound on the words that a worker remembers between batches; some 250 bytes each, for as long as the worker lives
+COUNTED_WORDS = 1 << 17  # distinct words after which a counting task hands on what it has; Spark sums them within the task
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -206,30 +206,32 @@ class Transducer:
         return Transducer({k: raw[len(line) + at : len(line) + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in json.loads(line).items()})
 
 
-def count_words(docs: DataFrame, classes, text: str = "text") -> DataFrame:
-    """(word, n) over all documents, summed within tasks before the shuffle. Special tokens' strings count as ordinary text: counts only choose the lexicon."""
+def counted(it: Iterator[pa.RecordBatch], classes: np.ndarray, text: str) -> Iterator[pa.RecordBatch]:
+    """The words of a task's texts and how often they stand there; a word may come more than once."""
+    release()
+    seen: Counter[bytes] = Counter()
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+    def hand_on() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+        seen.clear()
+        return out
 
-        def hand_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+    for batch in it:
+        for _, data, off in slices(batch, text):
+            starts = cut_words(data, off, classes)
+            ends = np.append(starts[1:], len(data))
+            _, at, n = np.unique(span_digest(data, starts, ends)[0], return_index=True, return_counts=True)
+            raw = data.tobytes()
+            for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
+                seen[raw[a:b]] += k
+            if len(seen) > COUNTED_WORDS:
+                yield hand_on()
+    yield hand_on()
 
-        for batch in it:
-            for _, data, off in slices(batch, text):
-                starts = cut_words(data, off, classes.value)
-                ends = np.append(starts[1:], len(data))
-                _, at, n = np.unique(span_digest(data, starts, ends)[0], return_index=True, return_counts=True)
-                raw = data.tobytes()
-                for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), n.tolist(), strict=True):
-                    seen[raw[a:b]] += k
-                if len(seen) > COUNTED_WORDS:
-                    yield hand_on()
-        yield hand_on()
 
-    return docs.select(text).mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def count_words(docs: DataFrame, classes, text: str = "text") -> DataFrame:
+    """(word, n) over all documents, summed within tasks before the shuffle. Special tokens' strings count as ordinary text: counts only choose the lexicon."""
+    return docs.select(text).mapInArrow(lambda it: counted(it, classes.value, text), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, classes, size: int = LEXICON_WORDS) -> Transducer:
@@ -254,6 +256,8 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, classes, size: int =
 class Encoder(WordEncoder):
     """Encodes in a worker. Of a word met before, its ids as text joined by commas, as the digest is of that, and the bytes that these ids decode to are kept."""
 
+    SLOTS = 1 << 19
+
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer, classes: np.ndarray):
         self.vocabulary, self.lexicon, self.classes, self.single = vocabulary, lexicon, classes, vocabulary.single()
         self.cut = regex.compile("|".join(map(regex.escape, vocabulary.special)) or r"(?!)")
@@ -306,10 +310,15 @@ class Encoder(WordEncoder):
 _HELD: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Let go of the encoder of an earlier query: a worker outlives queries, and so would that encoder's words."""
+    _HELD.clear()
+
+
 def held_encoder(name: str, vocabulary: Vocabulary, classes: np.ndarray) -> Encoder:
     """One encoder for all tasks of a worker, so that words stay known from task to task."""
     if name not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[name] = Encoder(vocabulary, Transducer.load(SparkFiles.get(name)), classes)
     return _HELD[name]
 

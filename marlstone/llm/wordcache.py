@@ -23,7 +23,6 @@ ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 SURROGATES = (0xD800, 0xE000)
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
-SLOTS = 1 << 21  # places of the lookup table; a word may stand in either of two
 KNOWN_WORDS = 1 << 20  # words that a worker remembers; then it starts afresh
 BYTE_SIGNS = {b: ord(sign) for sign, b in byte_alphabet().items()}
 
@@ -122,14 +121,16 @@ def cut_words(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndar
 class WordEncoder:
     """Encodes in a worker. ``plain_specials``: special tokens' strings are ordinary text."""
 
+    SLOTS = 1 << 21  # places of the lookup table; a word may stand in either of two
+
     def __init__(self, spec: Spec, plain_specials: bool):
         self.spec, self.plain = spec, plain_specials
         self.tokenizer = spec.tokenizer(plain_specials)
         self.forget()
 
     def forget(self) -> None:
-        self.key = np.zeros(SLOTS, np.uint64)
-        self.place = np.full(SLOTS, -1, np.int32)
+        self.key = np.zeros(self.SLOTS, np.uint64)
+        self.place = np.full(self.SLOTS, -1, np.int32)
         self.by_key: dict[int, int] = {}
         self.check = np.zeros(0, np.uint64)
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -147,7 +148,7 @@ class WordEncoder:
     def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The known word that each word is; unknown ones are learnt first."""
         one, two = span_digest(data, starts, ends)
-        slot_a, slot_b = (one & np.uint64(SLOTS - 1)).astype(np.int64), ((one >> np.uint64(24)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot_a, slot_b = (one & np.uint64(self.SLOTS - 1)).astype(np.int64), ((one >> np.uint64(24)) & np.uint64(self.SLOTS - 1)).astype(np.int64)
         out = np.where(self.key[slot_a] == one, self.place[slot_a], np.where(self.key[slot_b] == one, self.place[slot_b], -1))
         miss = np.flatnonzero(out < 0)
         if len(miss):
@@ -157,7 +158,7 @@ class WordEncoder:
                 rows = miss[at[fresh]]
                 self._learn([data[a:b].tobytes() for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)], keys[fresh], two[rows])
             places = np.array([self.by_key[k] for k in keys.tolist()], np.int64)
-            for slot in ((keys & np.uint64(SLOTS - 1)).astype(np.int64), ((keys >> np.uint64(24)) & np.uint64(SLOTS - 1)).astype(np.int64)):
+            for slot in ((keys & np.uint64(self.SLOTS - 1)).astype(np.int64), ((keys >> np.uint64(24)) & np.uint64(self.SLOTS - 1)).astype(np.int64)):
                 free = self.place[slot] < 0
                 self.key[slot[free]], self.place[slot[free]] = keys[free], places[free]
             out[miss] = places[inverse]
