@@ -10,6 +10,7 @@ Equal vectors are one entry with its smallest ids, so that a vector that very ma
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from marlstone.llm.spool import spool
 
 LINES, NEED, WIDEN = 128, 0.7, 1.3
 SHARE, AT_LEAST = 0.04, 200  # candidates of a block at which widening stops: this share of its entries, but so many at least
-BLOCK, QUERIES = 16384, 256  # entries of an index block and queries of a chunk
+BLOCK, QUERIES = 16384, 512  # entries of an index block and queries of a chunk
 
 
 def usable(vector: Column) -> Column:
@@ -40,26 +41,42 @@ def project(x: np.ndarray, seed: int = 5) -> np.ndarray:
 def search_block(index: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, entries, distances): the k nearest found, and those that tie with the last."""
     n = len(index)
-    p, q = project(index), project(queries)
-    order = np.argsort(p, axis=0, kind="stable")
-    lines = np.take_along_axis(p, order, axis=0)
-    spread = np.subtract(*np.quantile(lines, [0.75, 0.25], axis=0)).mean() / 1.35 or 1.0
+    p, q = np.ascontiguousarray(project(index).T), np.ascontiguousarray(project(queries).T)  # line by line, so that a window is one run of memory
+    order = np.argsort(p, axis=1).astype(np.int32)
+    lines = np.sort(p, axis=1)
+    spread = np.subtract(*np.quantile(lines, [0.75, 0.25], axis=1)).mean() / 1.35 or 1.0
     enough, need = min(n, max(AT_LEAST, math.ceil(SHARE * n), 4 * k)), math.ceil(NEED * LINES)
+
+    @functools.lru_cache(maxsize=16)
+    def window(step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of all queries begin and end; those of step 0 are empty."""
+        with np.errstate(over="ignore"):
+            width = 0.4 * spread * np.float64(WIDEN) ** (step - 1) if step else 0.0
+        ends = [[np.searchsorted(line, x - width, "left"), np.searchsorted(line, x + width, "right" if step else "left")] for line, x in zip(lines, q, strict=True)]
+        low, high = np.array(ends).transpose(1, 2, 0)
+        return low, high
+
+    def between(i: int, inner: int, outer: int) -> np.ndarray:
+        """How often each entry lies in a window of the outer step but not in that of the inner one."""
+        (low, high), (new_low, new_high) = ([side[i].tolist() for side in window(step)] for step in (inner, outer))
+        ring = [row[a:b] for row, *ends in zip(order, new_low, low, high, new_high, strict=True) for a, b in (ends[:2], ends[2:]) if b > a]
+        return np.bincount(np.concatenate(ring), minlength=n) if ring else np.zeros(n, np.int64)
+
+    step = 1
     for i in range(len(queries)):
-        width = 0.4 * spread
-        low = high = np.array([np.searchsorted(lines[:, j], q[i, j]) for j in range(LINES)])
-        count = np.zeros(n, np.int32)
-        while True:
-            new_low = np.array([np.searchsorted(lines[:, j], q[i, j] - width, "left") for j in range(LINES)])
-            new_high = np.array([np.searchsorted(lines[:, j], q[i, j] + width, "right") for j in range(LINES)])
-            fresh = [order[a:b, j] for j in range(LINES) for a, b in ((new_low[j], low[j]), (high[j], new_high[j])) if b > a]
-            if fresh:
-                count += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            low, high = np.minimum(new_low, low), np.maximum(new_high, high)
+        # the first step at which enough entries are found, sought from the one at which the query before stopped
+        count = between(i, 0, step)
+        found = np.flatnonzero(count >= need)
+        while len(found) < enough:
+            count += between(i, step, step + 1)
+            step += 1
             found = np.flatnonzero(count >= need)
-            if len(found) >= enough or (low == 0).all() and (high == n).all():
+        while step > 1:
+            count -= between(i, step - 1, step)
+            fewer = np.flatnonzero(count >= need)
+            if len(fewer) < enough:
                 break
-            width *= WIDEN
+            found, step = fewer, step - 1
         d = np.sqrt(((index[found] - queries[i]) ** 2).sum(axis=1))
         if len(found) > k:
             last = np.partition(d, k - 1)[k - 1]
