@@ -2,7 +2,7 @@
 
 A text is a row of tokens: lower-cased words, then one end. Every token is told by a row of binary decisions: along a Huffman
 tree of the ``VOCABULARY`` most frequent training words that occur ``LEAST`` times; a word outside of it takes the tree's escape and is then spelt, byte by
-byte and bit by bit, up to a closing sign. For each decision six predictors, each under a hashed context, know how often either
+byte along a Huffman tree of the training documents' bytes, up to a closing sign. For each decision six predictors, each under a hashed context, know how often either
 bit came there in the training documents: for words the contexts are none, the last one, two and three words, the last
 word that is among the most frequent ones (which tells the language), and the end of the last word; within a spelt word they
 are none, the last one, two and three bytes, the word so far, and that with the last frequent word. Their logits are mixed with weights that a gate picks by how much the longest contexts have seen.
@@ -51,12 +51,12 @@ _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """kind 0: (chunk, place, hash, n) by distinct word, counted in training documents; kind 1: (chunk, doc_id, tk, held, size, tokens) by document."""
+    """kind 0: (chunk, place, hash, n) by distinct word, counted in training documents; kind 1: (chunk, doc_id, tk, held, size, tokens) by document; kind 2: (chunk, place, n) by byte that training documents hold."""
     names = ["kind", "chunk", "place", "hash", "n", "doc_id", "tk", "held", "size", "tokens"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, seen = 0, np.zeros(256, np.int64)
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             hashes, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
@@ -71,6 +71,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
             chunk = _chunk_name(held)
             none = lambda k, t: pa.nulls(k, t)
             n = len(hashes)
+            there = np.flatnonzero(seen)
+            if k := len(there):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, 2, np.int32)), pa.array(np.full(k, chunk)), pa.array(there.astype(np.int32)), none(k, pa.int64()), pa.array(seen[there]), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.int64()), none(k, pa.binary())], names=names)
+                seen[:] = 0
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, chunk)), pa.array(rank), pa.array(hashes.view(np.int64)), pa.array(train), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.binary())], names=names)
             for t, h in zip(tokens, held, strict=True):
@@ -84,6 +88,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 starts, ends, first = words(data, off)
                 h, back = np.unique(span_hash(data, starts, ends), return_inverse=True)
                 held.append((h, back.astype(np.int32), first, part.column(0), part.column(1), part.column(2).to_numpy(zero_copy_only=False), np.diff(off)))
+                seen += np.bincount(data[np.repeat(~held[-1][5], held[-1][6])], minlength=256)
                 size += len(data)
                 if size >= CHUNK_BYTES:
                     yield from hand_on()
@@ -107,6 +112,20 @@ def _chunk_name(held: list[tuple]) -> int:
 # ------------------------------------------------------------------- model
 
 
+def _tree(weights: list[int]) -> tuple[list[int], list[int]]:
+    """Huffman's tree: the parent of each node and its side there; leaves come first, the root last."""
+    heap = [(w, k) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    parent, side = [0] * len(weights), [0] * len(weights)
+    while len(heap) > 1:
+        (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a], parent[b], side[a], side[b] = len(parent), len(parent), 0, 1
+        heapq.heappush(heap, (x + y, len(parent)))
+        parent.append(0)
+        side.append(0)
+    return parent, side
+
+
 @dataclass
 class Codes:
     """Binary codes: ids 0 .. V - 1 are words by ``hashes`` (sorted), V the escape, V + 1 the end, V + 2 + b the byte b."""
@@ -119,35 +138,25 @@ class Codes:
     frequent: np.ndarray  # whether a code is one of the FREQUENT commonest words
 
     @staticmethod
-    def build(hashes: np.ndarray, counts: np.ndarray, escapes: int, ends: int) -> Codes:
-        """Huffman codes of the words; equal counts go by place, so the same counts give the same codes."""
+    def build(hashes: np.ndarray, counts: np.ndarray, escapes: int, ends: int, signs: np.ndarray | None = None) -> Codes:
+        """Huffman codes of the words, and of spelt signs by how often each is expected (alike, if not told); equal counts go by place, so the same counts give the same codes."""
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order]
         weights = [*counts.tolist(), escapes + 1, ends + 1]
         v = len(weights)
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, side, top = [0] * (2 * v), [0] * (2 * v), v
-        while len(heap) > 1:
-            (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a], parent[b], side[a], side[b] = top, top, 0, 1
-            heapq.heappush(heap, (x + y, top))
-            top += 1
         nodes, bits = [], []
-        start, size = np.zeros(v + 256, np.int64), np.full(v + 256, 8)
-        for w in np.argsort(-np.array(weights), kind="stable").tolist():  # paths of frequent words lie close together, which a core's cache likes
-            path, k = [], w
-            while k != top - 1:
-                path.append((parent[k], side[k]))
-                k = parent[k]
-            start[w], size[w] = len(nodes), len(path)
-            nodes += [n for n, _ in reversed(path)]
-            bits += [s for _, s in reversed(path)]
-        start[v:] = len(nodes) + 8 * np.arange(256)
-        b = np.arange(256)[:, None]
-        deep = np.arange(8)[None, :]
-        nodes = np.concatenate([np.array(nodes, np.int64), (1 << 40) + ((b | 256) >> (8 - deep)).ravel()])
-        bits = np.concatenate([np.array(bits, np.int8), ((b >> (7 - deep)) & 1).ravel().astype(np.int8)])
+        start, size = np.zeros(v + 256, np.int64), np.zeros(v + 256, np.int64)
+        for first, own, above in ((0, weights, 0), (v, (np.ones(256, np.int64) if signs is None else signs + 1).tolist(), 1 << 40)):
+            parent, side = _tree(own)
+            for w in np.argsort(-np.array(own), kind="stable").tolist():  # paths of frequent words lie close together, which a core's cache likes
+                path, k = [], w
+                while k != len(parent) - 1:
+                    path.append((above + parent[k], side[k]))
+                    k = parent[k]
+                start[first + w], size[first + w] = len(nodes), len(path)
+                nodes += [n for n, _ in reversed(path)]
+                bits += [s for _, s in reversed(path)]
+        nodes, bits = np.array(nodes, np.int64), np.array(bits, np.int8)
         frequent = np.zeros(len(size), bool)
         frequent[np.lexsort((hashes, -counts))[:FREQUENT]] = True
         return Codes(hashes, start, size, nodes << 1 | bits, bits, frequent)
@@ -498,7 +507,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n_train, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
     common = known.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "hash").limit(VOCABULARY).toArrow()  # at most VOCABULARY rows
     hashes, counts = common.column("hash").to_numpy().view(np.uint64), common.column("n").to_numpy()
-    codes = spark.sparkContext.broadcast(Codes.build(hashes, counts, int(sums[0]) - int(counts.sum()), ends))
+    signs = np.zeros(256, np.int64)
+    for byte, n in chunks.where("kind = 2").groupBy("place").agg(F.sum("n")).collect():
+        signs[byte] = n
+    signs[[*range(0x09, 0x0E), CLOSE]] = 0  # no word holds these; every word has a closing sign
+    signs[CLOSE] = int(sums[0])
+    codes = spark.sparkContext.broadcast(Codes.build(hashes, counts, int(sums[0]) - int(counts.sum()), ends, signs))
     train = docs.where(~held_out(F.col("doc_id"), 10)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = count_tables(train, codes, size)
     told_once = spark.sparkContext.broadcast(leave_one_out(table))
