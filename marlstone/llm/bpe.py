@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.spool import spool
 from marlstone.llm.textbytes import byte_alphabet, slices, span_digest, strings
 from marlstone.llm.wordcache import WordEncoder, code_point_classes, cut_words
+from marlstone.llm.workers import HELD as _HELD  # noqa: F401
+from marlstone.llm.workers import keep, release
 
 LEXICON_WORDS = 1 << 17  # bound on the words in the transducer
 KNOWN_WORDS = 1 << 17  # bound on the words that a worker remembers between batches; some 250 bytes each, for as long as the worker lives
@@ -307,20 +309,9 @@ class Encoder(WordEncoder):
         return out
 
 
-_HELD: dict[str, Encoder] = {}
-
-
-def release() -> None:
-    """Let go of the encoder of an earlier query: a worker outlives queries, and so would that encoder's words."""
-    _HELD.clear()
-
-
 def held_encoder(name: str, vocabulary: Vocabulary, classes: np.ndarray) -> Encoder:
     """One encoder for all tasks of a worker, so that words stay known from task to task."""
-    if name not in _HELD:
-        release()
-        _HELD[name] = Encoder(vocabulary, Transducer.load(SparkFiles.get(name)), classes)
-    return _HELD[name]
+    return keep(name, lambda: Encoder(vocabulary, Transducer.load(SparkFiles.get(name)), classes))
 
 
 def share(lexicon: Transducer, docs: DataFrame) -> str:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.spool import spool
 from marlstone.llm.tables import fresh
 from marlstone.llm.textbytes import combine, lower, slices, span_hash, words
+from marlstone.llm.workers import alone
 
 SEED, RARER, LEAST_SEEDS = 3, 2 / 3, 2
 BLOCK_WORDS = 1 << 20  # a block's seeds and postings are some 32 MiB
@@ -44,7 +45,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     """(item_id, words, seeds): hashes of the words and of the trigrams in order. Items of fewer than three words can't be told from chance and have none."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in alone(it):
             for part, data, off in slices(batch):
                 h, first = word_hashes(data, off)
                 ws = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -63,7 +64,7 @@ def count_seeds(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
         known = sent.value
         probe = Probe(known)
         total = np.zeros(len(known), np.int64)
-        for batch in it:
+        for batch in alone(it):
             for _, data, off in slices(batch):
                 grams, inside = seeds_of(*word_hashes(data, off))
                 _, which = probe.find(grams, inside)
@@ -98,7 +99,7 @@ def passages(docs: DataFrame, seeds: np.ndarray, first: np.ndarray, items: np.nd
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first, items, places, lengths, needed = sent.value
         probe = Probe(known)
-        for batch in it:
+        for batch in alone(it):
             for part, data, off in slices(batch):
                 h, of_doc = word_hashes(data, off)
                 at, which = probe.find(*seeds_of(h, of_doc))
@@ -149,7 +150,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 def aligned(pairs: DataFrame, threshold: float) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in alone(it):
             rows = ([], [], [], [], [])
             for k in range(batch.num_rows):
                 item, passage = (batch.column(c)[k].values.to_numpy() for c in (4, 3))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from marlstone.llm.labelled import held_out, training_rows
 from marlstone.llm.textbytes import lower, slices, span_hash, sums, words
+from marlstone.llm.workers import alone
 
 TRAIN_ROWS = 6000  # bound on the labelled rows that a model is fitted on
 STATS = (
@@ -68,7 +69,7 @@ def with_stats(rows: DataFrame, keep: list[str], text: str = "text") -> DataFram
     at, names, text_at = [rows.columns.index(c) for c in keep], [PREFIX + s for s in STATS], rows.columns.index(text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in alone(it):
             for part, data, off in slices(batch, f"k{text_at}"):
                 s = text_stats(data, off)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(STATS)))], names=[*(f"k{i}" for i in at), *names])
